@@ -20,18 +20,25 @@ from pyspark.sql import functions as F
 DRAW_DIGITS = 13
 
 
-def shard_of(key: Column, weights: Sequence[float]) -> Column:
-    """The shard (from 0) that takes ``key``: the least of ``-ln(u) / weight``, by
-    which a shard wins with a probability proportional to its weight."""
+def draw(key: Column, shard: Column, weight: Column) -> Column:
+    """A shard's draw for a key: ``-ln(u) / weight``, by whose least a shard wins with a probability proportional to its weight."""
+    text = F.coalesce(key.cast("string"), F.lit("null"))
+    digits = F.substring(F.md5(F.concat(text, F.lit(":"), shard.cast("string"))), 1, DRAW_DIGITS)
+    u = (F.conv(digits, 16, 10).cast("double") + F.lit(1.0)) / F.lit(float(16**DRAW_DIGITS + 1))
+    return F.struct((-F.log(u) / weight).alias("draw"), shard.alias("shard"))
+
+
+def best_draw(key: Column, weights: Sequence[float]) -> Column:
+    """The winning draw and its shard, over shards from 0."""
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive")
-    text = F.coalesce(key.cast("string"), F.lit("null"))
-    draws = []
-    for shard, weight in enumerate(weights):
-        digits = F.substring(F.md5(F.concat(text, F.lit(f":{shard}"))), 1, DRAW_DIGITS)
-        u = (F.conv(digits, 16, 10).cast("double") + F.lit(1.0)) / F.lit(float(16**DRAW_DIGITS + 1))
-        draws.append(F.struct((-F.log(u) / F.lit(float(weight))).alias("draw"), F.lit(shard).alias("shard")))
-    return (F.least(*draws) if len(draws) > 1 else draws[0])["shard"]
+    shards = F.array(*[F.struct(F.lit(i).alias("shard"), F.lit(float(w)).alias("weight")) for i, w in enumerate(weights)])
+    return F.array_min(F.transform(shards, lambda s: draw(key, s["shard"], s["weight"])))
+
+
+def shard_of(key: Column, weights: Sequence[float]) -> Column:
+    """The shard (from 0) that takes ``key``."""
+    return best_draw(key, weights)["shard"]
 
 
 def shard(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", grown_weight: float | None = None, part_digits: int = 3) -> DataFrame:
@@ -48,10 +55,12 @@ def shard(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", grown_
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
         F.lit("key").alias("law"),
-        shard_of(F.col(key), weights).alias("shard"),
-        shard_of(F.col(key), [*weights, grown_weight or weights[-1]]).alias("grown_shard"),
+        best_draw(F.col(key), weights).alias("best"),
+        draw(F.col(key), F.lit(len(weights)), F.lit(float(grown_weight or weights[-1]))).alias("next"),
         part,
     )
+    grown = F.when(F.col("next") < F.col("best"), F.col("next.shard")).otherwise(F.col("best.shard"))
+    rows = rows.select("doc_id", "size", "text_crc32", "law", F.col("best.shard").alias("shard"), grown.alias("grown_shard"), "part")
     counts = docs.select(shard_of(F.col(key), weights).alias("shard"), part).groupBy("shard", "part").count()
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))

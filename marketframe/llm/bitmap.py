@@ -7,6 +7,7 @@ more rows pass, and no result changes.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,3 +23,17 @@ def longs(keys: DataFrame, column: str, bits: int) -> dict[int, int]:
     pairs = keys.select(F.shiftright(bit, 6).alias("at"), bit.bitwiseAND(F.lit(63).cast("long")).cast("int").alias("b"))
     one = F.expr("shiftleft(1L, b)")
     return {r["at"]: r["bits"] for r in pairs.withColumn("one", one).groupBy("at").agg(F.bit_or("one").alias("bits")).collect()}
+
+
+def array_of(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """The bitmap of a long column as an array of 2**(bits - 6) unsigned longs, for tasks."""
+    out = np.zeros(2 ** (bits - 6), np.uint64)
+    found = longs(keys, column, bits)
+    out[np.fromiter(found.keys(), np.int64, len(found))] = np.fromiter(found.values(), np.int64, len(found)).view(np.uint64)
+    return out
+
+
+def has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys' bits are on."""
+    bit = keys & np.uint64(len(bitmap) * 64 - 1)
+    return ((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)

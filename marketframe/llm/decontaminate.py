@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.llm.bitmap import longs
+from marketframe.llm.store import saved
 from marketframe.llm.text import NON_WORD, ascii_lower, words
 
 #: Bits of the bitmap of anchors, as a power of 2: 64 KB, however many items there are.
@@ -82,7 +83,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 13, share
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256,
     contaminated, text_key (a hash of the text, for joins)."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.hash("text").alias("check"), item_words(F.col("text")).alias("ws"))
-    found = anchors(benchmark, texts, length)
+    found = saved(anchors(benchmark, texts, length))
     bits = bitmap_of(found)
     around = F.transform(
         F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: passes(F.get("ws", i), bits)),

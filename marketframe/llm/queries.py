@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm import decontaminate, exact_dedup, html_extract, mixing, quality, sharding, toxicity
+from marketframe.llm import decontaminate, exact_dedup, html_extract, mixing, near_dedup, quality, sharding, toxicity
+from marketframe.session import ship
 
 SHARDS = 16
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_docs(spark, sf_dir))
 
 
+def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_docs(spark, sf_dir)).drop("text_key")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -43,7 +48,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), html_extract.train())
+    return html_extract.extract(ship(spark).read.parquet(f"{sf_dir}/pages.parquet"), html_extract.train())
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +57,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     known = (
-        op1_rendezvous_sharding, op3_quality_classifier, op4_benchmark_decontamination, op5_exact_dedup, op7_toxicity,
+        op1_rendezvous_sharding, op3_quality_classifier, op4_benchmark_decontamination, op5_exact_dedup, op6_minmax_near_dedup, op7_toxicity,
         op8_html_extraction, op9_source_mixing,
     )
     return {f.__name__: f for f in known}

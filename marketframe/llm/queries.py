@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm import decontaminate, exact_dedup, html_extract, mixing, near_dedup, quality, sharding, toxicity
+from marketframe.llm import decontaminate, exact_dedup, html_extract, mixing, near_dedup, quality, sharding, substring_dedup, suffix_dedup, toxicity
 from marketframe.session import ship
 
 SHARDS = 16
@@ -21,6 +21,10 @@ def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_docs(spark, sf_dir), [1.0] * SHARDS)
 
 
+def op2_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(_docs(spark, sf_dir))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -55,10 +59,14 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     known = (
-        op1_rendezvous_sharding, op3_quality_classifier, op4_benchmark_decontamination, op5_exact_dedup, op6_minmax_near_dedup, op7_toxicity,
-        op8_html_extraction, op9_source_mixing,
+        op1_rendezvous_sharding, op2_recompression_dedup, op3_quality_classifier, op4_benchmark_decontamination, op5_exact_dedup,
+        op6_minmax_near_dedup, op7_toxicity, op8_html_extraction, op9_source_mixing, op10_suffix_dedup,
     )
     return {f.__name__: f for f in known}
 

@@ -56,7 +56,7 @@ def round_trip_bps(entry: Column, exit_: Column, spread: Column) -> Column:
 
 def curve_violations(table: DataFrame) -> DataFrame:
     """What is wrong with a table of curves, over prices 0.00 to 1.00: venue, tier, problem."""
-    grid = table.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(100))).cast("decimal(9,6)") / 100)
+    grid = table.withColumn("cent", F.explode(F.sequence(F.lit(0), F.lit(100)))).withColumn("p", F.col("cent").cast("decimal(9,6)") / 100)
     x = F.col("p") * (1 - F.col("p"))
     facts = grid.groupBy("venue", "tier").agg(
         F.min((F.col("taker") >= F.col("maker")).cast("int")).alias("ordered"), F.max(F.when(F.col("p").isin(0, 1), F.col("taker") * x)).alias("ends"),

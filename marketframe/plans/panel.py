@@ -19,7 +19,7 @@ BPS = 10_000.0
 
 def accrual_day(ts_ms: Column) -> Column:
     """The day a settlement belongs to: its stamp to the nearest minute (half to even), less a millisecond."""
-    return F.to_date(F.timestamp_millis((F.bround(ts_ms / 60000) * 60000 - 1).cast("long")))
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor((F.bround(ts_ms / 60000) * 60000 - 1) / 86_400_000).cast("int"))
 
 
 def funding_by_day(funding: DataFrame, min_settlements: int = 0) -> DataFrame:

@@ -17,7 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def epoch_ms(ts: Column) -> Column:
-    return (F.unix_micros(ts.cast("timestamp")) / 1000).cast("long")
+    """Milliseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    return F.timestamp_diff("MILLISECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), ts)
 
 
 def cents(x: str) -> Column:

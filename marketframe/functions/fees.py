@@ -62,7 +62,8 @@ def curve_violations(table: DataFrame) -> DataFrame:
         F.min((F.col("taker") >= F.col("maker")).cast("int")).alias("ordered"), F.max(F.when(F.col("p").isin(0, 1), F.col("taker") * x)).alias("ends"),
         F.max_by("p", F.col("taker") * x).alias("peak"), F.max("taker").alias("taker"), F.max("same_as").alias("same_as"),
     )
-    copies = F.count(F.lit(1)).over(Window.partitionBy("venue", "taker"))
+    facts = facts.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("venue", "taker")))
+    copies = F.col("copies")
     problems = F.array_compact(F.array(
         F.when(F.col("ordered") == 0, "maker above taker"), F.when(F.col("ends") != 0, "fee at the ends"), F.when((F.col("taker") > 0) & (F.col("peak") != 0.5), "peak not at a half"),
         F.when((copies > 1) & F.col("same_as").isNull(), "duplicate curve"), F.when((copies == 1) & F.col("same_as").isNotNull(), "stale same_as"),

@@ -53,7 +53,7 @@ def mid_regime(spark: SparkSession, d: str) -> DataFrame:
 def forward_labels(spark: SparkSession, d: str) -> DataFrame:
     touch = views.book_top(spark, d)
     rows = features.forward_labels(features.snapshot(touch).select("instrument", "n", "ts_ms", "mid"), touch, [HOUR, 6 * HOUR], 5.0)
-    return rows.select("instrument", "n", F.round(f"fwd_{HOUR}", 3).alias("fwd_1h"), F.round(f"fwd_{6 * HOUR}", 3).alias("fwd_6h"))
+    return rows.select("instrument", "n", F.col(f"fwd_{HOUR}").alias("fwd_1h"), F.col(f"fwd_{6 * HOUR}").alias("fwd_6h"))
 
 
 def sequence_gaps(spark: SparkSession, d: str) -> DataFrame:
@@ -191,7 +191,7 @@ ORACLES = {
     "trade_flow": f"with {views.TAPE_SQL}, b as (select *, case when is_buy then size else 0 end bs, 1 one from tape), w as (select instrument, n, {_wsum('bs', HOUR)} b1, {_wsum('size', HOUR)} v1, {_wsum('one', HOUR)} t1, {_wsum('bs', 6 * HOUR)} b6, {_wsum('size', 6 * HOUR)} v6 from b) select instrument, n, round((2 * b1 - v1) / v1::double, 6) tfi_1h, v1::bigint volume_1h, t1::bigint trades_1h, round((2 * b6 - v6) / v6::double, 6) tfi_6h from w",
     "mid_returns": f"with {_GOOD}, a as (select g.instrument, g.n, g.mid, m.mid x from (select *, ts_ms - {HOUR} k from good) g asof left join mids m on g.instrument = m.instrument and g.k >= m.ts_ms), b as (select g.instrument, g.n, m.mid x from (select *, ts_ms - {12 * HOUR} k from good) g asof left join mids m on g.instrument = m.instrument and g.k >= m.ts_ms) select a.instrument, a.n, round(coalesce(ln(a.mid / a.x) * 10000, 0), 5) ret_1h, round(coalesce(ln(a.mid / b.x) * 10000, 0), 5) ret_12h from a join b on a.instrument = b.instrument and a.n = b.n",
     "mid_volatility": f"with {_GOOD}, r as (select *, coalesce(pow(ln(mid / lag(mid) over (partition by instrument order by ts_ms)), 2), 0) r2 from mids), s as (select instrument, ts_ms, sum(r2) over w - first(r2) over w q, (ts_ms - first(ts_ms) over w) / 1000.0::double sec, count(*) over w n from r window w as (partition by instrument order by ts_ms range between {12 * HOUR} preceding and current row)) select instrument, ts_ms, round(case when n < 3 then 0 else sqrt(greatest(q, 0) / sec) * 10000 end, 4) rv_12h from s",
-    "forward_labels": f"with {_GOOD}, a as (select g.instrument, g.n, g.ts_ms, g.mid, m.mid x from (select *, ts_ms + {HOUR} k from good) g asof join mids m on g.instrument = m.instrument and g.k <= m.ts_ms), b as (select g.instrument, g.n, m.mid x from (select *, ts_ms + {6 * HOUR} k from good) g asof join mids m on g.instrument = m.instrument and g.k <= m.ts_ms), nw as (select instrument, max(ts_ms) newest from mids group by 1) select a.instrument, a.n, round(round((a.x / a.mid - 1) * 10000, 4), 3) fwd_1h, round(round((b.x / a.mid - 1) * 10000, 4), 3) fwd_6h from a join b on a.instrument = b.instrument and a.n = b.n join nw on a.instrument = nw.instrument where newest - a.ts_ms >= {6 * HOUR}",
+    "forward_labels": f"with {_GOOD}, a as (select g.instrument, g.n, g.ts_ms, g.mid, m.mid x from (select *, ts_ms + {HOUR} k from good) g asof join mids m on g.instrument = m.instrument and g.k <= m.ts_ms), b as (select g.instrument, g.n, m.mid x from (select *, ts_ms + {6 * HOUR} k from good) g asof join mids m on g.instrument = m.instrument and g.k <= m.ts_ms), nw as (select instrument, max(ts_ms) newest from mids group by 1) select a.instrument, a.n, round((a.x / a.mid - 1) * 10000, 4) fwd_1h, round((b.x / a.mid - 1) * 10000, 4) fwd_6h from a join b on a.instrument = b.instrument and a.n = b.n join nw on a.instrument = nw.instrument where newest - a.ts_ms >= {6 * HOUR}",
     "sequence_gaps": f"with {views.BOOK_SQL}, g as (select *, max(seq) over (partition by instrument order by ts_ms, n rows between unbounded preceding and 1 preceding) l from touch), e as (select *, sum(case when prev_seq <> l and seq > l then 1 else 0 end) over (partition by instrument order by ts_ms, n)::bigint epoch from g) select instrument, epoch, count(*) updates, min(seq) first_seq, max(seq) last_seq from e group by 1, 2",
     "crossed_resyncs": f"with {views.BOOK_SQL}, c as (select instrument, ts_ms, n, n % 3 = 0 or bid >= ask crossed from touch), i as (select *, sum((not crossed)::int) over (partition by instrument order by ts_ms, n) i from c), k as (select *, case when crossed then sum(crossed::int) over (partition by instrument, i order by ts_ms, n) else 0 end::bigint in_row from i) select instrument, n, in_row from k where in_row > 0 and in_row % 2 = 0",
     "level_intervals": f"with {_LEVELS} select instrument, side, price, count(*) spans, sum(coalesce(valid_to - valid_from, 0))::bigint alive_ms, sum(size)::bigint size from ok group by 1, 2, 3",

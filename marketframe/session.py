@@ -8,11 +8,14 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Hands the package to the executors, once an application, by Spark's own file server."""
+    """Hands the package to the executors, once an application, by Spark's own file server; sets smaller Arrow batches unless the user has set a size."""
+    if spark.conf.get(BATCH) == "10000":  # Spark's own default: too many where a row is a whole text
+        spark.conf.set(BATCH, "1000")
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = Path(__file__).parent

@@ -177,7 +177,8 @@ def repeated_starts(texts: DataFrame, window: int) -> DataFrame:
     shared = _anchors(texts, window).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     bitmap = texts.sparkSession.sparkContext.broadcast(array_of(shared, "anchor", ANCHOR_BITS))
     marks = saved(_windows(texts, window, bitmap))
-    twice = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
+    # a table of its own, so that the join may split a mark that very many places share
+    twice = saved(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark"))
     return saved(marks.join(twice, "mark").groupBy("uid").agg(F.collect_list("at").alias("starts")))
 
 

@@ -174,13 +174,14 @@ def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
     context = texts.sparkSession.sparkContext
     shared = _anchors(texts, length).groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     runs = saved(_runs(texts, length, context.broadcast(array_of(shared, "anchor", ANCHOR_BITS))))
-    kinds = runs.groupBy("whole").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("uid", "at")).alias("one"))
-    known = saved(runs.join(kinds, "whole").select("uid", "at", "n", "bucket", (F.col("k") > 1).alias("settled"), (F.struct("uid", "at") == F.col("one")).alias("stands")))
-    open_ = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("settled").alias("all_settled")).where("k > 1 and not all_settled").select("bucket")
+    # grouped tables are written before they are joined, so that the joins may split a name that very many places share
+    kinds = saved(runs.groupBy("whole").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("uid", "at")).alias("one")).where("k > 1").select("whole", "one"))
+    known = saved(runs.join(kinds, "whole", "left").select("uid", "at", "n", "bucket", F.col("one").isNotNull().alias("settled"), F.coalesce(F.struct("uid", "at") == F.col("one"), F.lit(False)).alias("stands")))
+    open_ = saved(known.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("settled").alias("all_settled")).where("k > 1 and not all_settled").select("bucket"))
     asked = saved(known.where("not settled or stands").join(open_, "bucket").groupBy("uid").agg(F.collect_list(F.struct("at", "n")).alias("runs")))
     some = texts.where(passes(array_of(asked, "uid", TEXT_BITS), F.col("uid"))).join(asked, "uid")
     marks = saved(_suffixes(some, length))
-    twice = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("mark")
+    twice = saved(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("mark"))
     single = marks.join(twice, "mark").select("uid", "at", F.lit(1).alias("n"))
     return saved(known.where("settled").select("uid", "at", "n").union(single).groupBy("uid").agg(F.collect_list(F.struct("at", "n")).alias("runs")))
 

@@ -74,6 +74,12 @@ def average_rank(value: Column, by: Sequence[str | Column]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's, null for a constant side (the built-in fails on it in ANSI mode)."""
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.covar_pop(a, b) / F.when(spread > 0, spread)
+
+
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
     """by..., n, pearson, spearman over rows where both are there; 0 for fewer than three rows or a constant side."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -81,7 +87,7 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
 
     def safe(a: str, b: str) -> Column:
         flat = (F.count(F.lit(1)) < 3) | (F.coalesce(F.max(a) - F.min(a), F.lit(0)) == 0) | (F.coalesce(F.max(b) - F.min(b), F.lit(0)) == 0)
-        return F.when(flat, 0.0).otherwise(F.corr(a, b))
+        return F.when(flat, 0.0).otherwise(correlation(a, b))
 
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), safe("_x", "_y").alias("pearson"), safe("_rx", "_ry").alias("spearman"))
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketframe.operators.timeseries import run_lengths, strict_sum, trailing
+from marketframe.operators.timeseries import correlation, run_lengths, strict_sum, trailing
 
 BY = ["symbol"]
 BPS = 10_000.0
@@ -154,4 +154,4 @@ def correlations(panel: DataFrame, value: str = "ret", least: int = 20) -> DataF
     full = used.join(F.broadcast(days), "date_idx")  # one row a date
     a, b = full.alias("a"), full.alias("b")
     pairs = a.join(b, (F.col("a.date_idx") == F.col("b.date_idx")) & (F.col("a.symbol") < F.col("b.symbol")))
-    return pairs.groupBy(F.col("a.symbol").alias("a"), F.col("b.symbol").alias("b")).agg(F.corr("a.x", "b.x").alias("corr"), F.count(F.lit(1)).alias("days")).where(F.col("days") >= least)
+    return pairs.groupBy(F.col("a.symbol").alias("a"), F.col("b.symbol").alias("b")).agg(correlation("a.x", "b.x").alias("corr"), F.count(F.lit(1)).alias("days")).where(F.col("days") >= least)

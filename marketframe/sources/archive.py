@@ -75,9 +75,11 @@ def recover(content: bytes):
         used = len(content) - at - len(reader.unused_data)
         if reader.eof:
             error, step = None, used
+        elif nxt > 0:  # another member begins before this one ends
+            text, _ = _before_damage(content[at:nxt])
+            error, step = "torn" if _tears(content, at, nxt) else "corrupt", nxt - at
         else:
-            error = "torn" if error and 0 <= nxt and _tears(content, at, nxt) else error or "tail"
-            step = (nxt - at) if nxt > 0 else len(content) - at
+            error, step = error or "tail", len(content) - at
         lines = text.decode("utf-8", "replace").split("\n")
         whole = lines if error is None and lines[-1] else lines[:-1]
         for line in whole:

@@ -34,7 +34,7 @@ def contract_controls(spark: SparkSession, d: str) -> DataFrame:
     t = _trades(spark, d)
     real = C.results(t).agg(F.sum("net").alias("real"))
     c = C.label_controls(t, 20).agg(F.avg("net").alias("mean"), F.collect_list("net").alias("all"))
-    return real.join(F.broadcast(c)).select(F.round("real", 4).alias("real"), F.round("mean", 4).alias("mean"), F.round(F.size(F.filter("all", lambda x: F.round(x, 6) < F.round("real", 6))) / F.size("all"), 4).alias("percentile"))
+    return real.join(F.broadcast(c)).select(F.round("real", 4).alias("real"), F.round("mean", 4).alias("mean"), F.when(F.size("all") > 0, F.round(F.size(F.filter("all", lambda x: F.round(x, 6) < F.round("real", 6))) / F.size("all"), 4)).alias("percentile"))
 
 
 def label_guard(spark: SparkSession, d: str) -> DataFrame:

@@ -216,7 +216,7 @@ _BOOK = _EL + "," + _scored_sql(4, 1) + "," + _book_sql("sc", "0.2::double", "")
 _RUNS = _BOOK + "," + _period_sql(4, "")
 _SUMMARY = """count(*) n, avg(net) mean, stddev_samp(net) sd, avg(net) / (stddev_samp(net) / sqrt(count(*))) t, avg(net) - 1.96 * stddev_samp(net) / sqrt(count(*)) low, avg(net) + 1.96 * stddev_samp(net) / sqrt(count(*)) high,
   avg(net) / stddev_samp(net) * sqrt(365 / {hold}.0::double) sharpe, avg(net) * 365 / {hold} / 100 annual_pct, avg((net > 0)::int) hit, avg(turnover) turnover,
-  covar_samp(net, market) / var_samp(market) beta, avg(net) - covar_samp(net, market) / var_samp(market) * avg(market) alpha"""
+  case when var_samp(market) > 0 then covar_samp(net, market) / var_samp(market) else 0 end beta, avg(net) - case when var_samp(market) > 0 then covar_samp(net, market) / var_samp(market) else 0 end * avg(market) alpha"""
 
 
 def _rounded(names: str, digits: int) -> str:
@@ -237,7 +237,7 @@ ORACLES = {
     "factor_periods": f"with {_RUNS} select date_idx, n, {_rounded('gross price funding turnover net', 5)} from run",
     "factor_summary": f"with {_RUNS}, s as (select {_SUMMARY.format(hold=4)} from run) select n, {_rounded('mean sd t low high sharpe annual_pct hit turnover beta alpha', 4)} from s",
     "factor_ic": f"with {_BOOK}, e as (select *, ret - market ex from wg), k as (select *, rank() over (partition by date_idx order by score) + (count(*) over (partition by date_idx, score) - 1) / 2.0::double rx, rank() over (partition by date_idx order by ex) + (count(*) over (partition by date_idx, ex) - 1) / 2.0::double ry from e) select date_idx, count(*) names, round(case when max(score) = min(score) or max(ex) = min(ex) then 0 else corr(rx, ry) end, 5) ic from k group by 1 having count(*) >= 6",
-    "factor_years": f"with {_RUNS} select date_idx // 52 as year, count(*) n, round(sum(net), 4) net, round(sum(price), 4) price, round(sum(funding), 4) funding from run group by rollup (date_idx // 52)",
+    "factor_years": f"with {_RUNS} select date_idx // 52 as year, count(*) n, round(sum(net), 4) net, round(sum(price), 4) price, round(sum(funding), 4) funding from run group by rollup (date_idx // 52) having count(*) > 0",
     "factor_drawdown": f"with {_RUNS}, c as (select date_idx, sum(net) over (order by date_idx) cumulative from run) select date_idx, round(cumulative, 4) cumulative, round(greatest(0, max(cumulative) over (order by date_idx)) - cumulative, 4) drawdown from c",
     "factor_worst": f"with {_RUNS} select date_idx, round(net, 5) net from run order by run.net, date_idx limit 5",
     "factor_controls": f"""with {_RUNS}, sn as (select sc.*, seed from sc, range(1, 21) s(seed) where eligible and score is not null),

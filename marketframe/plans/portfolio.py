@@ -137,7 +137,7 @@ def control_summary(real: DataFrame, controls: DataFrame) -> DataFrame:
     """mean (of the real run), control_mean, control_sd, beaten: the share of controls below it.  One row a seed comes in."""
     c = controls.agg(F.avg("mean").alias("control_mean"), F.stddev_samp("mean").alias("control_sd"), F.collect_list("mean").alias("all"))
     joined = real.select("mean").join(F.broadcast(c))
-    return joined.select("mean", "control_mean", "control_sd", (F.size(F.filter("all", lambda x: x < F.col("mean"))) / F.size("all")).alias("beaten"))
+    return joined.select("mean", "control_mean", "control_sd", F.when(F.size("all") > 0, F.size(F.filter("all", lambda x: x < F.col("mean"))) / F.size("all")).alias("beaten"))
 
 
 def block_bootstrap(values: DataFrame, value: str, order: str, block: int, draws: int) -> DataFrame:

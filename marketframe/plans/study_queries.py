@@ -119,7 +119,7 @@ ORACLES = {
     "signal_economics": f"with {_ROWS}, q as (select quantile_cont(micro_bps, 0.9) h, quantile_cont(micro_bps, 0.1) l, avg(y) drift from rows_) select round(avg(case when micro_bps >= h then y end) - max(drift), 4) long, round(max(drift) - avg(case when micro_bps <= l then y end), 4) short, round(max(drift), 4) drift from rows_, q",
     "carry_stats": f"""with {views.FUNDING_SQL}, c as (select *, sum(rate_bps) over (partition by symbol order by ts_ms, rate_bps rows unbounded preceding) cum from funding), d as (select *, greatest(0, max(cum) over (partition by symbol order by ts_ms, rate_bps rows unbounded preceding)) - cum dd from c),
 g as (select symbol, count(*) n, avg(rate_bps) mean, quantile_cont(rate_bps, 0.5) median, avg((rate_bps > 0)::int) positive, min(rate_bps) worst, max(dd) drawdown from d group by 1)
-select symbol, n, round(mean, 5) mean, round(median, 5) median, round(positive, 5) positive, round(worst, 5) worst, round(drawdown, 5) drawdown, round(abs(mean) * 3, 5) a_day, round(24 / (abs(mean) * 3), 5) breakeven_days, round(abs(mean) * 3 * 14 - 24, 5) net from g""",
+select symbol, n, round(mean, 5) mean, round(median, 5) median, round(positive, 5) positive, round(worst, 5) worst, round(drawdown, 5) drawdown, round(abs(mean) * 3, 5) a_day, round(24 / nullif(abs(mean) * 3, 0), 5) breakeven_days, round(abs(mean) * 3 * 14 - 24, 5) net from g""",
     "carry_windows": f"with {_PAIR}, k as (select *, row_number() over (partition by symbol order by net, bucket) - 1 k, count(*) over (partition by symbol) c from wn), p as (select symbol, net p5 from k where k = floor((c - 1) * 0.05::double)) select symbol, count(*) windows, greatest(1, count(*) // 42)::int effective, round(quantile_cont(net, 0.5), 4) median, round(max(p5), 4) p5, round(min(net), 4) worst, round(max(net), 4) best, round(avg((net > 0)::int), 4) profitable from wn join p using (symbol) group by 1",
     "carry_implied": f"with {views.FUNDING_SQL}, s as (select symbol, min(ts_ms) + {90 * 24 * HOUR} a, max(ts_ms) - {90 * 24 * HOUR} z from funding group by 1) select f.symbol position_id, round(sum(case when length(f.symbol) % 2 = 0 then 1 else -1 end * rate_bps * 1000.0::double / 10000), 4) implied, count(*) settlements from funding f join s on f.symbol = s.symbol and ts_ms > a and ts_ms <= z group by 1",
 }

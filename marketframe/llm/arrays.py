@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 MULTIPLIER = 0x9E3779B97F4A7C15
 U64 = np.uint64
 
@@ -50,7 +50,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(4)
+@lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, MULTIPLIER, U64), np.full(n, pow(MULTIPLIER, -1, 1 << 64), U64)
     up[:1] = down[:1] = 1
@@ -59,7 +59,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n or more powers of MULTIPLIER and of its inverse."""
-    return _powers(1 << max(21, int(n).bit_length()))
+    return _powers(1 << max(20, int(n).bit_length()))
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:

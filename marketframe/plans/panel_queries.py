@@ -179,7 +179,7 @@ fac as (select date_idx, symbol, case when date_idx >= 30 then -max(ret) over ({
 _RUN = """
 g as (select *, coalesce(date_idx - lag(date_idx) over (partition by symbol order by date_idx) > 1, false) gap from {src}),
 isl as (select *, sum(case when not complete then 1 when gap then 1 else 0 end) over (partition by symbol order by date_idx) island from g),
-uni as (select *, case when complete then sum(complete::int) over (partition by symbol, island order by date_idx) else 0 end run, quantile_cont(quote_volume, 0.5) over (partition by symbol order by date_idx range between 29 preceding and current row) median_volume from isl),
+uni as (select *, (case when complete then sum(complete::int) over (partition by symbol, island order by date_idx) else 0 end)::bigint run, quantile_cont(quote_volume, 0.5) over (partition by symbol order by date_idx range between 29 preceding and current row) median_volume from isl),
 el as (select *, run >= 20 and median_volume >= 1.0 and date_idx >= 30 eligible from uni)"""
 
 
@@ -254,7 +254,7 @@ select round(quantile_cont(mean, 0.025), 4) low, round(quantile_cont(mean, 0.975
         f"{_scored_sql(h, 0, str(h))}, sp{h} as (select sc{h}.*, frac from sc{h}, (values (0.1::double), (0.2::double), (0.3::double)) v(frac)),{_book_sql(f'sp{h}', 'frac', 'frac', str(h))},{_period_sql(h, 'frac', str(h))}, o{h} as (select {h} hold, frac, cost, count(*) n, round(avg((2 * gross - turnover * cost) / 2), 4) mean, round(stddev_samp((2 * gross - turnover * cost) / 2), 4) sd, round(avg(turnover), 4) turnover from run{h}, (values (5.0::double), (20.0::double)) c(cost) group by frac, cost)" for h in (3, 7)
     ) + " select * from o3 union all select * from o7",
     "factor_halves": "with " + _EL + "," + _scored_sql(4, 1) + f""", hv as (select sc.*, seed, ('0x' || substr(md5(seed || '|' || symbol), 1, 6))::bigint % 2 half from sc, range(1, 6) s(seed)),{_book_sql('hv', '0.2::double', 'seed, half', 'h')},{_period_sql(4, 'seed, half', 'h')}
-select seed, half, count(*) n, round(avg(net), 4) mean from runh group by 1, 2""",
+select seed::int seed, half, count(*) n, round(avg(net), 4) mean from runh group by 1, 2""",
     "factor_capacity": f"with {_BOOK}, z as (select date_idx, min(0.02::double * median_volume / (abs(weight) / 2)) s from wg where side <> 0 group by 1) select round(min(s), 3) least, round(quantile_cont(s, 0.1), 3) p10, round(quantile_cont(s, 0.5), 3) median, round(arg_max(s, date_idx), 3) latest from z",
     "panel_merge_pages": f"with {views.FUNDING_SQL}, p as (select *, 1 page from funding union all select *, 2 from funding where ts_ms % 3 = 0), k as (select *, row_number() over (partition by symbol, ts_ms order by page desc, rate_bps desc) nth, count(*) over (partition by symbol, ts_ms) copies from p) select symbol, count(*) stamps, sum(copies)::bigint seen, round(sum(rate_bps), 4) rate from k where nth = 1 group by 1",
 }

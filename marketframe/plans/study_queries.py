@@ -114,7 +114,7 @@ ORACLES = {
     "signal_coefficients": f"with {_ic_sql('')} select feature, n, round(pearson, 5) pearson, round(spearman, 5) spearman, effective_n, round(case when effective_n > 2 then spearman * sqrt((effective_n - 2) / (1 - least(pow(spearman, 2), 0.999999))) else 0 end, 4) t from ic, en",
     "signal_leakage": f"with {_ic_sql('')} select feature, 'suspiciously strong' warning from ic where abs(spearman) > 0.2 union all select feature, 'few independent rows' from ic, en where effective_n < 1000",
     "signal_split": f"with {_ROWS}, pl as (select *, row_number() over (order by ts_ms, n) - 1 pl, count(*) over () c from rows_) select case when pl < floor(c * 0.7) then 'train' when pl < floor(c * 0.7) + 50 then 'gap' else 'test' end part, count(*) n, min(ts_ms) first_ms, max(ts_ms) last_ms from pl group by 1",
-    "signal_deciles": f"with {_ROWS}, d as (select *, ntile(10) over (order by micro_bps, ts_ms, n) decile from rows_) select decile, count(*) n, round(avg(y), 4) mean, round(avg(y) - (select avg(y) from rows_), 4) excess from d group by 1",
+    "signal_deciles": f"with {_ROWS}, d as (select *, ntile(10) over (order by micro_bps, ts_ms, n) decile from rows_) select decile::int decile, count(*) n, round(avg(y), 4) mean, round(avg(y) - (select avg(y) from rows_), 4) excess from d group by 1",
     "signal_auc": f"with {_ROWS}, r as (select instrument, (y > 0)::int u, rank() over (partition by instrument order by micro_bps) + (count(*) over (partition by instrument, micro_bps) - 1) / 2.0::double r from rows_) select instrument, count(*) n, round((sum(r * u) - sum(u) * (sum(u) + 1) / 2) / (sum(u) * sum(1 - u))::double, 6) auc, round(greatest(avg(u), 1 - avg(u)), 6) majority from r group by 1",
     "signal_economics": f"with {_ROWS}, q as (select quantile_cont(micro_bps, 0.9) h, quantile_cont(micro_bps, 0.1) l, avg(y) drift from rows_) select round(avg(case when micro_bps >= h then y end) - max(drift), 4) long, round(max(drift) - avg(case when micro_bps <= l then y end), 4) short, round(max(drift), 4) drift from rows_, q",
     "carry_stats": f"""with {views.FUNDING_SQL}, c as (select *, sum(rate_bps) over (partition by symbol order by ts_ms, rate_bps rows unbounded preceding) cum from funding), d as (select *, greatest(0, max(cum) over (partition by symbol order by ts_ms, rate_bps rows unbounded preceding)) - cum dd from c),

@@ -45,7 +45,7 @@ def daily_bars(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFram
 
 def index_dates(bars: DataFrame) -> DataFrame:
     """date_idx: the place of a date among all dates that occur (there are few; bars are many)."""
-    dates = bars.select("date").distinct().withColumn("date_idx", F.dense_rank().over(Window.orderBy("date")) - 1)
+    dates = bars.select("date").distinct().withColumn("date_idx", (F.dense_rank().over(Window.orderBy("date")) - 1).cast("long"))
     return bars.join(F.broadcast(dates), "date")
 
 
@@ -95,7 +95,7 @@ def book_top(spark: SparkSession, sf_dir: str) -> DataFrame:
         inst.alias("instrument"), F.col("event_id").alias("n"), epoch_ms(F.col("ts")).alias("ts_ms"), (price - 1 - F.pmod("k", F.lit(5))).alias("bid"), (price + F.pmod("k", F.lit(7))).alias("ask"),
         (1 + F.pmod("k", F.lit(13))).alias("bid_size"), (1 + F.pmod("k", F.lit(11))).alias("ask_size"),
     )
-    seq = rows.withColumn("seq", F.row_number().over(Window.partitionBy("instrument").orderBy("ts_ms", "n"))).withColumn("prev_seq", F.col("seq") - 1)
+    seq = rows.withColumn("seq", F.row_number().over(Window.partitionBy("instrument").orderBy("ts_ms", "n")).cast("long")).withColumn("prev_seq", F.col("seq") - 1)
     return seq.where("seq % 50 <> 0")
 
 

@@ -187,3 +187,20 @@ def test_parsers(spark):
     q = messages.liquidation_prints(e('{"e":"forceOrder","o":{"s":"BTC"}}', '{"topic":"allLiquidation.X","data":[{"s":"A"},{"s":"B"}]}', '{"op":"ping"}', "{}")).collect()
     assert [(r.kind, r.symbol) for r in q] == [("data", "BTC"), ("data", "A"), ("data", "B"), ("control", None), ("unrouted", None)]
     assert isinstance(pd.DataFrame(q), pd.DataFrame)
+
+
+def test_loaders_clusters_limits(spark, tmp_path):
+    from marketframe.operators.clusters import clusters
+    from marketframe.plans import limits
+    from marketframe.sources import loaders
+
+    (tmp_path / "p.csv").write_text("date,symbol,open,high,low,close,quote_volume,trades,taker_buy_frac,minutes,rv_bps,funding_bps,funding_periods\n2024-01-01,A,1,1,1,1,5,2,,1440,,3,0\n2024-01-02,A,1,x,1,1,5,2,,1440,,3,1\n")
+    got = loaders.read_panel(spark, str(tmp_path / "p.csv")).orderBy("date").collect()
+    assert [(r.complete, r.funding_bps) for r in got] == [(True, None), (False, 3.0)]
+    nodes = spark.createDataFrame([(1, x) for x in "abcd"] + [(2, "a")], "g int, node string")
+    edges = spark.createDataFrame([(1, "c", "b"), (1, "b", "a")], "g int, a string, b string")
+    assert rows(clusters(nodes, edges, ["g"])) == [(1, "a", "a"), (1, "b", "a"), (1, "c", "a"), (1, "d", "d"), (2, "a", "a")]
+    one = spark.range(1).select(limits.position_size(F.lit(1000.0), F.lit(0.1), F.lit(0.001), {"cap": F.lit(50.0)}).alias("s")).first().s
+    assert (round(one.size, 6), one.bound) == (25.0, "kelly")
+    t = spark.createDataFrame([(1, i, i, float(p)) for i, p in enumerate([-1, -1, 2, -1, -1, -1])], "k int, ts_ms long, n long, pnl double")
+    assert limits.loss_streaks(t, ["k"]).first()[:] == (1, 3, -3.0)

@@ -7,15 +7,15 @@ ones almost alone.  Beginnings catch inflected forms that were never labelled.
 
 The label model knows each voter's accuracy (how often it speaks in toxic and in
 clean texts) and the correlations between voters; both are estimated by EM over
-the votes of at most ``SAMPLE`` documents, where known labels stay fixed.  A
-voter that agrees with others beyond what the label explains counts for less:
+the votes of at most ``SAMPLE`` labelled documents, whose labels stay fixed and
+calibrate it, and of about ``SAMPLE`` others, whose labels it infers.  A voter that agrees with others beyond what the label explains counts for less:
 its log-odds are divided by the sum of its correlations.
 
-The posterior labels train a logistic classifier over the voters' presence and
+The posterior labels of both train a logistic classifier over the voters' presence and
 counts; that classifier scores every word of every text.
 
 Defined cases: null and empty texts have no votes and get the score of a text
-without votes; without labels the seed lexicon alone votes; null labels are left
+without votes; without labels the seed lexicon alone votes, on unlabelled texts; null labels are left
 out; repeated rows get equal scores; other columns are ignored.
 """
 
@@ -29,13 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.llm.arrays import LOWER, NON_WORD, pieces, prefix_sums, spans_hash, word_spans
-from marketframe.llm.quality import labelled_sample
+from marketframe.llm.quality import is_held_out, labelled_sample
+from marketframe.llm.store import saved
 
 #: Words that are insults in most contexts.
 SEEDS = "idiot moron stupid clown loser scum pathetic disgusting worthless trash".split()
-SAMPLE, MAX_VOTERS = 12000, 256
-#: A mined voter stands in so many toxic texts at least, in so large a share of them, and in so many toxic ones for each clean one (times the labels' odds).
-MIN_TOXIC, MIN_SHARE, MIN_ODDS = 3, 0.01, 25.0
+SAMPLE = 12000
+#: A mined voter stands in so many toxic texts at least, and in so many toxic ones for each clean one (times the labels' odds).
+MIN_TOXIC, MIN_ODDS = 3, 25.0
 LENGTHS = (4, 5, 6, 7, 8)
 #: The whole word counts as a beginning of this length.
 WHOLE = 0
@@ -92,33 +93,49 @@ class ToxicModel:
         return out
 
 
-def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 8) -> np.ndarray:
-    """Posterior probability of each row (rows x voters of 0/1) being toxic.  known: 1, 0, or -1 where there is no label.
+def label_model(doc: np.ndarray, voter: np.ndarray, known: np.ndarray, n_voters: int, rounds: int = 8) -> np.ndarray:
+    """Posterior probability of each row being toxic.  doc, voter: the votes, each once.  known: 1, 0, or -1 where there is no label.
 
     Accuracies: P(vote | toxic) and P(vote | clean), smoothed.  Correlations: those of the votes' residuals given the label."""
-    post = np.where(known >= 0, known, (votes.sum(1) > 0)).astype(float)
+    n, voted = len(known), np.unique(doc)
+    post = np.where(known >= 0, known, np.isin(np.arange(n), voted)).astype(float)
     rate = np.clip(post.mean(), 0.01, 0.5)
+    both = np.zeros((n_voters, n_voters), np.float32)  # how often two voters speak together
+    row = np.searchsorted(voted, doc)
+    for k in range(0, len(voted), 512):
+        x = np.zeros((min(512, len(voted) - k), n_voters), np.float32)
+        own = (row >= k) & (row < k + 512)
+        x[row[own] - k, voter[own]] = 1
+        both += x.T @ x
     for _ in range(rounds):
         n1, n0 = post.sum(), (1 - post).sum()
-        a = (post @ votes + 0.5 * rate) / (n1 + 1)
-        b = ((1 - post) @ votes + 0.02) / (n0 + 10)
-        res = votes - (post[:, None] * a + (1 - post)[:, None] * b)
-        sd = np.sqrt((res**2).mean(0)) + 1e-6
-        corr = np.abs(res.T @ res) / len(res) / np.outer(sd, sd)
-        np.fill_diagonal(corr, 1)
-        alike = np.where(corr > 0.2, corr, 0).sum(1)
-        z = np.log(rate / (1 - rate)) + votes @ (np.log(a / b) / alike) + ((1 - votes) @ (np.log((1 - a) / (1 - b)) / alike))
+        s1, s0 = np.bincount(voter, post[doc], n_voters), np.bincount(voter, 1 - post[doc], n_voters)
+        a = (s1 + 0.5 * rate) / (n1 + 1)
+        b = (s0 + 0.02) / (n0 + 10)
+        q1, q0, q = post @ post, (1 - post) @ (1 - post), post @ (1 - post)
+        square = np.diag(both) - 2 * (s1 * a + s0 * b) + q1 * a * a + 2 * q * a * b + q0 * b * b
+        sd = np.sqrt(np.maximum(square, 0) / n) + 1e-6
+        alike = np.empty(n_voters)
+        for k in range(0, n_voters, 256):
+            i = slice(k, k + 256)
+            left = np.stack([s1[i], s0[i], a[i], b[i]], 1)
+            right = np.stack([-a, -b, q1 * a + q * b - s1, q * a + q0 * b - s0])
+            corr = np.abs(both[i] + left @ right) / n / np.outer(sd[i], sd)
+            corr[np.arange(len(corr)), np.arange(k, k + len(corr))] = 1
+            alike[i] = np.where(corr > 0.2, corr, 0).sum(1)
+        silent = np.log((1 - a) / (1 - b)) / alike
+        z = np.log(rate / (1 - rate)) + silent.sum() + np.bincount(doc, (np.log(a / b) / alike - silent)[voter], n)
         post = np.where(known >= 0, known, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
         rate = np.clip(post.mean(), 0.01, 0.5)
-    return np.where(known >= 0, 0.98 * known + 0.01, post)
+    return 0.98 * np.where(known >= 0, known, post) + 0.01  # an inferred label is no surer than a given one
 
 
 def fit(voters: np.ndarray, rows: list[tuple[np.ndarray, int]], labels: np.ndarray) -> ToxicModel:
-    """rows: each document's voters and the number of its voting words."""
-    x = np.zeros((len(rows), len(voters)), np.float32)
-    for i, (v, _) in enumerate(rows):
-        x[i, v] = 1
-    post = label_model(x, labels) if len(rows) else np.zeros(0)
+    """rows: each document's voters and the number of its voting words; labels: 1, 0, or -1 where there is none."""
+    size = len(voters)
+    doc = np.repeat(np.arange(len(rows)), [len(v) for v, _ in rows]).astype(np.int64)
+    voter = np.concatenate([v for v, _ in rows]).astype(np.int64) if len(rows) else doc
+    post = label_model(doc, voter, labels, size) if len(rows) else np.zeros(0)
     n = np.log1p(np.array([c for _, c in rows], float)) if len(rows) else np.zeros(0)
     # before data, and against voters that always speak together: one vote alone is likelier toxic than not
     prior = np.where(np.isin(voters, SEED_KEYS), SEED_WEIGHT, MINED_WEIGHT)
@@ -126,9 +143,9 @@ def fit(voters: np.ndarray, rows: list[tuple[np.ndarray, int]], labels: np.ndarr
     m = [np.zeros_like(w), 0.0, 0.0]
     v = [np.zeros_like(w), 0.0, 0.0]
     for k in range(1, 201 if len(rows) else 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + c * n + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, w[voter], len(rows)) + c * n + b, -30, 30)))
         r = (post - p) / len(rows)
-        grads = [x.T @ r - RIDGE * (w - prior), float(n @ r) - RIDGE * (c - 0.8), float(r.sum()) - RIDGE * (b + 3.0)]
+        grads = [np.bincount(voter, r[doc], size) - RIDGE * (w - prior), float(n @ r) - RIDGE * (c - 0.8), float(r.sum()) - RIDGE * (b + 3.0)]
         new = []
         for i, (val, g) in enumerate(zip((w, c, b), grads, strict=True)):
             m[i] = 0.9 * m[i] + 0.1 * g
@@ -139,7 +156,7 @@ def fit(voters: np.ndarray, rows: list[tuple[np.ndarray, int]], labels: np.ndarr
 
 
 def mine(sample: DataFrame) -> np.ndarray:
-    """Keys that stand in toxic documents almost alone: counted by Spark, at most MAX_VOTERS come to the driver."""
+    """Keys that stand in toxic documents almost alone: counted by Spark; all of them come to the driver, as many as the sample's toxic words give."""
 
     def distinct(batches):
         for batch in batches:
@@ -158,16 +175,24 @@ def mine(sample: DataFrame) -> np.ndarray:
     if not 0 < (known["toxic"] or 0) < known["n"]:
         return np.zeros(0, np.uint64)
     prior = known["toxic"] / known["n"]
-    least = max(MIN_TOXIC, MIN_SHARE * known["toxic"])
-    good = counts.where((F.col("toxic") >= least) & (odds >= MIN_ODDS * prior / (1 - prior)) & (F.col("n") - F.col("toxic") <= 0.02 * F.col("n")))
-    found = good.orderBy(F.desc("toxic"), "key").limit(MAX_VOTERS).collect()
+    good = counts.where((F.col("toxic") >= MIN_TOXIC) & (odds >= MIN_ODDS * prior / (1 - prior)) & (F.col("n") - F.col("toxic") <= 0.02 * F.col("n")))
+    found = good.select("key").collect()
     return np.array([r["key"] for r in found], np.int64).view(np.uint64)
 
 
+def unlabelled_sample(docs: DataFrame, size: int) -> DataFrame:
+    """(text, label null) of about ``size`` documents that aren't held out, chosen by a hash of the text."""
+    known = docs.where(F.col("text").isNotNull() & ~F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)))
+    share = F.pmod(F.xxhash64("text", F.lit("unlabelled")), F.lit(max(docs.count(), 1)))
+    return known.where(share < size).select("text", F.lit(None).cast("int").alias("label"))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicModel:
     # a text counts once, or the words of copied texts would look like signs
-    rows = labelled_sample(docs, labels, "toxic", sample).select(F.col("text").cast("binary").alias("text"), "label").groupBy("text").agg(F.max("label").alias("label"))
-    voters = np.unique(np.concatenate([mine(rows), SEED_KEYS]))
+    gold = labelled_sample(docs, labels, "toxic", sample).select("text", "label")
+    once = gold.union(unlabelled_sample(docs, sample)).select(F.col("text").cast("binary").alias("text"), "label").groupBy("text")
+    rows = saved(once.agg(F.coalesce(F.max("label"), F.lit(-1)).alias("label")))
+    voters = np.unique(np.concatenate([mine(rows.where("label >= 0")), SEED_KEYS]))
     blank = ToxicModel(voters, np.zeros(len(voters)), 0.0, 0.0)
 
     def votes(batches):

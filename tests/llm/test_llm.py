@@ -278,6 +278,30 @@ def test_toxicity(spark, empty):
     assert empty.select(toxicity.score(model, F.col("text"))).count() == 0
 
 
+def test_toxicity_learns_from_unlabelled_texts(spark):
+    docs, labels = labelled(spark)
+    few = labels.where("doc_id < 60")
+    r = np.random.default_rng(5)
+    more = [(1000 + i, sentence(r, 20, 300) + (" idiot moron vexo" if i % 3 == 0 else "")) for i in range(300)]
+    every = docs.union(spark.createDataFrame(more, "doc_id long, text string"))
+    alone, together = toxicity.train(docs.where("doc_id < 60"), few), toxicity.train(every, few)
+    assert not np.allclose(alone.presence[np.isin(alone.voters, toxicity.SEED_KEYS)], together.presence[np.isin(together.voters, toxicity.SEED_KEYS)])
+    seeds = toxicity.train(every, labels.limit(0))
+    assert not np.allclose(seeds.presence, toxicity.SEED_WEIGHT)  # nothing but unlabelled rows
+    doc, voter = np.array([0, 0, 1, 2, 2]), np.array([0, 1, 0, 0, 1])
+    post = toxicity.label_model(doc, voter, np.array([1, -1, -1, -1, 0, 0, 0]), 2)
+    assert min(post[:3]) > 0.5 > post[3]
+
+
+def test_toxicity_has_a_voter_for_every_word(spark):
+    r = np.random.default_rng(6)
+    bad = [f"{chr(97 + k // 26)}{chr(97 + k % 26)}qj{k}" for k in range(100)]  # each in a few texts of many
+    rows = [(i, sentence(r, 12, 300) + (f" {bad[i // 5 % 100]}" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(6000)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, toxic int"))
+    assert np.isin([toxicity.key_of(w) for w in bad], model.voters).all()
+
+
 def test_html(spark, empty):
     model = html_extract.train()
     wrong = 0

@@ -29,14 +29,17 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id."""
+    """One document of each group of near duplicates: the one with the least doc_id (a null one is the last).
+    Documents without words are in no group and stay; those without an id, too, since nothing says that two are one."""
     ship(spark)
-    groups = near_dedup.near_groups(docs).where("kept")
-    # a doc_id that comes with several texts of one group stays with one of them
-    stays = groups.groupBy("doc_id", "component_id", "n_shingles").agg(F.min("text_key").alias("text_key")).select("doc_id", "text_key").distinct()
-    marked = docs.alias("d").join(stays.alias("s"), _same("d", "s"), "left_semi").select(F.struct("d.*").alias("doc"))
+    groups = near_dedup.near_groups(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first")
+    one = groups.where("root is not null").groupBy("root").agg(first).select("first.doc_id", "first.text_key")
+    stays = one.union(groups.where("root is null and doc_id is not null").select("doc_id", "text_key")).distinct()
+    nameless = F.col("doc_id").isNull() & ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    marked = docs.where(~nameless).alias("d").join(stays.alias("s"), _same("d", "s"), "left_semi").select(F.struct("d.*").alias("doc"))
     nth = F.row_number().over(Window.partitionBy("doc.doc_id", F.xxhash64("doc.text")).orderBy(F.lit(1)))
-    return marked.withColumn("nth", nth).where("nth = 1").select("doc.*")
+    return marked.withColumn("nth", nth).where("nth = 1").select("doc.*").union(docs.where(nameless))
 
 
 def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

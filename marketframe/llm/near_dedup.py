@@ -148,7 +148,8 @@ def _fits(n: Column, m: Column) -> Column:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, text_key (a hash of the text, for joins)."""
+    """One row per document: doc_id, n_shingles, component_id, kept, text_key (a hash of the text, for joins),
+    root (the component's own key, independent of doc_id; null for an empty set)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
     signed = saved(texts.mapInArrow(_signatures, "doc_id long, text_key long, node long, n long, bands array<long>"))
     nodes = signed.where("n > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.max("n").alias("n"))
@@ -183,6 +184,6 @@ def near_groups(docs: DataFrame) -> DataFrame:
     # tables of their own, so that the joins may split a node or group that very many documents share
     named = saved(own.where("n > 0").join(saved(tops), "node", "left").withColumn("root", F.coalesce("root", "node")))
     first = saved(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    some = named.join(first, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key")
-    none = own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key")
-    return some.union(none).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
+    some = named.join(first, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key", "root")
+    none = own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key", F.lit(None).cast("long").alias("root"))
+    return some.union(none).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key", "root")

@@ -41,7 +41,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(_docs(spark, sf_dir)).drop("text_key")
+    return near_dedup.near_groups(_docs(spark, sf_dir)).drop("text_key", "root")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -318,6 +318,18 @@ def test_html(spark, empty):
     assert html_extract.extract(table.limit(0), model).count() == 0
 
 
+def test_near_dedup_filter_without_ids(spark):
+    import corpus_pipeline as P
+
+    r = np.random.default_rng(8)
+    a, b, c, d = (sentence(r, 60, 5000) for _ in range(4))
+    rows = [(None, a), (None, b), (7, c), (7, d), (None, ""), (None, " \n"), (8, ""), (8, "..."), (9, a + " tail"), (None, a + " two more"), (7, c + " tail")]
+    kept = P.near_dedup_filter(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    got = Counter((x.doc_id, x.text) for x in kept)
+    c_kept = (7, c) if (7, c) in got else (7, c + " tail")
+    assert got == Counter([(9, a + " tail"), (None, b), c_kept, (7, d), (None, ""), (None, " \n"), (8, ""), (8, "...")])
+
+
 def test_pipeline(spark, tmp_path, sf_dir):
     import corpus_pipeline as P
 

@@ -9,7 +9,9 @@ bands with a probability below 1e-7.
 Equal sets are one node from the start.  Within a band's group, nodes are
 compared with leaders, not with each other: first with the leader they share most
 bands with, then, where a group still holds several components, with the other
-leaders, with HUBS central members and with DRAWS members drawn at random.
+leaders, with HUBS central members and with DRAWS members drawn at random.  These
+rounds are there to save work: what then still lies in different components of one
+group is compared by an exact prefix-filtered join, so that no link is lost there.
 All links are confirmed on the full sets before they count, and groups are the
 connected components of confirmed links.
 
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.llm.arrays import LOWER, U64, mix, pieces, powers, prefix_sums, spans_hash, word_spans
@@ -133,10 +135,10 @@ def similar(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) that are similar; a's set moves to its leader b."""
     pairs = saved(pairs.select("a", "b").distinct())
-    sets = saved(sets_of(docs, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))))
+    sets = sets if sets is not None else saved(sets_of(docs, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))))
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
     with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     return saved(with_b.where(F.arrow_udf(similar, "boolean")("set_a", "set_b")).select("a", "b"))
@@ -147,6 +149,48 @@ def _fits(n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= SHARE * F.greatest(n, m)
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after ``links`` (a, b) have joined components; nodes that get their first link come in."""
+    root = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
+    between = links.join(root, "a", "left").join(root.select(F.col("a").alias("b"), F.col("root_a").alias("root_b")), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    lone = joined.select(F.col("root").alias("node"), "top")  # nodes that get their first link now
+    tops = roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return saved(tops.union(lone.join(roots, "node", "left_anti").select("node", F.col("top").alias("root"))))
+
+
+def _elements(batches):
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
+        at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(at)) for c in ("node", "n", "root")], pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], ["node", "n", "root", "shingle"])
+
+
+def _residual(members: DataFrame, tops: DataFrame, docs: DataFrame) -> DataFrame:
+    """All links (a, b) between different components of the groups that still hold several.
+
+    A link's nodes share a shingle within the rarest 25 % of both; positions and lengths bound what two
+    nodes that share it can have in common.  Of a shingle's pairs one node at least lies outside
+    the component that most of its nodes are of, so a group's main component never meets itself."""
+    placed = saved(members.join(tops, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root")))
+    open_ = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    nodes = saved(placed.join(open_, "band").select("node", "n", "root").distinct())
+    sets = saved(sets_of(docs, nodes).join(nodes, "node"))
+    rows = sets.mapInArrow(_elements, "node long, n long, root long, shingle long")
+    counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
+    need = F.floor((SHARE * F.col("n") + 99) / 100)
+    first = saved(rows.join(counts, "shingle").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - need + 1).where("often > 1").drop("often"))
+    main = first.groupBy("shingle", "root").count().groupBy("shingle").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    several = saved(first.join(main.select("shingle", "main"), "shingle"))
+    x, y = several.where("root <> main").alias("x"), several.alias("y")
+    both = 1 + F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank"))
+    enough = (100 + SHARE) * both >= SHARE * (F.col("x.n") + F.col("y.n"))
+    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & _fits(F.col("x.n"), F.col("y.n")) & enough
+    pairs = x.join(y, on).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
+    return _confirmed(pairs, docs, sets.select("node", "shingles"))
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, text_key (a hash of the text, for joins),
     root (the component's own key, independent of doc_id; null for an empty set)."""
@@ -175,14 +219,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     pairs = rest.union(near.select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b"))).distinct()
     more = _confirmed(pairs.join(best, ["a", "b"], "left_anti"), docs)
-    between = more.join(root, "a", "left").join(root.select(F.col("a").alias("b"), F.col("root_a").alias("root_b")), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    joined = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    lone = joined.select(F.col("root").alias("node"), "top")  # nodes that get their first link now
-    tops = roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(lone.join(roots, "node", "left_anti").select("node", F.col("top").alias("root")))
+    tops = _merged(roots, more)
+    tops = _merged(tops, _residual(members, tops, docs))
 
     own = signed.select("doc_id", "text_key", "node", "n")
     # tables of their own, so that the joins may split a node or group that very many documents share
-    named = saved(own.where("n > 0").join(saved(tops), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    named = saved(own.where("n > 0").join(tops, "node", "left").withColumn("root", F.coalesce("root", "node")))
     first = saved(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     some = named.join(first, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key", "root")
     none = own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key", F.lit(None).cast("long").alias("root"))

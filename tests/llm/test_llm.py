@@ -183,6 +183,30 @@ def test_near_dedup(docs, rows, empty):
     assert near_dedup.near_groups(empty).count() == 0
 
 
+def test_near_dedup_links_that_meet_no_leader(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    base = [f"b{k}" for k in range(150)]
+    texts = []
+    for k in range(40):  # unlike the others of the group, but in pairs like each other
+        ws = list(base)
+        for p in r.choice(150, 7, replace=False):
+            ws[p] = f"u{k}x{p}"
+        texts += [" ".join(ws), " ".join([*ws, "end"])]
+    sets = [shingles(t) for t in texts]
+    monkeypatch.setattr(near_dedup, "band_keys", lambda s, first: np.ones((len(first) - 1, 1), np.uint64))  # all in one group
+    monkeypatch.setattr(near_dedup, "HUBS", 1)
+    monkeypatch.setattr(near_dedup, "DRAWS", 1)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                root = [root[j] if x == root[i] else x for x in root]
+    want = {i: min(k for k in range(len(texts)) if root[k] == root[i]) for i in range(len(texts))}
+    assert len(set(want.values())) > 20
+    got = near_dedup.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == want
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mix(docs).collect()
     size, total = defaultdict(int), 0

@@ -7,7 +7,7 @@ probabilities of being good, weighted by the lines' lengths, passed through a
 logistic curve that is fitted with the model.
 
 The model is trained on at most ``SAMPLE`` labelled documents (the first by a
-hash of doc_id).  Their lines start with the document's label; after each fit, lines of bad
+hash of doc_id) and all their lines.  The lines start with the document's label; after each fit, lines of bad
 documents that look good by themselves are relabelled, so that a bad document
 may have good lines.  Scoring reads every line of every text.
 
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from marketframe.llm.arrays import pieces, prefix_sums, spans_hash, word_spans
 
-#: Labelled documents that the model is fitted on, and lines of each.
-SAMPLE, SAMPLE_LINES = 3000, 48
+#: Labelled documents that the model is fitted on, with all their lines.
+SAMPLE = 3000
 ROUNDS, STEPS = 3, 120
 
 #: Classes of bytes: lower case and others, upper case, digits, white space, stops, bars, exclamation marks, other signs.
@@ -218,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineModel
             for row, data, offsets in pieces(batch.column("text")):
                 own, lengths, first = line_features(data, offsets)
                 for i in range(len(offsets) - 1):
-                    a, z = first[i], min(first[i + 1], first[i] + SAMPLE_LINES)
+                    a, z = first[i], first[i + 1]
                     rows.append((int(batch.column("label")[row + i].as_py()), own[a:z].tobytes(), lengths[a:z].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["label", "own", "size"])
 

@@ -326,6 +326,15 @@ def test_toxicity_has_a_voter_for_every_word(spark):
     assert np.isin([toxicity.key_of(w) for w in bad], model.voters).all()
 
 
+def test_quality_reads_all_lines(spark, monkeypatch):
+    good, bad = "A plain line of quiet words.", "BUY!! NOW!! $$$ ### 99"
+    docs = spark.createDataFrame([(i, "\n".join([good] * 60 + [bad if i % 2 else good] * 60)) for i in range(60)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda own, size, label: seen.extend(len(x) for x in own))
+    quality.train(docs, docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality")))
+    assert set(seen) == {120}
+
+
 def test_html(spark, empty):
     model = html_extract.train()
     wrong = 0

@@ -40,10 +40,9 @@ def instrument_screen(spark: SparkSession, d: str) -> DataFrame:
 
 def symbol_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Symbols whose returns correlate at 0.1 or more, by year of the panel."""
-    p = P.log_return(P.usable(views.daily_bars(spark, d)), 1, "ret").withColumn("year", F.floor(F.col("date_idx") / 52))
-    one = p.where("year = 1")
-    pairs = P.correlations(one).where("corr >= 0.1").select(F.lit(1).alias("year"), "a", "b")
-    return clusters(one.select(F.col("year").cast("int").alias("year"), F.col("symbol").alias("node")), pairs, ["year"])
+    p = P.log_return(P.usable(views.daily_bars(spark, d)), 1, "ret").withColumn("year", F.floor(F.col("date_idx") / 52).cast("int"))
+    pairs = P.correlations(p, by=["year"]).where("corr >= 0.1").select("year", "a", "b")
+    return clusters(p.select("year", F.col("symbol").alias("node")), pairs, ["year"])
 
 
 _R = """case when reduce_only then case when held <> 0 and sign(held) <> sign(sg) and abs(held + sg) < abs(held) then '' else 'does not reduce' end else concat_ws('; ', case when leverage > 9 then 'leverage' end, case when size * price > 4000 then 'order too large' end, case when abs(pa) * mark > 9000 then 'position too large' end,

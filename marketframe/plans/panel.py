@@ -6,7 +6,7 @@ occur; windows are ranges of date_idx, so a symbol's missing dates stay missing.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,15 +143,16 @@ def attach_reference(panel: DataFrame, reference: DataFrame, canonical: Callable
     return single(panel).join(ref, ["name", "date"], "left")
 
 
-def correlations(panel: DataFrame, value: str = "ret", least: int = 20) -> DataFrame:
-    """(a, b, corr) of symbols a < b over dates that all usable symbols have, after taking out the date's mean."""
-    w = Window.partitionBy("date_idx")
-    x = panel.where(F.col(value).isNotNull()).withColumn("x", F.col(value) - F.avg(value).over(w)).select("symbol", "date_idx", "x")
-    good = x.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("symbol")
-    used = x.join(good, "symbol", "left_semi")
-    size = good.agg(F.count(F.lit(1)).alias("k"))
-    days = used.groupBy("date_idx").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(size), F.col("n") == F.col("k"), "left_semi").select("date_idx")
-    full = used.join(F.broadcast(days), "date_idx")  # one row a date
-    a, b = full.alias("a"), full.alias("b")
-    pairs = a.join(b, (F.col("a.date_idx") == F.col("b.date_idx")) & (F.col("a.symbol") < F.col("b.symbol")))
-    return pairs.groupBy(F.col("a.symbol").alias("a"), F.col("b.symbol").alias("b")).agg(correlation("a.x", "b.x").alias("corr"), F.count(F.lit(1)).alias("days")).where(F.col("days") >= least)
+def correlations(panel: DataFrame, value: str = "ret", least: int = 20, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., a, b, corr) of symbols a < b over dates that all usable symbols have, after taking out the date's mean; each group of ``by`` for itself."""
+    by = list(by)
+    w = Window.partitionBy(*by, "date_idx")
+    x = panel.where(F.col(value).isNotNull()).withColumn("x", F.col(value) - F.avg(value).over(w)).select(*by, "symbol", "date_idx", "x")
+    good = x.groupBy(*by, "symbol").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(*by, "symbol")
+    used = x.join(good, [*by, "symbol"], "left_semi")
+    size = good.groupBy(*by).agg(F.count(F.lit(1)).alias("k"))
+    n = used.groupBy(*by, "date_idx").agg(F.count(F.lit(1)).alias("n"))
+    days = (n.join(F.broadcast(size), by) if by else n.crossJoin(F.broadcast(size))).where("n = k").select(*by, "date_idx")
+    full = used.join(F.broadcast(days), [*by, "date_idx"])  # one row a date
+    pairs = full.select(*by, "date_idx", F.col("symbol").alias("a"), F.col("x").alias("x_a")).join(full.select(*by, "date_idx", F.col("symbol").alias("b"), F.col("x").alias("x_b")), [*by, "date_idx"]).where("a < b")
+    return pairs.groupBy(*by, "a", "b").agg(correlation("x_a", "x_b").alias("corr"), F.count(F.lit(1)).alias("days")).where(F.col("days") >= least)

@@ -204,3 +204,24 @@ def test_loaders_clusters_limits(spark, tmp_path):
     assert (round(one.size, 6), one.bound) == (25.0, "kelly")
     t = spark.createDataFrame([(1, i, i, float(p)) for i, p in enumerate([-1, -1, 2, -1, -1, -1])], "k int, ts_ms long, n long, pnl double")
     assert limits.loss_streaks(t, ["k"]).first()[:] == (1, 3, -3.0)
+
+
+def test_symbol_clusters_of_every_year(spark):
+    from marketframe.plans.panel import correlations
+
+    r = [((k * 37 + y * 11) % 101 - 50, (k * 53) % 97 - 48) for y in range(2) for k in range(30)]
+    panel = [(y, s, y * 52 + k, float(v)) for y in range(2) for k in range(30) for s, v in zip("abc", (r[y * 30 + k][0], r[y * 30 + k][0] + 1, r[y * 30 + k][1]), strict=True)]
+    df = spark.createDataFrame(panel, "year int, symbol string, date_idx long, ret double")
+    got = {(x.year, x.a, x.b): x["corr"] for x in correlations(df, by=["year"]).collect()}
+    for y in range(2):
+        one = {(y, x.a, x.b): x["corr"] for x in correlations(df.where(f"year = {y}")).collect()}
+        assert one and all(abs(got[k] - v) < 1e-9 for k, v in one.items())
+    assert {k[0] for k in got} == {0, 1}
+
+
+def test_clusters_of_a_long_chain(spark):
+    from marketframe.operators.clusters import clusters
+
+    nodes = spark.createDataFrame([(1, k) for k in range(40)], "g int, node int")
+    edges = spark.createDataFrame([(1, k, k + 1) for k in range(39)], "g int, a int, b int")
+    assert {x.cluster for x in clusters(nodes, edges, ["g"]).collect()} == {0}

@@ -117,10 +117,14 @@ l as (select *, ((sum(source_size) over ())::bigint * 1.5::double - coalesce(sum
   from w window before as (order by most / weight, source nulls last rows between unbounded preceding and 1 preceding)),
 f as (select *, (select arg_min(level, most / weight) from l where level * weight <= most) fits from l),
 t as (select source, source_size, coalesce(least(most, fits * weight), most) target from f),
-c as (select d.*, source_size, target, sum(size) over (partition by d.source order by place, doc_id, size rows unbounded preceding)::bigint - size before
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  (greatest(0, least(size, floor(target)::bigint - before)) + greatest(0, least(size, floor(target)::bigint - before - source_size)))::bigint taken from c
+c as (select d.*, source_size, target, row_number() over () id, sum(size) over (partition by d.source order by place, doc_id, size rows unbounded preceding)::bigint - size as first
+  from d join t on d.source is not distinct from t.source),
+k as (select id, source, size, target, first + copy * source_size s, greatest(0, least(size, floor(target)::bigint - (first + copy * source_size)))::bigint early from c, range(2) r(copy)),
+p as (select id, source, target, s, early words from k union all select id, source, target, s + early, size - early from k where s < target),
+q as (select id, words, sum(words) over (order by (s + words)::double / target, source nulls last, s rows unbounded preceding) run from p where words > 0),
+b as (select floor(1.5::double * coalesce(sum(size), 0))::bigint budget from d),
+n as (select id, sum(greatest(0, least(words, budget - (run - words))))::bigint taken from q, b group by id)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint taken from c left join n using (id)
 """
 
 

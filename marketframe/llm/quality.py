@@ -202,7 +202,8 @@ def fit(features: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndarra
 
 
 def is_held_out(doc_id: Column) -> Column:
-    return (F.crc32(doc_id.cast("string")) % 3) == 1
+    """Whether a document's label may not be learned from; false for a null id."""
+    return F.coalesce((F.crc32(doc_id.cast("string")) % 3) == 1, F.lit(False))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int) -> DataFrame:

@@ -153,6 +153,24 @@ def test_suffix_buckets(docs, rows, empty):
     assert suffix_dedup.deduplicate(empty).count() == 0
 
 
+def test_suffix_lengths_around_the_limit(spark):
+    r = np.random.default_rng(9)
+    filler = lambda n: "".join(chr(97 + k) for k in r.integers(0, 26, n))
+    rows, want = [], {}
+    for k, (size, wide) in enumerate([(399, False), (400, False), (401, False), (399, True), (400, True), (401, True), (450, True)]):
+        passage = ("é" * 40 + filler(size - 80)) if wide else filler(size)
+        assert len(passage.encode()) == size
+        for j in range(3):
+            rows.append((3 * k + j, f"{filler(300 + 40 * j)} {passage} {filler(120)}"))
+            want[3 * k + j] = (size if size >= 400 else 0, int(size >= 400))
+    # sides that the copies share by chance would lengthen them: the spaces are shared
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seqs = [t.encode() for _, t in rows]
+    exact = {i: int(c.sum()) for (i, _), c in zip(rows, removed(seqs, 400), strict=True)}
+    assert {i: n for i, (n, _) in got.items()} == exact
+    assert all(exact[i] >= n for i, (n, _) in want.items()) and exact[3] > 0 and {got[i][1] for i in got if exact[i]} == {1}
+
+
 def shingles(text):
     ws = words((text or "").translate(LOWER))
     return frozenset(tuple(ws[k : k + 5]) for k in range(len(ws) - 4)) if len(ws) >= 5 else frozenset([tuple(ws)] if ws else [])
@@ -310,11 +328,58 @@ def test_toxicity_learns_from_unlabelled_texts(spark):
     every = docs.union(spark.createDataFrame(more, "doc_id long, text string"))
     alone, together = toxicity.train(docs.where("doc_id < 60"), few), toxicity.train(every, few)
     assert not np.allclose(alone.presence[np.isin(alone.voters, toxicity.SEED_KEYS)], together.presence[np.isin(together.voters, toxicity.SEED_KEYS)])
-    seeds = toxicity.train(every, labels.limit(0))
-    assert not np.allclose(seeds.presence, toxicity.SEED_WEIGHT)  # nothing but unlabelled rows
-    doc, voter = np.array([0, 0, 1, 2, 2]), np.array([0, 1, 0, 0, 1])
-    post = toxicity.label_model(doc, voter, np.array([1, -1, -1, -1, 0, 0, 0]), 2)
-    assert min(post[:3]) > 0.5 > post[3]
+    seeds = toxicity.train(every, labels.limit(0))  # nothing but unlabelled rows
+    assert spark.range(1).select(toxicity.score(seeds, F.lit("such a moron")), toxicity.score(seeds, F.lit("vexo"))).first()[0] > 0.5
+
+
+def test_votes_decide_the_posteriors():
+    # rows 0-9 toxic, 10-39 clean, 40 labelled clean against three voters, 41 unlabelled with the voters, 42 unlabelled without
+    doc = np.array([*range(10), *range(8), *range(5, 10), 40, 40, 40, 41, 41, 41])
+    voter = np.array([0] * 10 + [1] * 8 + [2] * 5 + [0, 1, 2] * 2)
+    known = np.array([1] * 10 + [0] * 31 + [-1, -1])
+    with_ = toxicity.label_model(doc, voter, known, np.array([True, False, False])).posterior
+    fewer = toxicity.label_model(doc[doc < 40], voter[doc < 40], known, np.array([True, False, False])).posterior
+    assert with_[41] > 0.9 > fewer[41] and with_[42] < 0.1 and with_[40] > fewer[40] + 0.05
+    assert with_[:10].min() > 0.9 and with_[10:40].max() < 0.1
+
+
+def test_label_model_against_a_direct_version():
+    r = np.random.default_rng(4)
+    n, k, rounds = 60, 5, 3
+    y = r.random(n) < 0.3
+    x = r.random((n, k)) < np.where(y[:, None], 0.5, 0.1)
+    x[:, 4] = x[:, 3]  # two voters that always agree
+    known = np.where(r.random(n) < 0.6, y.astype(int), -1)
+    seed = np.array([True, True, False, False, False])
+    doc, voter = np.nonzero(x)
+    post = [float(known[i]) if known[i] >= 0 else float(x[i, seed].any()) for i in range(n)]
+    for _ in range(rounds):
+        rate = min(max(sum(post) / n, 0.01), 0.5)
+        n1, n0 = sum(post), n - sum(post)
+        a, b, x1, x0 = [], [], [], []
+        for j in range(k):
+            s1, s0 = sum(p for p, v in zip(post, x[:, j], strict=True) if v), sum(1 - p for p, v in zip(post, x[:, j], strict=True) if v)
+            a.append((s1 + 2) / (n1 + 20) if seed[j] else (s1 + 0.5 * rate) / (n1 + 1))
+            b.append((s0 + 0.02) / (n0 + 20) if seed[j] else (s0 + 0.02) / (n0 + 10))
+            x1.append(s1 / n1)
+            x0.append(s0 / n0)
+        left = np.array([[x[i, j] - post[i] * x1[j] - (1 - post[i]) * x0[j] for j in range(k)] for i in range(n)])
+        cov = left.T @ left / n
+        corr = np.abs(cov) / np.outer(np.sqrt(np.diag(cov)) + 1e-3, np.sqrt(np.diag(cov)) + 1e-3)
+        np.fill_diagonal(corr, 1)
+        alike = [sum(c for c in corr[j] if c > 0.2) for j in range(k)]
+        quiet = [not row.any() for row in x]
+        none1 = (sum(p for p, q in zip(post, quiet, strict=True) if q) + rate) / (n1 + 1)
+        none0 = (sum(1 - p for p, q in zip(post, quiet, strict=True) if q) + 1) / (n0 + 1)
+        g1 = (sum(p for p, l in zip(post, known, strict=True) if l == 1) + 97) / (sum(p for p, l in zip(post, known, strict=True) if l >= 0) + 100)
+        g0 = (sum(1 - p for p, l in zip(post, known, strict=True) if l == 1) + 1) / (sum(1 - p for p, l in zip(post, known, strict=True) if l >= 0) + 100)
+        new = []
+        for i in range(n):
+            z = np.log(rate / (1 - rate)) + (np.log(none1 / none0) if quiet[i] else sum(np.log(a[j] / b[j]) / alike[j] for j in range(k) if x[i, j]))
+            z += {1: np.log(g1 / g0), 0: np.log((1 - g1) / (1 - g0)), -1: 0}[int(known[i])]
+            new.append(1 / (1 + np.exp(-z)))
+        post = new
+    assert np.allclose(toxicity.label_model(doc, voter, known, seed, rounds).posterior, post, atol=1e-5)
 
 
 def test_toxicity_has_a_voter_for_every_word(spark):

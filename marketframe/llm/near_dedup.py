@@ -36,7 +36,7 @@ from marketframe.llm.store import saved
 WORDS, SHARE = 5, 75
 PERMUTATIONS, ROWS = 45, 3
 #: Further leaders of a group that still holds several components: central ones and random ones.
-HUBS, DRAWS = 12, 4
+HUBS, DRAWS = 2, 1
 #: Bits of the bitmap of nodes whose sets are needed, as a power of 2: 1 MB.
 BITS = 23
 _MULTIPLIERS = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * U64(0xD1342543DE82EF95)) | U64(1)

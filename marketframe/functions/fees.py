@@ -57,10 +57,10 @@ def round_trip_bps(entry: Column, exit_: Column, spread: Column) -> Column:
 def curve_violations(table: DataFrame) -> DataFrame:
     """What is wrong with a table of curves, over prices 0.00 to 1.00: venue, tier, problem."""
     grid = table.withColumn("cent", F.explode(F.sequence(F.lit(0), F.lit(100)))).withColumn("p", F.col("cent").cast("decimal(9,6)") / 100)
-    x = F.col("p") * (1 - F.col("p"))
+    fee = curve_fee(F.col("taker"), F.col("p"), F.lit(1000), F.lit(False))  # of 1,000 contracts, before rounding to cents
     facts = grid.groupBy("venue", "tier").agg(
-        F.min((F.col("taker") >= F.col("maker")).cast("int")).alias("ordered"), F.max(F.when(F.col("p").isin(0, 1), F.col("taker") * x)).alias("ends"),
-        F.max_by("p", F.col("taker") * x).alias("peak"), F.max("taker").alias("taker"), F.max("same_as").alias("same_as"),
+        F.min((F.col("taker") >= F.col("maker")).cast("int")).alias("ordered"), F.max(F.when(F.col("p").isin(0, 1), fee)).alias("ends"),
+        F.max_by("p", fee).alias("peak"), F.max("taker").alias("taker"), F.max("same_as").alias("same_as"),
     )
     facts = facts.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("venue", "taker")))
     copies = F.col("copies")

@@ -52,25 +52,25 @@ def crossed_resync(touch: DataFrame, by: Sequence[str], patience: int = 3) -> Da
     return island.withColumn("in_row", F.when(F.col("crossed"), nth).otherwise(0)).where((F.col("in_row") > 0) & (F.col("in_row") % patience == 0)).drop("_i")
 
 
-def level_validity(changes: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Absolute level changes (by..., side, price, size, ts_ms, n) as intervals [valid_from, valid_to): a level holds until its next change; size 0 ends it."""
-    w = Window.partitionBy(*by, "side", "price").orderBy("ts_ms", "n")
+def level_validity(changes: DataFrame, by: Sequence[str], epoch: str | None = None) -> DataFrame:
+    """Absolute level changes (by..., side, price, size, ts_ms, n) as intervals [valid_from, valid_to): a level holds until its next change; size 0 ends it.
+    With an ``epoch`` column, whose numbers grow (a snapshot starts one), all levels of an epoch end where the next one begins."""
+    keys = [*by, epoch] if epoch else list(by)
+    w = Window.partitionBy(*keys, "side", "price").orderBy("ts_ms", "n")
     spans = changes.withColumn("valid_from", F.col("ts_ms")).withColumn("valid_to", F.lead("ts_ms").over(w))
+    if epoch:
+        began = changes.groupBy(*keys).agg(F.min("ts_ms").alias("_began"))
+        ends = began.withColumn("_ends", F.lead("_began").over(Window.partitionBy(*by).orderBy(epoch))).drop("_began")  # one row an epoch
+        spans = spans.join(ends, keys).withColumn("valid_to", F.least("valid_to", "_ends")).drop("_ends")
     return spans.where((F.col("size") > 0) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from")))).drop("ts_ms", "n")
 
 
 def level_sizes(deltas: DataFrame, by: Sequence[str]) -> DataFrame:
     """Signed changes of size as sizes: a level never goes below zero, and the next change starts from there.
-    One fold over the changes of a level, inside the engine."""
-    lists = deltas.groupBy(*by, "side", "price").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "n", F.col("delta").cast("double").alias("delta")))).alias("all"))
-    kind = "array<struct<ts_ms:bigint,n:bigint,size:double>>"
-    start = F.struct(F.lit(0.0).alias("size"), F.array().cast(kind).alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        size = F.greatest(F.lit(0.0), s["size"] + x["delta"])
-        return F.struct(size.alias("size"), F.concat(s["out"], F.array(F.struct(x["ts_ms"].cast("bigint").alias("ts_ms"), x["n"].cast("bigint").alias("n"), size.alias("size")))).alias("out"))
-
-    return lists.select(*by, "side", "price", F.explode(F.aggregate("all", start, step)["out"]).alias("x")).select(*by, "side", "price", "x.*")
+    In closed form, the running sum less the least running sum so far (0 at most)."""
+    w = Window.partitionBy(*by, "side", "price").orderBy("ts_ms", "n").rowsBetween(Window.unboundedPreceding, 0)
+    summed = deltas.withColumn("_sum", F.sum(F.col("delta").cast("double")).over(w))
+    return summed.select(*by, "side", "price", "ts_ms", "n", (F.col("_sum") - F.least(F.lit(0.0), F.min("_sum").over(w))).alias("size"))
 
 
 def book_at(levels: DataFrame, by: Sequence[str], at: Column, depth: int) -> DataFrame:

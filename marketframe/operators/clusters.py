@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketframe.operators.saved import shared_folder
+
 
 def clusters(nodes: DataFrame, edges: DataFrame, by: Sequence[str]) -> DataFrame:
     """by..., node, cluster: the least node that ``edges`` (by..., a, b) connect it with; nodes without edges are alone.
     All graphs take a step together; each step is checkpointed, and the loop ends when no label moves."""
     by = list(by)
-    context = edges.sparkSession.sparkContext
-    if not edges.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="marketframe-"))  # local use only; clusters set the folder
+    shared_folder(edges.sparkSession)
     both = edges.select(*by, F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(*by, F.col("b"), F.col("a"))).distinct().checkpoint()
     labels = nodes.select(*by, "node").distinct().withColumn("cluster", F.col("node"))
     while True:

@@ -31,9 +31,15 @@ def taker_decision(fair: Column, bid: Column, ask: Column, fee: Column, least: f
 
 
 def without_overlap(decisions: DataFrame, by: Sequence[str], opens: str, resolves: str, tie: str) -> DataFrame:
-    """Greedy choice of a market's decisions: one is skipped while an earlier one runs.  A fold over the market's ordered decisions, inside the engine."""
-    one = F.struct(F.col(opens).alias("o"), F.col(tie).alias("t"), F.col(resolves).alias("r"))
-    lists = decisions.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("all"))
+    """Greedy choice of a market's decisions: one is skipped while an earlier one runs.
+    A decision that opens when all earlier ones have resolved is taken whatever went before, so a market falls into
+    stretches between such decisions; each is folded by itself, inside the engine, and gives its rows back."""
+    w = Window.partitionBy(*by).orderBy(opens, tie)
+    ended = F.max(resolves).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = decisions.withColumn("_new", F.coalesce(F.col(opens) >= ended, F.lit(True)).cast("int"))
+    cut = cut.withColumn("_stretch", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    row = F.struct(*[F.col(c) for c in decisions.columns])
+    lists = cut.groupBy(*by, "_stretch").agg(F.array_sort(F.collect_list(F.struct(F.col(opens).alias("o"), F.col(tie).alias("t"), F.col(resolves).alias("r"), row.alias("row")))).alias("all"))
     kind = lists.schema["all"].dataType.simpleString()
     start = F.struct(F.lit(None).cast("bigint").alias("busy"), F.array().cast(kind).alias("taken"))
 
@@ -41,8 +47,7 @@ def without_overlap(decisions: DataFrame, by: Sequence[str], opens: str, resolve
         free = s["busy"].isNull() | (x["o"] >= s["busy"])
         return F.struct(F.when(free, x["r"]).otherwise(s["busy"]).cast("bigint").alias("busy"), F.when(free, F.concat(s["taken"], F.array(x))).otherwise(s["taken"]).alias("taken"))
 
-    chosen = lists.select(*by, F.explode(F.aggregate("all", start, step)["taken"]).alias("x")).select(*by, F.col("x.t").alias(tie))
-    return decisions.join(chosen, [*by, tie], "left_semi")
+    return lists.select(F.explode(F.aggregate("all", start, step)["taken"]).alias("x")).select("x.row.*")
 
 
 def results(trades: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ def trades_asof_next_touch(spark: SparkSession, d: str) -> DataFrame:
 
 def touch_features(spark: SparkSession, d: str) -> DataFrame:
     s = features.order_flow(features.snapshot(views.book_top(spark, d)))
-    s = features.window_sum(features.window_sum(s, "ofi", HOUR, "ofi_1h"), "ofi", 6 * HOUR, "ofi_6h")
-    return s.select("instrument", "n", "mid", F.round("spread_bps", 6).alias("spread_bps"), F.round("micro_bps", 6).alias("micro_bps"), F.round("obi_1", 6).alias("obi_1"), "ofi", "ofi_1h", "ofi_6h")
+    s = features.window_sums(s, ["ofi"], [HOUR, 6 * HOUR])
+    return s.select("instrument", "n", "mid", F.round("spread_bps", 6).alias("spread_bps"), F.round("micro_bps", 6).alias("micro_bps"), F.round("obi_1", 6).alias("obi_1"), "ofi", F.col(f"ofi_{HOUR}").alias("ofi_1h"), F.col(f"ofi_{6 * HOUR}").alias("ofi_6h"))
 
 
 def trade_flow(spark: SparkSession, d: str) -> DataFrame:
@@ -35,6 +35,27 @@ def trade_flow(spark: SparkSession, d: str) -> DataFrame:
     return t.select("instrument", "n", F.round(f"tfi_{HOUR}", 6).alias("tfi_1h"), F.col(f"volume_{HOUR}").alias("volume_1h"), F.col(f"trades_{HOUR}").alias("trades_1h"), F.round(f"tfi_{6 * HOUR}", 6).alias("tfi_6h"))
 
 
+def _books(spark: SparkSession, d: str) -> DataFrame:
+    """The book after each update, five levels a side; every 29th is crossed."""
+    touch = views.book_top(spark, d)
+    ask = F.when(F.col("n") % 29 == 0, F.col("bid") - 1).otherwise(F.col("ask"))
+    levels = lambda price, size, sign: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct((price + sign * i).cast("double").alias("price"), (size + i).cast("double").alias("size")))
+    return touch.select("instrument", "n", "ts_ms", levels(F.col("bid"), F.col("bid_size"), -1).alias("bids"), levels(ask, F.col("ask_size"), 1).alias("asks"))
+
+
+def feature_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """The whole feature vector at each update and trade, with windows of hours, as the events are sparse."""
+    tape = views.tape(spark, d)
+    rates = tape.groupBy("instrument", (F.floor(F.col("ts_ms") / (8 * HOUR)) * 8 * HOUR).alias("ts_ms")).agg(F.count(F.lit(1)).alias("k"))
+    rates = rates.select("instrument", "ts_ms", (F.col("k") / 10000).alias("rate"), (F.col("ts_ms") + 8 * HOUR).alias("settles_ms"))
+    made = features.feature_snapshot(_books(spark, d), tape, rates, (HOUR, 6 * HOUR), (HOUR, 6 * HOUR, 12 * HOUR), (HOUR, 6 * HOUR, 12 * HOUR), (6 * HOUR, 12 * HOUR), (120, 60))
+    names = [c for c in made.columns if c not in ("instrument", "n", "ts", "received_ts", "vol_regime", "is_valid", "trade_count", "book_age_ms")]
+    short = {c: c for c in names}
+    for h in (1, 6, 12):
+        short |= {c: c.replace(str(h * HOUR), f"{h}h") for c in names if c.endswith(f"_{h * HOUR}")}
+    return made.select("instrument", "n", "ts", "received_ts", *[F.round(c, 4).alias(short[c]) for c in names], "vol_regime", "trade_count", "book_age_ms", "is_valid")
+
+
 def mid_returns(spark: SparkSession, d: str) -> DataFrame:
     touch = views.book_top(spark, d)
     rows = features.past_returns(features.snapshot(touch).select("instrument", "n", "ts_ms", "mid"), touch, [HOUR, 12 * HOUR])
@@ -184,7 +205,53 @@ def _wsum(x: str, h: int) -> str:
 _OFI = _GOOD + """, of_ as (select *, lag(bid) over w pb, lag(ask) over w pa, lag(bid_size) over w pqb, lag(ask_size) over w pqa from good window w as (partition by instrument order by ts_ms, n)),
 ofi as (select *, case when pb is null then 0 else case when bid > pb then bid_size when bid = pb then bid_size - pqb else -pqb end + case when ask < pa then -ask_size when ask = pa then -(ask_size - pqa) else pqa end end::double o from of_)"""
 
+_SNAP = f"""{views.BOOK_SQL}, {views.TAPE_SQL},
+bk as (select instrument, n, ts_ms, bid, case when n % 29 = 0 then bid - 1 else ask end ask, bid_size, ask_size from touch),
+good as (select *, (bid + ask) / 2.0::double mid from bk where bid > 0 and bid < ask),
+mids as (select instrument, ts_ms, arg_max(mid, n) mid from good group by 1, 2),
+of_ as (select *, lag(bid) over w pb, lag(ask) over w pa, lag(bid_size) over w pqb, lag(ask_size) over w pqa from good window w as (partition by instrument order by ts_ms, n)),
+ofi as (select *, case when pb is null then 0 else case when bid > pb then bid_size when bid = pb then bid_size - pqb else -pqb end + case when ask < pa then -ask_size when ask = pa then -(ask_size - pqa) else pqa end end::double o from of_),
+ow as (select *, {_wsum('o', HOUR)} ofi_1h, {_wsum('o', 6 * HOUR)} ofi_6h, min(ts_ms) over (partition by instrument) began from ofi),
+r2 as (select *, coalesce(pow(ln(mid / lag(mid) over (partition by instrument order by ts_ms)), 2), 0) q from mids),
+rs as (select instrument, ts_ms, sum(q) over a - first(q) over a qa, (ts_ms - first(ts_ms) over a) / 1000.0::double sa, count(*) over a ca, sum(q) over b - first(q) over b qb, (ts_ms - first(ts_ms) over b) / 1000.0::double sb, count(*) over b cb from r2
+  window a as (partition by instrument order by ts_ms range between {6 * HOUR} preceding and current row), b as (partition by instrument order by ts_ms range between {12 * HOUR} preceding and current row)),
+rv as (select instrument, ts_ms, case when ca < 3 then 0 else sqrt(greatest(qa, 0) / sa) * 10000 end rv_6h, case when cb < 3 then 0 else sqrt(greatest(qb, 0) / sb) * 10000 end rv_12h from rs),
+rl as (select instrument, ts_ms, rv_12h, list_sort(list(rv_12h) over (partition by instrument order by ts_ms rows between 119 preceding and current row)) l from rv where rv_12h > 0),
+rg as (select instrument, ts_ms, case when len(l) < 60 then 'unknown' when rv_12h <= l[floor(len(l) * 0.33::double)::int + 1] then 'low' when rv_12h >= l[floor(len(l) * 0.67::double)::int + 1] then 'high' else 'normal' end regime from rl),
+b1 as (select ow.*, rv_6h, rv_12h, ts_ms - {HOUR} k1, ts_ms - {6 * HOUR} k6, ts_ms - {12 * HOUR} k12 from ow join rv using (instrument, ts_ms)),
+b2 as (select b1.*, m.mid m1 from b1 asof left join mids m on b1.instrument = m.instrument and b1.k1 >= m.ts_ms),
+b3 as (select b2.*, m.mid m6 from b2 asof left join mids m on b2.instrument = m.instrument and b2.k6 >= m.ts_ms),
+b4 as (select b3.*, m.mid m12 from b3 asof left join mids m on b3.instrument = m.instrument and b3.k12 >= m.ts_ms),
+b5 as (select b4.*, coalesce(g.regime, 'unknown') vol_regime from b4 asof left join rg g on b4.instrument = g.instrument and b4.ts_ms >= g.ts_ms),
+bb as (select bk.instrument, bk.n, bk.ts_ms bts, b5.n is not null usable, b5.mid, b5.bid, b5.ask, b5.bid_size, b5.ask_size, ofi_1h, ofi_6h, rv_6h, rv_12h, m1, m6, m12, b5.vol_regime, b5.ts_ms - began hist from bk left join b5 using (instrument, n)),
+tw as (select instrument, n, ts_ms, price, size, case when is_buy then size else 0 end bs, price * size paid, 1 one from tape),
+tt as (select instrument, n, ts_ms tts, price last_price, {_wsum('bs', HOUR)} c1, {_wsum('size', HOUR)} v1, {_wsum('one', HOUR)} t1, {_wsum('paid', HOUR)} p1, {_wsum('bs', 6 * HOUR)} c6, {_wsum('size', 6 * HOUR)} v6, {_wsum('bs', 12 * HOUR)} c12, {_wsum('size', 12 * HOUR)} v12 from tw),
+ev as (select instrument, ts_ms, n, true is_book from bk union all select instrument, ts_ms, n, false from tape),
+ix as (select *, max(case when is_book then (ts_ms, n) end) over w bk_, max(case when not is_book then (ts_ms, n) end) over w tp_ from ev window w as (partition by instrument order by ts_ms, n, is_book rows unbounded preceding)),
+fu as (select instrument, ts_ms // {8 * HOUR} * {8 * HOUR} ts_ms, count(*) / 10000.0::double rate from tape group by 1, 2),
+jo as (select ix.instrument, ix.ts_ms, ix.n, bb.* exclude (instrument, n), tt.* exclude (instrument, n) from ix left join bb on bb.instrument = ix.instrument and bb.bts = ix.bk_[1] and bb.n = ix.bk_[2] left join tt on tt.instrument = ix.instrument and tt.tts = ix.tp_[1] and tt.n = ix.tp_[2]),
+fj as (select jo.*, fu.rate, fu.ts_ms + {8 * HOUR} settles from jo asof left join fu on jo.instrument = fu.instrument and jo.ts_ms >= fu.ts_ms)"""
+
+
+def _z(x: str, places: int = 4) -> str:
+    return f"round(case when usable then coalesce({x}, 0) else 0 end::double, {places})"
+
+
+def _dep(side: str, n: int) -> str:
+    return f"({n} * {side} + {n * (n - 1) // 2})::double"
+
+
 ORACLES = {
+    "feature_snapshot": f"""with {_SNAP} select instrument, n, coalesce(bts, ts_ms) ts, ts_ms received_ts, {_z('mid')} mid, {_z('(bid * ask_size + ask * bid_size) / (bid_size + ask_size)::double')} microprice,
+{_z('((bid * ask_size + ask * bid_size) / (bid_size + ask_size)::double - mid) / mid * 10000')} microprice_delta_bps, {_z('ask - bid')} spread, {_z('(ask - bid) / mid * 10000')} spread_bps,
+{_z('(bid_size - ask_size) / (bid_size + ask_size)::double')} obi_1, {_z(f"({_dep('bid_size', 5)} - {_dep('ask_size', 5)}) / ({_dep('bid_size', 5)} + {_dep('ask_size', 5)})")} obi_5, {_z(f"({_dep('bid_size', 5)} - {_dep('ask_size', 5)}) / ({_dep('bid_size', 5)} + {_dep('ask_size', 5)})")} obi_20,
+{_z('ofi_1h')} ofi_1h, {_z('ofi_6h')} ofi_6h, {_z('ln(mid / m1) * 10000')} ret_1h, {_z('ln(mid / m6) * 10000')} ret_6h, {_z('ln(mid / m12) * 10000')} ret_12h, {_z('rv_6h')} rv_6h, {_z('rv_12h')} rv_12h, {_z(_dep('bid_size', 5))} bid_depth_20, {_z(_dep('ask_size', 5))} ask_depth_20,
+case when usable then vol_regime else 'unknown' end vol_regime, {_z('hist / 1000.0::double')} history_seconds, {_z('(2 * c1 - v1) / v1::double')} tfi_1h, {_z('(2 * c6 - v6) / v6::double')} tfi_6h, {_z('(2 * c12 - v12) / v12::double')} tfi_12h,
+case when usable then coalesce(t1, 0) else 0 end::bigint trade_count, {_z('v1')} volume, {_z('p1 / v1::double')} vwap, {_z('last_price')} last_price, {_z('rate')} funding_rate, {_z('greatest(0, (settles - bts) / 1000.0::double)')} funding_ttl_s,
+greatest(0, ts_ms - bts) book_age_ms, round((ts_ms - tts) / 1000.0::double, 4) tape_staleness_s, coalesce(usable, false) is_valid from fj""",
+    "mid_regime": f"""with {_GOOD}, r as (select *, coalesce(pow(ln(mid / lag(mid) over (partition by instrument order by ts_ms)), 2), 0) r2 from mids), s as (select instrument, ts_ms, sum(r2) over w - first(r2) over w q, (ts_ms - first(ts_ms) over w) / 1000.0::double sec, count(*) over w n from r window w as (partition by instrument order by ts_ms range between {12 * HOUR} preceding and current row)),
+v as (select instrument, ts_ms, round(case when n < 3 then 0 else sqrt(greatest(q, 0) / sec) * 10000 end, 4) rv from s), l as (select *, list_sort(list(rv) over (partition by instrument order by ts_ms rows between 119 preceding and current row)) l from v where rv > 0)
+select instrument, case when len(l) < 60 then 'unknown' when rv <= l[floor(len(l) * 0.33::double)::int + 1] then 'low' when rv >= l[floor(len(l) * 0.67::double)::int + 1] then 'high' else 'normal' end regime, count(*) n from l group by 1, 2""",
     "trades_asof_touch": f"with {_GOOD}, {views.TAPE_SQL} select t.instrument, t.n, t.price, m.bid, m.ask from tape t asof left join mids m on t.instrument = m.instrument and t.ts_ms >= m.ts_ms",
     "trades_asof_next_touch": f"with {_GOOD}, {views.TAPE_SQL} select t.instrument, t.n, t.price, m.bid, m.ask from tape t asof left join mids m on t.instrument = m.instrument and t.ts_ms <= m.ts_ms",
     "touch_features": f"with {_OFI} select instrument, n, mid, round((ask - bid) / mid * 10000, 6) spread_bps, round(((bid * ask_size + ask * bid_size) / (bid_size + ask_size)::double - mid) / mid * 10000, 6) micro_bps, round((bid_size - ask_size) / (bid_size + ask_size)::double, 6) obi_1, o ofi, {_wsum('o', HOUR)} ofi_1h, {_wsum('o', 6 * HOUR)} ofi_6h from ofi",
@@ -219,6 +286,6 @@ select o.order_id, case when c.order_id is not null then size else least(size, c
     "session_gaps": "with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 12 hours then 0 else 1 end nw from events where event_type = 'error'), s as (select *, sum(nw) over (partition by user_id order by ts) s from e), g as (select user_id, s, count(*) n from s group by 1, 2) select user_id, count(*) sessions, max(n) longest from g group by 1",
 }
 QUERIES = [
-    trades_asof_touch, trades_asof_next_touch, touch_features, trade_flow, mid_returns, mid_volatility, mid_regime, forward_labels, sequence_gaps, crossed_resyncs, level_intervals, book_at_noon, level_deltas,
+    trades_asof_touch, trades_asof_next_touch, touch_features, feature_snapshot, trade_flow, mid_returns, mid_volatility, mid_regime, forward_labels, sequence_gaps, crossed_resyncs, level_intervals, book_at_noon, level_deltas,
     thinned_touch, thinned_touch_by_bucket, frame_copies, lag_by_hour, lag_split, lag_episodes, late_together, poll_changes, archive_rate, fill_bracket, tumbling_flow, sliding_flow, session_gaps,
 ]

@@ -16,7 +16,7 @@ HOUR = 3_600_000
 def _rows(spark: SparkSession, d: str) -> DataFrame:
     """Feature rows with a forward label: spread, microprice, imbalance, flow."""
     touch = views.book_top(spark, d)
-    s = features.window_sum(features.order_flow(features.snapshot(touch)), "ofi", HOUR, "ofi_1h")
+    s = features.window_sums(features.order_flow(features.snapshot(touch)), ["ofi"], [HOUR]).withColumnRenamed(f"ofi_{HOUR}", "ofi_1h")
     rows = s.select("instrument", "n", "ts_ms", "mid", F.round("spread_bps", 6).alias("spread_bps"), F.round("micro_bps", 6).alias("micro_bps"), F.round("obi_1", 6).alias("obi_1"), "ofi_1h")
     return features.forward_labels(rows, touch, [HOUR], 5.0).withColumn("y", F.col(f"fwd_{HOUR}"))
 

@@ -30,6 +30,16 @@ def taker_decision(fair: Column, bid: Column, ask: Column, fee: Column, least: f
     )
 
 
+def maker_decision(fair: Column, bid: Column, ask: Column, least: float | str, tick: float | str = "0.01") -> Column:
+    """A resting order one tick inside the touch whose edge is ``least`` or more; YES comes first: struct(outcome, price) or null."""
+    kind = "decimal(9,6)"
+    step, edge = F.lit(str(tick)).cast(kind), F.lit(str(least)).cast(kind)
+    buy, sell = ask - step, bid + step
+    return F.when((buy > bid) & (fair - buy >= edge), F.struct(F.lit("YES").alias("outcome"), buy.cast(kind).alias("price"))).when(
+        (sell < ask) & (sell - fair >= edge), F.struct(F.lit("NO").alias("outcome"), (1 - sell).cast(kind).alias("price"))
+    )
+
+
 def without_overlap(decisions: DataFrame, by: Sequence[str], opens: str, resolves: str, tie: str) -> DataFrame:
     """Greedy choice of a market's decisions: one is skipped while an earlier one runs.
     A decision that opens when all earlier ones have resolved is taken whatever went before, so a market falls into
@@ -72,6 +82,27 @@ def touch_at_offsets(touch: DataFrame, contracts: DataFrame, offsets_ms: Sequenc
     return asof_join(asked, good, by, "ts_ms", ["touch_ms", "bid", "ask"], bucket=86_400_000)
 
 
+def label_rows(contracts: DataFrame, results: DataFrame, touch: DataFrame, offsets_ms: Sequence[int], by: Sequence[str], now_ms: int, grace_ms: int = 180_000, done: DataFrame | None = None) -> DataFrame:
+    """Labelled rows: market_id, offset_ms, touch_ms, entry_ask, entry_bid, resolved_yes, labelled_ms of every contract that has
+    resolved ``grace_ms`` ago or more and has a result, at each offset that had a usable touch; rows that the label guard
+    refuses, and those of ``done`` (market_id, offset_ms), aren't made.
+
+    ``contracts``: by..., market_id, opens_ms, resolves_ms, source; ``results``: market_id, resolved_yes (null: open), source."""
+    due = contracts.where(F.col("resolves_ms") + grace_ms <= now_ms).alias("c").join(results.where("resolved_yes is not null").alias("r"), "market_id").select("c.*", "r.resolved_yes", F.col("r.source").alias("result_source"))
+    rows = touch_at_offsets(touch, due, offsets_ms, by).where("touch_ms is not null").withColumn("labelled_ms", F.lit(now_ms).cast("long"))
+    refused = label_problems(F.coalesce("opens_ms", F.col("touch_ms")), F.col("resolves_ms"), F.col("labelled_ms"), F.col("result_source"), F.col("source"))
+    out = rows.where(F.size(refused) == 0).select("market_id", "offset_ms", "touch_ms", F.col("ask").alias("entry_ask"), F.col("bid").alias("entry_bid"), "resolved_yes", "labelled_ms")
+    return out.join(done.select("market_id", "offset_ms"), ["market_id", "offset_ms"], "left_anti") if done is not None else out
+
+
+def improves_touch(orders: DataFrame, touch: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``orders`` (by..., order_id, side, price, start_ms) with ``improves``: alone at its level, better than its own side's best and inside the spread, when it is placed."""
+    at = touch.groupBy(*by, "ts_ms").agg(F.max_by(F.struct("bid", "ask"), "n").alias("t")).select(*by, "ts_ms", F.col("t.bid").alias("best_bid"), F.col("t.ask").alias("best_ask"))
+    seen = asof_join(orders.withColumn("ts_ms", F.col("start_ms")), at, by, "ts_ms", ["best_bid", "best_ask"], bucket=86_400_000)
+    inside = F.coalesce(F.col("price") > F.col("best_bid"), F.lit(True)) & F.coalesce(F.col("price") < F.col("best_ask"), F.lit(True))
+    return seen.withColumn("improves", inside).drop("ts_ms")
+
+
 def fill_bracket(orders: DataFrame, prints: DataFrame, touch: DataFrame, by: Sequence[str], bucket: int) -> DataFrame:
     """For resting bids (order_id, price, size, queue, start_ms, end_ms): the least and the most that may have been filled.
 
@@ -93,6 +124,15 @@ def fill_bracket(orders: DataFrame, prints: DataFrame, touch: DataFrame, by: Seq
     return all_.select("order_id", best.alias("optimistic"), worst.alias("pessimistic"), cause.alias("cause"))
 
 
+def fill_brackets(orders: DataFrame, prints: DataFrame, touch: DataFrame, by: Sequence[str], bucket: int) -> DataFrame:
+    """``fill_bracket`` for orders of both sides (``side``: buy or sell): a sell order is a bid of the mirrored market."""
+    bids = fill_bracket(orders.where("side = 'buy'").drop("side"), prints, touch, by, bucket)
+    back = lambda df, *names: df.select(*[(-F.col(c)).alias(c) if c in names else F.col(c) for c in df.columns])
+    turned = touch.withColumn("_b", -F.col("ask")).withColumn("ask", -F.col("bid")).withColumn("bid", F.col("_b")).drop("_b")
+    asks = fill_bracket(back(orders.where("side = 'sell'").drop("side"), "price"), back(prints, "price").withColumn("is_buy", ~F.col("is_buy")), turned, by, bucket)
+    return bids.union(asks)
+
+
 def average_cost(fills: DataFrame, by: Sequence[str]) -> DataFrame:
     """position, cost (of the open position), realised of an ordered fill log; selling more than is held flips the position.
     One fold over the key's fills in time order, inside the engine; prices and sizes are whole numbers."""

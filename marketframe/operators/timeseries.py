@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketframe.operators.saved import saved
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, values: Sequence[str], forward: bool = False, bucket: int | None = None) -> DataFrame:
     """For each row of ``left`` the ``values`` of the last row of ``right`` at or before it
@@ -147,12 +149,32 @@ def thin_by_bucket(df: DataFrame, by: Sequence[str], at: str, order: Sequence[st
     return first_of(df.withColumn("_bucket", F.floor(F.col(at) / interval)), [*by, "_bucket"], order).drop("_bucket", "copies")
 
 
-def restamp(df: DataFrame, stamp: str, by: Sequence[str], order: Sequence[str], lag: int = 0) -> Column:
-    """A venue clock: the freshest stamp so far, or the first one for rows before any."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    so_far = F.max(stamp).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first(stamp, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return F.coalesce(so_far, first) + lag
+def prefix_max(df: DataFrame, value: str, by: Sequence[str], at: str, order: Sequence[str], name: str, bucket: int = 86_400_000) -> DataFrame:
+    """``name``: the largest ``value`` so far in each key's order, which begins with ``at``; by buckets of time that hand their maximum on, so no task holds a whole key."""
+    cut = df.withColumn("_bucket", F.floor(F.col(at) / bucket))
+    tops = cut.groupBy(*by, "_bucket").agg(F.max(value).alias("_top"))
+    carried = tops.withColumn("_carry", F.max("_top").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")  # one row a bucket
+    inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    made = cut.withColumn("_here", F.max(value).over(inside)).join(carried, [*by, "_bucket"])
+    return made.withColumn(name, F.greatest("_here", "_carry")).drop("_bucket", "_here", "_carry")
+
+
+def restamp(df: DataFrame, stamp: str, by: Sequence[str], at: str, order: Sequence[str], name: str = "clock", lag: int = 0) -> DataFrame:
+    """``df`` with a venue clock: the freshest stamp so far, or the first one for rows before any."""
+    first = df.groupBy(*by).agg(F.min_by(stamp, F.when(F.col(stamp).isNotNull(), F.struct(*order))).alias("_first"))
+    made = prefix_max(df, stamp, by, at, order, name).join(first, list(by))
+    return made.withColumn(name, F.coalesce(name, "_first") + lag).drop("_first")
+
+
+def prefix_total(df: DataFrame, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` over all rows before a row in a global order (of distinct keys).
+    Rows are range-partitioned once and written; each part is summed by itself, and the parts' totals give what lies before."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = saved(df.withColumn("_v", value).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy("_part").agg(F.sum("_v").alias("_sum"))
+    bases = totals.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # one row a part
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0))).join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + F.col("_in")).drop("_v", "_part", "_in", "_base")
 
 
 def interval_join(points: DataFrame, spans: DataFrame, by: Sequence[str], at: str, start: str, end: str, bucket: int) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketframe.functions.prices import leg_tag
 from marketframe.operators.timeseries import interval_join, with_drawdown
 
 PERIOD_MS = 8 * 3_600_000
@@ -68,3 +69,18 @@ def alerts(state: DataFrame) -> DataFrame:
         F.when(F.col("realised") < 0.5 * F.col("planned"), "carry below plan"), F.when(F.col("breakeven") > F.col("hold"), "breakeven after the hold"),
     ))
     return state.withColumn("alerts", found)
+
+
+def leg_totals(fills: DataFrame) -> DataFrame:
+    """Fills (client_id, side, price, size, fee, ts_ms) of hedged pairs joined by their tag: tag, perp and spot (signed sizes), their average prices,
+    fees, opened_ms, what isn't hedged as a share of the spot size, and the entry basis in bps; fills without a tag belong to no pair."""
+    leg = F.regexp_extract("client_id", "^carry[0-9a-f]+([psu])", 1)
+    rows = fills.withColumn("tag", leg_tag(F.col("client_id"))).where("tag is not null").withColumn("_leg", F.when(leg == "p", "perp").otherwise("spot"))
+    signed = F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size")).cast("double")
+    of = lambda kind, x: F.coalesce(F.sum(F.when(F.col("_leg") == kind, x)), F.lit(0.0))
+    paid = F.col("price") * F.col("size").cast("double")
+    per = rows.groupBy("tag").agg(
+        of("perp", signed).alias("perp"), of("spot", signed).alias("spot"), (of("perp", paid) / F.nullif(of("perp", F.col("size").cast("double")), F.lit(0.0))).alias("perp_price"),
+        (of("spot", paid) / F.nullif(of("spot", F.col("size").cast("double")), F.lit(0.0))).alias("spot_price"), F.sum("fee").alias("fees"), F.min("ts_ms").alias("opened_ms"),
+    )
+    return per.withColumn("delta_share", F.abs(F.col("perp") + F.col("spot")) / F.nullif(F.abs("spot"), F.lit(0.0))).withColumn("basis_bps", (F.col("spot_price") - F.col("perp_price")) / F.col("spot_price") * 10_000)

@@ -141,8 +141,7 @@ def lag_by_hour(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lag_split(spark: SparkSession, d: str) -> DataFrame:
-    fresh = T.restamp(_raw(spark, d), "stamp", BY, ["t", "n"])
-    r = _raw(spark, d).withColumn("freshest", fresh)
+    r = T.restamp(_raw(spark, d), "stamp", BY, "t", ["t", "n"], "freshest")
     return r.select("instrument", "n", "t", (F.col("stamp") - F.col("freshest")).alias("venue"), (F.col("t") - F.col("freshest")).alias("after"))
 
 
@@ -267,6 +266,9 @@ select instrument, case when len(l) < 60 then 'unknown' when rv <= l[floor(len(l
 w as (select instrument, side, price, k, greatest(0, delta) s from dl where k = 1 union all select d.instrument, d.side, d.price, d.k, greatest(0, w.s + d.delta) from w join dl d on d.instrument = w.instrument and d.side = w.side and d.price = w.price and d.k = w.k + 1)
 select instrument, side, price, arg_max(s, k) size, max(s) most from w group by 1, 2, 3""",
     "thinned_touch_by_bucket": f"with {views.BOOK_SQL} select instrument, n, ts_ms from touch qualify row_number() over (partition by instrument, ts_ms // {HOUR} order by ts_ms, n) = 1",
+    "thinned_touch": f"""with recursive {views.BOOK_SQL}, k as (select instrument, n, ts_ms, bid, ask from touch qualify row_number() over (partition by instrument order by ts_ms, n) = 1
+union all select x.instrument, x.n, x.ts_ms, x.bid, x.ask from (select k.instrument, min((t.ts_ms, t.n, t.bid, t.ask)) b from k join touch t on t.instrument = k.instrument and t.ts_ms >= k.ts_ms + {HOUR} group by k.instrument) y, lateral (select y.instrument, y.b[1] ts_ms, y.b[2] n, y.b[3] bid, y.b[4] ask) x)
+select instrument, n, ts_ms, bid, ask from k""",
     "frame_copies": f"with {_RAW}, k as (select *, row_number() over (partition by instrument, m order by t, n) nth, count(*) over (partition by instrument, m) c from raw) select instrument, count(*) frames, sum(c - 1)::bigint dropped, sum(t)::bigint t_sum from k where nth = 1 group by 1",
     "lag_by_hour": f"with {_RAW}, h as (select *, t // {HOUR} % 24 as hour from raw) select instrument, hour, count(*) n, quantile_cont(lag, 0.5)::double p50, quantile_cont(lag, 0.9)::double p90, max(lag) most, round(avg((lag > 5000)::int), 6) late from h group by rollup (instrument, hour)",
     "lag_split": f"with {_RAW}, f as (select *, max(stamp) over (partition by instrument order by t, n rows unbounded preceding) freshest from raw) select instrument, n, t, stamp - freshest venue, t - freshest as \"after\" from f",

@@ -87,3 +87,9 @@ def scorecard(closed: DataFrame) -> DataFrame:
     """Closed pairs (planned_bps, funding, fees, price_pnl, notional, days): what was earned against the plan."""
     net = F.col("funding") + F.col("price_pnl") - F.col("fees")
     return closed.withColumn("net", net).withColumn("net_bps", net / F.col("notional") * 10_000).withColumn("bps_a_day", F.when(F.col("days") > 0, F.col("funding") / F.col("notional") * 10_000 / F.col("days"))).withColumn("against_plan", F.when(F.col("planned_bps") != 0, F.col("net_bps") / F.col("planned_bps")))
+
+
+def stalest(accounts: DataFrame, now_ms: int, top: int) -> DataFrame:
+    """The ``top`` accounts (user, last_polled_ms, notional) to be read next: by age times the root of the notional; never read ones come first, ties go by user."""
+    age = F.when(F.col("last_polled_ms").isNull(), float("inf")).otherwise((now_ms - F.col("last_polled_ms")).cast("double"))
+    return accounts.withColumn("score", age * F.sqrt("notional")).orderBy(F.desc("score"), "user").limit(top)

@@ -185,3 +185,8 @@ def by_year(runs: DataFrame, year: Column) -> DataFrame:
 def verdict(summaries: DataFrame, least_beaten: float = 0.95) -> DataFrame:
     """Runs whose interval lies above zero and that beat the controls, best first."""
     return summaries.where((F.col("low") > 0) & (F.col("beaten") >= least_beaten)).orderBy(F.desc("low"))
+
+
+def net_price_leg(summaries: DataFrame, cost_bps: float) -> DataFrame:
+    """``summaries`` (price, turnover) with the price leg less its own cost: turnover isn't halved, the price leg is per unit of gross."""
+    return summaries.withColumn("net_price", F.col("price") - F.col("turnover") * cost_bps / 2)

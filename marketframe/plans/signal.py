@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.functions.prices import binomial_tail
-from marketframe.operators.timeseries import average_rank, spearman
+from marketframe.operators.timeseries import prefix_total, spearman
 
 
 def matrix(rows: DataFrame, features: Sequence[str], label: str, warm_s: float = 60) -> tuple[DataFrame, list[str]]:
@@ -81,19 +81,25 @@ def logistic_scores(rows: DataFrame, features: Sequence[str], up: Column, l2: fl
 
 
 def auc(scored: DataFrame, score: str, up: str, by: Sequence[str] = ()) -> DataFrame:
-    """Area under the curve by ranks; 0.5 with one class."""
-    ranked = scored.select(*by, F.col(up).cast("double").alias("y"), average_rank(F.col(score), by or [F.lit(0)]).alias("r"))
-    p, n = F.sum("y"), F.sum(1 - F.col("y"))
-    made = F.when((p > 0) & (n > 0), (F.sum(F.col("r") * F.col("y")) - p * (p + 1) / 2) / (p * n)).otherwise(0.5)
-    return ranked.groupBy(*by).agg(made.alias("auc"), F.greatest(F.avg("y"), 1 - F.avg("y")).alias("majority"), F.count(F.lit(1)).alias("n"))
+    """Area under the curve by average ranks; 0.5 with one class.  Rows are counted by distinct score first, and the
+    counts are range-partitioned: no task ranks all rows."""
+    values = scored.groupBy(*by, F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(up).cast("double")).alias("_up"))
+    placed = prefix_total(values, [*by, "_s"], F.col("_n"), "_before")
+    starts = F.min("_before")  # a key's scores lie together in the order, from here on
+    sums = placed.groupBy(*by).agg(starts.alias("_start"), F.sum(F.col("_up") * (F.col("_before") + (F.col("_n") + 1) / 2)).alias("_ranks"), F.sum("_up").alias("_p"), F.sum("_n").alias("n"))
+    p, n = F.col("_p"), F.col("n") - F.col("_p")
+    made = F.when((p > 0) & (n > 0), (F.col("_ranks") - F.col("_start") * p - p * (p + 1) / 2) / (p * n)).otherwise(0.5)
+    return sums.select(*by, made.alias("auc"), F.greatest(p / F.col("n"), 1 - p / F.col("n")).alias("majority"), "n")
 
 
 def deciles(scored: DataFrame, score: str, y: str, tie: Sequence[str]) -> DataFrame:
-    """Mean label of each tenth of the scores, and its excess over the drift (ten rows; places as in ``purged_split`` aren't needed for one test set)."""
-    d = scored.withColumn("decile", F.ntile(10).over(Window.orderBy(score, *tie)))
-    per = d.groupBy("decile").agg(F.avg(y).alias("mean"), F.count(F.lit(1)).alias("n"))
-    drift = d.agg(F.avg(y).alias("drift"))
-    return per.join(F.broadcast(drift)).withColumn("excess", F.col("mean") - F.col("drift"))
+    """Mean label of each tenth of the scores, and its excess over the drift.  Places are counted by range parts, so no task orders all rows."""
+    placed = prefix_total(scored, [score, *tie], F.lit(1), "_place").crossJoin(F.broadcast(scored.agg(F.count(F.lit(1)).alias("_n"), F.avg(y).alias("drift"))))  # one row
+    small, extra = F.floor(F.col("_n") / 10), F.col("_n") % 10
+    wide = extra * (small + 1)  # the first tenths hold one row more
+    tenth = F.when(F.col("_place") < wide, F.floor(F.col("_place") / (small + 1))).otherwise(extra + F.floor((F.col("_place") - wide) / F.greatest(small, F.lit(1))))
+    per = placed.groupBy((tenth + 1).cast("int").alias("decile")).agg(F.avg(y).alias("mean"), F.count(F.lit(1)).alias("n"), F.max("drift").alias("drift"))
+    return per.withColumn("excess", F.col("mean") - F.col("drift"))
 
 
 def economics(scored: DataFrame, score: str, y: str) -> DataFrame:
@@ -108,3 +114,11 @@ def sign_agreement(ics: DataFrame) -> DataFrame:
     g = ics.where("spearman <> 0").groupBy("feature").agg(F.count(F.lit(1)).alias("instruments"), F.count_if(F.col("spearman") > 0).alias("up"))
     agree = F.greatest(F.col("up"), F.col("instruments") - F.col("up"))
     return g.withColumn("agree", agree).withColumn("p_value", binomial_tail(F.col("agree"), F.col("instruments")))
+
+
+def describe(rows: DataFrame, y: str, horizon_ms: int, threshold_bps: float) -> DataFrame:
+    """One row: n, span_h, interval_ms, effective_n, mean and std (population) of the label, and how many labels are up, down and flat."""
+    g = geometry(rows, horizon_ms).select("n", (F.col("span") / 3_600_000).alias("span_h"), F.col("interval").alias("interval_ms"), "effective_n")
+    up, down = F.count_if(F.col(y) >= threshold_bps), F.count_if(F.col(y) <= -threshold_bps)
+    facts = rows.agg(F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"), up.alias("up"), down.alias("down"), F.count(F.lit(1)).alias("_n"))
+    return g.crossJoin(F.broadcast(facts)).withColumn("flat", F.col("_n") - F.col("up") - F.col("down")).drop("_n")  # one row each

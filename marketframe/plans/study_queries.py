@@ -111,6 +111,8 @@ al as (select symbol, bucket, fd, (spot - perp) / spot * 10000 gap from f3 join
 wn as (select symbol, bucket, sum(fd) over (partition by symbol order by bucket rows between 1 following and 42 following) + lead(gap, 42) over (partition by symbol order by bucket) - gap - 24 net from al qualify lead(gap, 42) over (partition by symbol order by bucket) is not null)"""
 
 ORACLES = {
+    "signal_agreement": f"""with {_ic_sql('instrument')}, g as (select feature, count(*) instruments, sum((spearman > 0)::int) up from ic where spearman <> 0 group by 1), a as (select feature, instruments, greatest(up, instruments - up)::bigint agree from g)
+select feature, instruments, agree, round(list_sum(list_transform(range(agree, instruments + 1), lambda i: factorial(instruments::int)::double / factorial(i::int)::double / factorial((instruments - i)::int)::double)) / pow(2, instruments), 6) p_value from a""",
     "signal_coefficients": f"with {_ic_sql('')} select feature, n, round(pearson, 5) pearson, round(spearman, 5) spearman, effective_n, round(case when effective_n > 2 then spearman * sqrt((effective_n - 2) / (1 - least(pow(spearman, 2), 0.999999))) else 0 end, 4) t from ic, en",
     "signal_leakage": f"with {_ic_sql('')} select feature, 'suspiciously strong' warning from ic where abs(spearman) > 0.2 union all select feature, 'few independent rows' from ic, en where effective_n < 1000",
     "signal_split": f"with {_ROWS}, pl as (select *, row_number() over (order by ts_ms, n) - 1 pl, count(*) over () c from rows_) select case when pl < floor(c * 0.7) then 'train' when pl < floor(c * 0.7) + 50 then 'gap' else 'test' end part, count(*) n, min(ts_ms) first_ms, max(ts_ms) last_ms from pl group by 1",

@@ -33,7 +33,7 @@ def contract_totals(spark: SparkSession, d: str) -> DataFrame:
 def contract_controls(spark: SparkSession, d: str) -> DataFrame:
     t = _trades(spark, d)
     real = C.results(t).agg(F.sum("net").alias("real"))
-    c = C.label_controls(t, 20).agg(F.avg("net").alias("mean"), F.collect_list("net").alias("all"))
+    c = C.label_controls(t, 200).agg(F.avg("net").alias("mean"), F.collect_list("net").alias("all"))
     return real.join(F.broadcast(c)).select(F.round("real", 4).alias("real"), F.round("mean", 4).alias("mean"), F.when(F.size("all") > 0, F.round(F.size(F.filter("all", lambda x: F.round(x, 6) < F.round("real", 6))) / F.size("all"), 4)).alias("percentile"))
 
 
@@ -133,7 +133,7 @@ _DIST = "case when size >= 0 then mark_px - liquidation_px else liquidation_px -
 ORACLES = {
     "contract_trades": f"with {_DECIDE} select market_id, row_id, outcome, round(price, 6) price, round(fee, 6) fee, won, round(net, 6) net from res",
     "contract_totals": f"with {_DECIDE} select count(*) trades, sum(won::int)::bigint wins, round(sum(gross), 4) gross, round(sum(fee), 4) fees, round(sum(net), 4) net, round(sum(net) / sum(price * size), 6) per_dollar from res",
-    "contract_controls": f"""with {_DECIDE}, sd as (select trd.*, seed from trd, range(1, 21) s(seed)), a as (select * exclude (resolved_yes), row_number() over (partition by seed order by row_id) nth from sd),
+    "contract_controls": f"""with {_DECIDE}, sd as (select trd.*, seed from trd, range(1, 201) s(seed)), a as (select * exclude (resolved_yes), row_number() over (partition by seed order by row_id) nth from sd),
 b as (select seed, resolved_yes, row_number() over (partition by seed order by md5(seed || '|' || row_id), row_id) nth from sd), c as (select seed, sum(case when (outcome = 'YES') = resolved_yes then size else 0 end - price * size - fee) net from a join b using (seed, nth) group by 1)
 select round((select sum(net) from res), 4) "real", round(avg(net), 4) mean, round(avg((round(net, 6) < round((select sum(net) from res), 6))::int), 4) percentile from c""",
     "label_guard": f"with {views.CONTRACT_SQL} select row_id, concat_ws('; ', case when row_id % 11 = 0 then 'labelled before resolution' end, case when row_id % 13 = 0 then 'another source' end, case when row_id % 13 = 0 then 'spot source' end, case when opens_ms >= resolves_ms then 'entry after resolution' end) reasons from contracts",

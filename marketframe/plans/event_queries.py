@@ -168,9 +168,9 @@ def archive_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fill_bracket(spark: SparkSession, d: str) -> DataFrame:
-    """Resting bids made of every tenth touch, two hours each."""
+    """A resting bid at each touch, two hours each."""
     t = views.book_top(spark, d)
-    orders = t.where("n % 10 = 0").select("instrument", F.col("n").alias("order_id"), F.col("bid").alias("price"), (F.col("bid_size") * 5).alias("size"), F.col("ask_size").alias("queue"), F.col("ts_ms").alias("start_ms"), (F.col("ts_ms") + 2 * HOUR).alias("end_ms"))
+    orders = t.select("instrument", F.col("n").alias("order_id"), F.col("bid").alias("price"), (F.col("bid_size") * 5).alias("size"), F.col("ask_size").alias("queue"), F.col("ts_ms").alias("start_ms"), (F.col("ts_ms") + 2 * HOUR).alias("end_ms"))
     return C.fill_bracket(orders, views.tape(spark, d), t, BY, 4 * HOUR).select("order_id", "optimistic", "pessimistic", "cause")
 
 
@@ -278,7 +278,7 @@ select instrument, episode, min(t) started, max(t) ended, max(lag) peak, count(*
     "late_together": f"with {_RAW}, c as (select instrument, t // {HOUR} h, max(lag) lag from raw group by 1, 2), s as (select h, count(*) active, sum((lag > 8000)::int) late from c group by 1 having count(*) >= 2) select count(*) as hours, round(sum(late) / sum(active), 6) p_late, round(sum(late * (late - 1)) / sum(late * (active - 1)), 6) p_given, sum((late > 0)::int)::bigint any_late from s",
     "poll_changes": f"with {_RAW}, l as (select *, lag // 4000 as level from raw), k as (select *, lag(level) over (partition by instrument order by t, n) p from l) select instrument, level, count(*) n from k where level is distinct from p group by 1, 2",
     "archive_rate": f"with {_RAW}, r as (select instrument, count(*) messages, sum(strlen(m))::bigint bytes, max(t) - min(t) span_ms from raw group by 1) select instrument, messages, bytes, round(messages * 1000 / span_ms::double, 6) per_second, round(bytes * 86400000 / span_ms::double, 2) bytes_a_day from r",
-    "fill_bracket": f"""with {views.BOOK_SQL}, {views.TAPE_SQL}, o as (select instrument, n order_id, bid price, bid_size * 5 size, ask_size queue, ts_ms a, ts_ms + {2 * HOUR} z from touch where n % 10 = 0),
+    "fill_bracket": f"""with {views.BOOK_SQL}, {views.TAPE_SQL}, o as (select instrument, n order_id, bid price, bid_size * 5 size, ask_size queue, ts_ms a, ts_ms + {2 * HOUR} z from touch),
 p as (select order_id, sum(t.size) v, sum(case when t.price = o.price then t.size else 0 end) l, max((t.price < o.price)::int) b from o join tape t on t.instrument = o.instrument and t.ts_ms >= a and t.ts_ms < z and not is_buy and t.price <= o.price group by 1),
 c as (select distinct order_id from o join touch t on t.instrument = o.instrument and t.ts_ms >= a and t.ts_ms < z and t.ask <= o.price)
 select o.order_id, case when c.order_id is not null then size else least(size, coalesce(v, 0)) end::bigint optimistic, case when c.order_id is not null or coalesce(b, 0) = 1 then size else least(size, greatest(0, coalesce(l, 0) - queue)) end::bigint pessimistic,

@@ -61,19 +61,23 @@ CARRY, MOMENTUM, REVERSAL = (1, 3, 7, 14, 30, 60), (7, 14, 30, 90), (1, 3)
 _registered: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
-def factors(panel: DataFrame) -> DataFrame:
-    """The panel with all built-in factors, in a few passes over windows by symbol."""
+def factors(panel: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """The panel with the built-in factors of ``names`` (all without), in a few passes over windows by symbol."""
+    asked = lambda *own: names is None or any(n in names for n in own)
     p = log_return(panel, 1, "ret").withColumn("rv_bps", parkinson_bps(F.col("high"), F.col("low")))
     positive = F.when(F.col("quote_volume") > 0, F.col("quote_volume"))
-    for w in CARRY:
-        p = p.withColumn(f"carry_{w}", -trailing(F.col("funding_bps"), BY, "date_idx", w, "sum") / w)
-    for w in MOMENTUM:
+    for w in (w for w in MOMENTUM if asked(f"mom_{w}")):
         p = log_return(p, w, f"mom_{w}")
-    for w in REVERSAL:
+    for w in (w for w in REVERSAL if asked(f"rev_{w}")):
         p = log_return(p, w, f"rev_{w}").withColumn(f"rev_{w}", -F.col(f"rev_{w}"))
-    p = p.withColumn("lowvol_30", -trailing(F.col("ret"), BY, "date_idx", 30, "std")).withColumn("lowrv_30", -trailing(F.col("rv_bps"), BY, "date_idx", 30, "mean"))
-    p = p.withColumn("illiq_30", trailing(F.abs("ret") / positive, BY, "date_idx", 30, "mean")).withColumn("small_30", trailing(-F.log(positive), BY, "date_idx", 30, "mean"))
-    p = p.withColumn("taker_7", trailing(F.col("taker_buy_frac"), BY, "date_idx", 7, "mean"))
+    means = {
+        "lowvol_30": lambda: -trailing(F.col("ret"), BY, "date_idx", 30, "std"), "lowrv_30": lambda: -trailing(F.col("rv_bps"), BY, "date_idx", 30, "mean"), "illiq_30": lambda: trailing(F.abs("ret") / positive, BY, "date_idx", 30, "mean"),
+        "small_30": lambda: trailing(-F.log(positive), BY, "date_idx", 30, "mean"), "taker_7": lambda: trailing(F.col("taker_buy_frac"), BY, "date_idx", 7, "mean"),
+        **{f"carry_{w}": (lambda w=w: -trailing(F.col("funding_bps"), BY, "date_idx", w, "sum") / w) for w in CARRY},
+    }
+    p = p.withColumns({name: made() for name, made in means.items() if asked(name)})
+    if not asked("max_7", "skew_30", "beta_30"):
+        return p
     market = p.groupBy("date_idx").agg(F.avg("ret").alias("market"))  # one row a date
     p = p.join(F.broadcast(market), "date_idx")
     w30 = Window.partitionBy(*BY).orderBy("date_idx").rangeBetween(-29, 0)
@@ -82,10 +86,11 @@ def factors(panel: DataFrame) -> DataFrame:
     mean, mean2, mean3 = F.avg(r).over(w30), F.avg(r * r).over(w30), F.avg(r * r * r).over(w30)
     sd = F.stddev_pop(r).over(w30)
     late = F.col("date_idx") >= 30
-    p = p.withColumn("max_7", F.when(late, -F.max(r).over(w7)))
-    p = p.withColumn("skew_30", F.when(late & (sd > 0), -(mean3 - 3 * mean * mean2 + 2 * mean * mean * mean) / (sd * sd * sd)))
     var = F.var_pop(m).over(w30)
-    return p.withColumn("beta_30", F.when(late & (var > 0), -F.covar_pop(r, m).over(w30) / var))
+    return p.withColumns({
+        "max_7": F.when(late, -F.max(r).over(w7)), "skew_30": F.when(late & (sd > 0), -(mean3 - 3 * mean * mean2 + 2 * mean * mean * mean) / (sd * sd * sd)),
+        "beta_30": F.when(late & (var > 0), -F.covar_pop(r, m).over(w30) / var),
+    })
 
 
 def relative_carry(panel: DataFrame, width: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketframe.functions.prices import canonical
 from marketframe.operators.timeseries import first_of, with_drawdown
+from marketframe.operators.saved import saved
 from marketframe.plans import panel as P
 from marketframe.plans import portfolio as B
 from marketframe.sources import views
@@ -64,11 +65,12 @@ def panel_correlations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str, factor: str = "carry_7", hold: int = HOLD) -> DataFrame:
-    return B.score_rows(P.universe(P.factors(_panel(spark, d)), HISTORY, VOLUME), factor, hold, 1, START)
+    """Scored rows of one factor, written once: real runs and controls read them again and again."""
+    return saved(B.score_rows(P.universe(P.factors(_panel(spark, d), [factor]), HISTORY, VOLUME), factor, hold, 1, START))
 
 
-def _runs(spark: SparkSession, d: str) -> DataFrame:
-    return B.periods(B.weigh(B.books(_scored(spark, d), FRAC)), HOLD, COST)
+def _runs(spark: SparkSession, d: str, scored: DataFrame | None = None) -> DataFrame:
+    return B.periods(B.weigh(B.books(scored if scored is not None else _scored(spark, d), FRAC)), HOLD, COST)
 
 
 def factor_weights(spark: SparkSession, d: str) -> DataFrame:
@@ -103,17 +105,17 @@ def factor_worst(spark: SparkSession, d: str) -> DataFrame:
 def factor_controls(spark: SparkSession, d: str) -> DataFrame:
     scored = _scored(spark, d)
     spec = ["seed"]
-    runs = B.periods(B.weigh(B.books(B.shuffled(scored, 20), FRAC, spec), spec=spec), HOLD, COST, spec)
+    runs = B.periods(B.weigh(B.books(B.shuffled(scored, 200), FRAC, spec), spec=spec), HOLD, COST, spec)
     controls = B.summary(runs, HOLD, spec)
-    return _r(B.control_summary(B.summary(_runs(spark, d), HOLD), controls), digits=4)
+    return _r(B.control_summary(B.summary(_runs(spark, d, scored), HOLD), controls), digits=4)
 
 
 def factor_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return _r(B.block_bootstrap(_runs(spark, d), "net", "date_idx", 4, 500), digits=4)
+    return _r(B.block_bootstrap(_runs(spark, d), "net", "date_idx", 4, 2000), digits=4)
 
 
 def factor_sweep(spark: SparkSession, d: str) -> DataFrame:
-    panel = P.universe(P.factors(_panel(spark, d)), HISTORY, VOLUME)
+    panel = saved(P.universe(P.factors(_panel(spark, d), ["carry_7"]), HISTORY, VOLUME))
     scored = {h: B.score_rows(panel, "carry_7", h, 0, START) for h in (3, 7)}
     return _r(B.sweep(scored, (0.1, 0.2, 0.3), (5.0, 20.0)), "hold", "frac", "cost", "n", "mean", "sd", "turnover", digits=4)
 
@@ -240,14 +242,14 @@ ORACLES = {
     "factor_years": f"with {_RUNS} select date_idx // 52 as year, count(*) n, round(sum(net), 4) net, round(sum(price), 4) price, round(sum(funding), 4) funding from run group by rollup (date_idx // 52) having count(*) > 0",
     "factor_drawdown": f"with {_RUNS}, c as (select date_idx, sum(net) over (order by date_idx) cumulative from run) select date_idx, round(cumulative, 4) cumulative, round(greatest(0, max(cumulative) over (order by date_idx)) - cumulative, 4) drawdown from c",
     "factor_worst": f"with {_RUNS} select date_idx, round(net, 5) net from run order by run.net, date_idx limit 5",
-    "factor_controls": f"""with {_RUNS}, sn as (select sc.*, seed from sc, range(1, 21) s(seed) where eligible and score is not null),
+    "factor_controls": f"""with {_RUNS}, sn as (select sc.*, seed from sc, range(1, 201) s(seed) where eligible and score is not null),
 t0 as (select * exclude (score), row_number() over (partition by seed, date_idx order by md5(seed || '|' || date_idx || '|' || symbol), symbol) nth from sn),
 s0 as (select seed, date_idx, score, row_number() over (partition by seed, date_idx order by symbol) nth from sn),
 shf as (select t0.*, s0.score from t0 join s0 using (seed, date_idx, nth)),{_book_sql('shf', '0.2::double', 'seed', 'c')},{_period_sql(4, 'seed', 'c')},
 cm as (select seed, avg(net) mean from runc group by 1)
 select round((select avg(net) from run), 4) mean, round(avg(mean), 4) control_mean, round(stddev_samp(mean), 4) control_sd, round(avg((mean < (select avg(net) from run))::int), 4) beaten from cm""",
     "factor_bootstrap": f"""with {_RUNS}, ix as (select net v, row_number() over (order by date_idx) - 1 i from run), n as (select count(*) n from run),
-pk as (select d, b, ('0x' || substr(md5(d || '|' || b), 1, 8))::bigint % greatest(n - 3, 1) s, n from n, range(1, 501) r(d), lateral (select unnest(range(1, ceil(n / 4.0)::int + 1)) b)),
+pk as (select d, b, ('0x' || substr(md5(d || '|' || b), 1, 8))::bigint % greatest(n - 3, 1) s, n from n, range(1, 2001) r(d), lateral (select unnest(range(1, ceil(n / 4.0)::int + 1)) b)),
 pl as (select d, s + o i from pk, range(0, 4) q(o) where (b - 1) * 4 + o < n), mn as (select d, avg(v) mean from pl join ix using (i) group by 1)
 select round(quantile_cont(mean, 0.025), 4) low, round(quantile_cont(mean, 0.975), 4) high from mn""",
     "factor_sweep": "with " + _EL + "," + ",".join(

@@ -87,7 +87,7 @@ tape as (select 'U' || (user_id % 4) instrument, event_id n, epoch_us(ts) // 100
 
 
 def book_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Touch updates: instrument, n, ts_ms, bid, ask (whole cents), bid_size, ask_size, seq, prev_seq; every 50th is missing, which leaves gaps."""
+    """Touch updates: instrument, n, ts_ms, bid, ask (whole cents), bid_size, ask_size, seq, prev_seq; after each 49 updates the feed skips a number, which is a gap."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "signup")).withColumn("k", _k())
     inst = F.concat(F.lit("U"), F.pmod("user_id", F.lit(4)).cast("string"))
     price = (10000 + F.round("value")).cast("long")
@@ -95,14 +95,14 @@ def book_top(spark: SparkSession, sf_dir: str) -> DataFrame:
         inst.alias("instrument"), F.col("event_id").alias("n"), epoch_ms(F.col("ts")).alias("ts_ms"), (price - 1 - F.pmod("k", F.lit(5))).alias("bid"), (price + F.pmod("k", F.lit(7))).alias("ask"),
         (1 + F.pmod("k", F.lit(13))).alias("bid_size"), (1 + F.pmod("k", F.lit(11))).alias("ask_size"),
     )
-    seq = rows.withColumn("seq", F.row_number().over(Window.partitionBy("instrument").orderBy("ts_ms", "n")).cast("long")).withColumn("prev_seq", F.col("seq") - 1)
-    return seq.where("seq % 50 <> 0")
+    nth = F.row_number().over(Window.partitionBy("instrument").orderBy("ts_ms", "n")).cast("long")
+    return rows.withColumn("seq", nth).withColumn("seq", F.col("seq") + F.floor((F.col("seq") - 1) / 49)).withColumn("prev_seq", F.col("seq") - 1)
 
 
 BOOK_SQL = """
 touch_all as (select 'U' || (user_id % 4) instrument, event_id n, epoch_us(ts) // 1000 ts_ms, (10000 + round(value))::bigint - 1 - (props->>'$.k')::bigint % 5 bid, (10000 + round(value))::bigint + (props->>'$.k')::bigint % 7 ask,
     1 + (props->>'$.k')::bigint % 13 bid_size, 1 + (props->>'$.k')::bigint % 11 ask_size from events where event_type in ('view', 'signup')),
-touch as (select * from (select *, row_number() over (partition by instrument order by ts_ms, n) seq, row_number() over (partition by instrument order by ts_ms, n) - 1 prev_seq from touch_all) where seq % 50 <> 0)"""
+touch as (select *, k_ + (k_ - 1) // 49 seq, k_ + (k_ - 1) // 49 - 1 prev_seq from (select *, row_number() over (partition by instrument order by ts_ms, n) k_ from touch_all))"""
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,11 +89,14 @@ def crossed_resyncs(spark: SparkSession, d: str) -> DataFrame:
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     """Five levels a side from each update; size 0 removes a level."""
-    t = views.book_top(spark, d)
+    return _levels_of(views.book_top(spark, d))
+
+
+def _levels_of(t: DataFrame, *more: str) -> DataFrame:
     side = F.explode(F.array(F.lit("bid"), F.lit("ask")))
-    rows = t.select("instrument", "ts_ms", "n", "bid", "ask", "bid_size", side.alias("side")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    rows = t.select("instrument", *more, "ts_ms", "n", "bid", "ask", "bid_size", side.alias("side")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4))))
     price = F.when(F.col("side") == "bid", F.col("bid") - F.col("i")).otherwise(F.col("ask") + F.col("i"))
-    return rows.select("instrument", "ts_ms", "n", "side", price.alias("price"), F.when((F.col("bid_size") + F.col("i")) % 11 == 0, 0).otherwise(F.col("bid_size") + F.col("i")).alias("size"))
+    return rows.select("instrument", *more, "ts_ms", "n", "side", price.alias("price"), F.when((F.col("bid_size") + F.col("i")) % 11 == 0, 0).otherwise(F.col("bid_size") + F.col("i")).alias("size"))
 
 
 def level_intervals(spark: SparkSession, d: str) -> DataFrame:
@@ -107,6 +110,16 @@ def book_at_noon(spark: SparkSession, d: str) -> DataFrame:
     return b.select("instrument", "side", F.concat_ws(" ", F.transform("levels", lambda x: F.concat(x["price"].cast("string"), F.lit("x"), x["size"].cast("string")))).alias("levels"))
 
 
+def book_by_epoch(spark: SparkSession, d: str) -> DataFrame:
+    """The book at noon of each day, where a gap in the sequence ends all levels that stood before it."""
+    epochs = book.gap_islands(views.book_top(spark, d), BY)
+    levels = book.level_validity(_levels_of(epochs, "epoch"), BY, "epoch")
+    days = F.explode(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.lit(1704110400000) + i.cast("long") * (24 * HOUR)))
+    live = levels.withColumn("noon", days)
+    b = book.book_at(live, ["instrument", "noon"], F.col("noon"), 3)
+    return b.select("instrument", "noon", "side", F.concat_ws(" ", F.transform("levels", lambda x: F.concat(x["price"].cast("string"), F.lit("x"), x["size"].cast("string")))).alias("levels"))
+
+
 def level_deltas(spark: SparkSession, d: str) -> DataFrame:
     deltas = _levels(spark, d).withColumn("delta", F.when(F.col("n") % 2 == 0, F.col("size")).otherwise(-F.col("size")))
     s = book.level_sizes(deltas, BY)
@@ -262,6 +275,14 @@ select instrument, case when len(l) < 60 then 'unknown' when rv <= l[floor(len(l
     "crossed_resyncs": f"with {views.BOOK_SQL}, c as (select instrument, ts_ms, n, n % 3 = 0 or bid >= ask crossed from touch), i as (select *, sum((not crossed)::int) over (partition by instrument order by ts_ms, n) i from c), k as (select *, case when crossed then sum(crossed::int) over (partition by instrument, i order by ts_ms, n) else 0 end::bigint in_row from i) select instrument, n, in_row from k where in_row > 0 and in_row % 2 = 0",
     "level_intervals": f"with {_LEVELS} select instrument, side, price, count(*) spans, sum(coalesce(valid_to - valid_from, 0))::bigint alive_ms, sum(size)::bigint size from ok group by 1, 2, 3",
     "book_at_noon": f"with {_LEVELS}, lv2 as (select *, row_number() over (partition by instrument, side order by case when side = 'bid' then -price else price end) k from ok where valid_from <= 1705320000000 and (valid_to is null or valid_to > 1705320000000)) select instrument, side, string_agg(price || 'x' || size, ' ' order by k) levels from lv2 where k <= 3 group by 1, 2",
+    "book_by_epoch": f"""with {views.BOOK_SQL}, g as (select *, max(seq) over (partition by instrument order by ts_ms, n rows between unbounded preceding and 1 preceding) l from touch), e as (select *, sum(case when prev_seq <> l and seq > l then 1 else 0 end) over (partition by instrument order by ts_ms, n)::bigint epoch from g),
+lv as (select instrument, epoch, ts_ms, n, side, case when side = 'bid' then bid - i else ask + i end price, case when (bid_size + i) % 11 = 0 then 0 else bid_size + i end size from e, (values ('bid'), ('ask')) s(side), range(0, 5) r(i)),
+ep as (select instrument, epoch, lead(min(ts_ms)) over (partition by instrument order by epoch) ends from lv group by 1, 2),
+va as (select lv.*, ep.ends, lead(ts_ms) over (partition by lv.instrument, lv.epoch, side, price order by ts_ms, n) nxt from lv join ep on lv.instrument = ep.instrument and lv.epoch = ep.epoch),
+ok as (select instrument, side, price, size, ts_ms a, least(nxt, ends) z from va where size > 0 and (least(nxt, ends) is null or least(nxt, ends) > ts_ms)),
+nn as (select 1704110400000 + i * {24 * HOUR} noon from range(0, 30) r(i)),
+lk as (select *, row_number() over (partition by instrument, noon, side order by case when side = 'bid' then -price else price end) k from ok, nn where a <= noon and (z is null or z > noon))
+select instrument, noon, side, string_agg(price || 'x' || size, ' ' order by k) levels from lk where k <= 3 group by 1, 2, 3""",
     "level_deltas": f"""with recursive {_LEVELS}, dl as (select instrument, side, price, case when n % 2 = 0 then size else -size end::double delta, row_number() over (partition by instrument, side, price order by ts_ms, n) k from lv),
 w as (select instrument, side, price, k, greatest(0, delta) s from dl where k = 1 union all select d.instrument, d.side, d.price, d.k, greatest(0, w.s + d.delta) from w join dl d on d.instrument = w.instrument and d.side = w.side and d.price = w.price and d.k = w.k + 1)
 select instrument, side, price, arg_max(s, k) size, max(s) most from w group by 1, 2, 3""",
@@ -288,6 +309,6 @@ select o.order_id, case when c.order_id is not null then size else least(size, c
     "session_gaps": "with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 12 hours then 0 else 1 end nw from events where event_type = 'error'), s as (select *, sum(nw) over (partition by user_id order by ts) s from e), g as (select user_id, s, count(*) n from s group by 1, 2) select user_id, count(*) sessions, max(n) longest from g group by 1",
 }
 QUERIES = [
-    trades_asof_touch, trades_asof_next_touch, touch_features, feature_snapshot, trade_flow, mid_returns, mid_volatility, mid_regime, forward_labels, sequence_gaps, crossed_resyncs, level_intervals, book_at_noon, level_deltas,
+    trades_asof_touch, trades_asof_next_touch, touch_features, feature_snapshot, trade_flow, mid_returns, mid_volatility, mid_regime, forward_labels, sequence_gaps, crossed_resyncs, level_intervals, book_at_noon, book_by_epoch, level_deltas,
     thinned_touch, thinned_touch_by_bucket, frame_copies, lag_by_hour, lag_split, lag_episodes, late_together, poll_changes, archive_rate, fill_bracket, tumbling_flow, sliding_flow, session_gaps,
 ]

@@ -225,3 +225,22 @@ def test_clusters_of_a_long_chain(spark):
     nodes = spark.createDataFrame([(1, k) for k in range(40)], "g int, node int")
     edges = spark.createDataFrame([(1, k, k + 1) for k in range(39)], "g int, a int, b int")
     assert {x.cluster for x in clusters(nodes, edges, ["g"]).collect()} == {0}
+
+
+def test_a_snapshot_ends_the_levels_before_it(spark):
+    rows = [("A", 1, 100, 1, "bid", 10.0, 5.0), ("A", 1, 100, 1, "ask", 11.0, 5.0), ("A", 2, 200, 2, "bid", 9.0, 4.0), ("A", 2, 200, 2, "ask", 9.5, 4.0)]
+    changes = spark.createDataFrame(rows, "instrument string, epoch long, ts_ms long, n long, side string, price double, size double")
+    levels = book.level_validity(changes, ["instrument"], "epoch")
+    at = lambda t: {(r.side, x.price) for r in book.book_at(levels, ["instrument"], F.lit(t), 5).collect() for x in r.levels}
+    assert at(150) == {("bid", 10.0), ("ask", 11.0)} and at(250) == {("bid", 9.0), ("ask", 9.5)}
+
+
+def test_many_members_are_read_about_once():
+    import gzip
+
+    from marketframe.sources import archive
+
+    one = [gzip.compress(f"line {i}\n".encode()) for i in range(20_000)]
+    rows = list(archive.recover(b"".join(one[:10_000]) + one[10_000][:-6] + b"".join(one[10_001:])))
+    lines = [r[1] for r in rows if r[1] is not None]
+    assert lines[:10_000] == [f"line {i}" for i in range(10_000)] and lines[-1] == "line 19999" and {r[2] for r in rows if r[2]} == {"torn"}

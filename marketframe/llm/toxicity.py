@@ -21,8 +21,8 @@ a voter must be, is chosen among ``RIDGES`` and ``LEAST`` on a fourth of the
 labelled training rows, by voters and models from the other three.  That classifier scores every word of every text.
 
 Defined cases: null and empty texts have no votes and get the score of a text
-without votes; without labels the seed lexicon alone votes, on unlabelled texts; null labels are left
-out; repeated rows get equal scores; other columns are ignored.
+without votes; without labels the seed lexicon alone votes, on unlabelled texts; an empty table leaves the seeds
+their rates before data; null labels are left out; repeated rows get equal scores; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -139,6 +139,9 @@ def label_model(doc: np.ndarray, voter: np.ndarray, known: np.ndarray, seed: np.
     Accuracies: P(vote | toxic) and P(vote | clean), smoothed.  Correlations: those of the votes' residuals given the label.
     A voter that doesn't speak abstains; that none speaks at all is a sign of its own."""
     n, n_voters, voted = len(known), len(seed), np.unique(doc)
+    if n == 0:  # nothing but what the seeds are taken for
+        base = float(np.log(GOLD_RATES[1] / (1 - GOLD_RATES[1])))
+        return Labels(np.zeros(0), np.where(seed, np.log(SEED_RATES[0] / SEED_RATES[1]), 0.0) - base, base, base)
     post = np.where(known >= 0, known, np.isin(np.arange(n), doc[seed[voter]])).astype(float)
     both = np.zeros((n_voters, n_voters), np.float32)  # how often two voters speak together
     row = np.searchsorted(voted, doc)

@@ -12,7 +12,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir.  Only on a local master, as in tests, is an unset one replaced by a temporary folder; a cluster has to name it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="marketframe-")
         spark.sparkContext.setCheckpointDir(folder)

@@ -1,26 +1,5 @@
-"""Tables that cut lineage, in the folder that all executors share."""
+"""Tables that cut lineage, in the folder that all executors share (a cluster has to name it in spark.checkpoint.dir)."""
 
-from __future__ import annotations
+from marketframe.operators.saved import saved, shared_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        found = spark.sparkContext.getCheckpointDir()
-        folder = found or tempfile.mkdtemp(prefix="marketframe-")
-        if not found:
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The same rows, written once as Parquet and read from there."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["saved", "shared_folder"]

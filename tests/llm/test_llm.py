@@ -87,6 +87,11 @@ def test_exact_dedup(docs, rows, empty):
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
+def test_exact_dedup_numbers_contents_that_share_a_digest(docs, rows, empty, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "digest", lambda chunk: F.struct(F.pmod(F.xxhash64(chunk), F.lit(3)).alias("a")))
+    test_exact_dedup(docs, rows, empty)
+
+
 def test_chunks_join_to_the_text(docs):
     bad = docs.where("text is not null").select(F.col("text"), F.concat_ws("", exact_dedup.chunks(F.col("text"))).alias("back")).where("text <> back")
     assert bad.count() == 0

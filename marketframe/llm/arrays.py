@@ -62,6 +62,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(1 << max(20, int(n).bit_length()))
 
 
+#: A second value of each byte: hashes over these collide independently of those over the bytes themselves.
+SECOND = mix(np.arange(256, dtype=U64) + U64(0x632BE59BD9B4E019))
+
+
 def prefix_sums(values: np.ndarray) -> np.ndarray:
     """s with (s[j] - s[i]) * inverse power i = the polynomial hash of values[i:j]."""
     out = np.zeros(len(values) + 1, U64)

@@ -34,6 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
         last, state = state, _state(now)
         if state == last:
             break
+    else:
+        raise RuntimeError("components have not settled")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -47,5 +49,7 @@ def rooted(parents: DataFrame) -> DataFrame:
         if now.where("moved").isEmpty():
             break
         now = now.drop("moved")
+    else:
+        raise RuntimeError("a forest of parents has a circle")
     links = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return saved(links.union(links.select(F.col("root").alias("node"), "root").distinct()))

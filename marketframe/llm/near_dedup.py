@@ -6,7 +6,7 @@ twice as many unbiased signature values; ``ROWS`` values make a band, and equal
 bands make candidates.  At a similarity of 0.75 a pair shares none of the 30
 bands with a probability below 1e-7.
 
-Equal sets are one node from the start.  Within a band's group, nodes are
+Equal sets are one node from the start; two names of 64 bits tell sets apart.  Within a band's group, nodes are
 compared with leaders, not with each other: first with the leader they share most
 bands with, then, where a group still holds several components, with the other
 leaders, with HUBS central members and with DRAWS members drawn at random.  These
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.llm.arrays import LOWER, U64, mix, pieces, powers, prefix_sums, spans_hash, word_spans
-from marketframe.llm.bitmap import array_of, has
+from marketframe.llm.bitmap import array_of, has, passes
 from marketframe.llm.components import components, rooted
 from marketframe.llm.store import saved
 
@@ -68,13 +68,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(counts)])
 
 
-def set_ids(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each non-empty set; 0 for empty ones."""
+def set_ids(shingles: np.ndarray, first: np.ndarray, a: int = 1, b: int = 7) -> np.ndarray:
+    """A 64-bit name of each non-empty set, another one for other ``a`` and ``b``; 0 for empty ones."""
     some = np.diff(first) > 0
     ids = np.zeros(len(first) - 1, np.uint64)
     if some.any():
         at = first[:-1][some]
-        ids[some] = mix(np.add.reduceat(mix(shingles + U64(1)), at) + mix(np.bitwise_xor.reduceat(mix(shingles + U64(7)), at)))
+        ids[some] = mix(np.add.reduceat(mix(shingles + U64(a)), at) + mix(np.bitwise_xor.reduceat(mix(shingles + U64(b)), at)))
     return ids
 
 
@@ -98,19 +98,35 @@ def band_keys(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
     return key.T
 
 
-def _signatures(batches):
-    for batch in batches:
-        for row, data, offsets in pieces(batch.column("text")):
-            shingles, first = shingle_sets(data, offsets)
-            keys = band_keys(shingles, first)
-            n = len(offsets) - 1
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * keys.shape[1]), pa.array(np.ascontiguousarray(keys).reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, n), batch.column("text_key").slice(row, n), pa.array(set_ids(shingles, first).view(np.int64)), pa.array(np.diff(first)), flat], ["doc_id", "text_key", "node", "n", "bands"])
+def second_ids(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return set_ids(shingles, first, 11, 13)
+
+
+def _signed(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, text_key, node, n, bands) of each document, and a bitmap of the names that several sets share: there the second name is the node."""
+
+    def of(batches):
+        for batch in batches:
+            for row, data, offsets in pieces(batch.column("text")):
+                shingles, first = shingle_sets(data, offsets)
+                keys = band_keys(shingles, first)
+                n = len(offsets) - 1
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * keys.shape[1]), pa.array(np.ascontiguousarray(keys).reshape(-1).view(np.int64)))
+                names = [pa.array(name(shingles, first).view(np.int64)) for name in (set_ids, second_ids)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, n), batch.column("text_key").slice(row, n), *names, pa.array(np.diff(first)), flat], ["doc_id", "text_key", "node", "second", "n", "bands"])
+
+    signed = saved(texts.mapInArrow(of, "doc_id long, text_key long, node long, second long, n long, bands array<long>"))
+    several = signed.where("n > 0").groupBy("node").agg(F.min("second").alias("low"), F.max("second").alias("high")).where("low <> high")
+    clashes = array_of(several, "node", BITS)
+    if clashes.any():
+        signed = signed.withColumn("node", F.when(passes(clashes, F.col("node")), F.col("second")).otherwise(F.col("node")))
+    return signed.drop("second"), clashes
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, clashes: np.ndarray) -> DataFrame:
     """(node, shingles) of the nodes of ``wanted``, once each, and of few others: a bitmap of fixed size spares most other sets."""
     bitmap = docs.sparkSession.sparkContext.broadcast(array_of(wanted, "node", BITS))
+    shared = docs.sparkSession.sparkContext.broadcast(clashes) if clashes.any() else None
 
     def of(batches):
         bits = bitmap.value
@@ -118,6 +134,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for _, data, offsets in pieces(batch.column("text")):
                 shingles, first = shingle_sets(data, offsets)
                 ids = set_ids(shingles, first)
+                if shared is not None:
+                    ids = np.where(has(shared.value, ids), second_ids(shingles, first), ids)
                 take = np.flatnonzero(has(bits, ids) & (np.diff(first) > 0))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[take].view(np.int64)), pa.array([shingles[first[i] : first[i + 1]].tobytes() for i in take], pa.binary())], ["node", "shingles"])
 
@@ -135,10 +153,10 @@ def similar(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, clashes: np.ndarray, sets: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) that are similar; a's set moves to its leader b."""
     pairs = saved(pairs.select("a", "b").distinct())
-    sets = sets if sets is not None else saved(sets_of(docs, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))))
+    sets = sets if sets is not None else saved(sets_of(docs, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), clashes))
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
     with_b = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     return saved(with_b.where(F.arrow_udf(similar, "boolean")("set_a", "set_b")).select("a", "b"))
@@ -166,7 +184,7 @@ def _elements(batches):
         yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(at)) for c in ("node", "n", "root")], pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], ["node", "n", "root", "shingle"])
 
 
-def _residual(members: DataFrame, tops: DataFrame, docs: DataFrame) -> DataFrame:
+def _residual(members: DataFrame, tops: DataFrame, docs: DataFrame, clashes: np.ndarray) -> DataFrame:
     """All links (a, b) between different components of the groups that still hold several.
 
     A link's nodes share a shingle within the rarest 25 % of both; positions and lengths bound what two
@@ -175,7 +193,7 @@ def _residual(members: DataFrame, tops: DataFrame, docs: DataFrame) -> DataFrame
     placed = saved(members.join(tops, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root")))
     open_ = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
     nodes = saved(placed.join(open_, "band").select("node", "n", "root").distinct())
-    sets = saved(sets_of(docs, nodes).join(nodes, "node"))
+    sets = saved(sets_of(docs, nodes, clashes).join(nodes, "node"))
     rows = sets.mapInArrow(_elements, "node long, n long, root long, shingle long")
     counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
@@ -188,14 +206,14 @@ def _residual(members: DataFrame, tops: DataFrame, docs: DataFrame) -> DataFrame
     enough = (100 + SHARE) * both >= SHARE * (F.col("x.n") + F.col("y.n"))
     on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & _fits(F.col("x.n"), F.col("y.n")) & enough
     pairs = x.join(y, on).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
-    return _confirmed(pairs, docs, sets.select("node", "shingles"))
+    return _confirmed(pairs, docs, clashes, sets.select("node", "shingles"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, text_key (a hash of the text, for joins),
     root (the component's own key, independent of doc_id; null for an empty set)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    signed = saved(texts.mapInArrow(_signatures, "doc_id long, text_key long, node long, n long, bands array<long>"))
+    signed, clashes = _signed(texts)
     nodes = signed.where("n > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.max("n").alias("n"))
     in_band = nodes.select("node", "n", F.explode("bands").alias("band"))
     groups = in_band.groupBy("band").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -203,7 +221,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     cands = saved(members.where("node <> lead.node").where(_fits(F.col("n"), F.col("lead.n"))).groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).count())
     best = cands.groupBy("a").agg(F.max(F.struct("count", F.col("b").alias("b"))).alias("best")).select("a", F.col("best.b").alias("b"))
-    links = _confirmed(best, docs)
+    links = _confirmed(best, docs, clashes)
     roots = rooted(links)  # a leader's id is less than its follower's
     # groups that still hold several components; nodes without links are components of their own
     # a node in large groups in many bands is like most of its group: the text that the others were made from
@@ -218,9 +236,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rest = cands.select("a", "b").join(links, ["a", "b"], "left_anti").join(root, "a", "left").join(root.select(F.col("a").alias("b"), F.col("root_a").alias("root_b")), "b", "left")
     rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     pairs = rest.union(near.select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b"))).distinct()
-    more = _confirmed(pairs.join(best, ["a", "b"], "left_anti"), docs)
+    more = _confirmed(pairs.join(best, ["a", "b"], "left_anti"), docs, clashes)
     tops = _merged(roots, more)
-    tops = _merged(tops, _residual(members, tops, docs))
+    tops = _merged(tops, _residual(members, tops, docs, clashes))
 
     own = signed.select("doc_id", "text_key", "node", "n")
     # tables of their own, so that the joins may split a node or group that very many documents share

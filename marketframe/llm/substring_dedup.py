@@ -19,7 +19,7 @@ window's *anchor*.  Rounds of Spark then
 
 A text that occurs more than once is named once; all its windows are repeats.
 
-Fingerprints have 64 bits.  Defined cases: null, empty and word-less texts have
+Fingerprints have 128 bits, of two independent hashes.  Defined cases: null, empty and word-less texts have
 no windows and keep nothing; texts shorter than a window keep all words;
 repeated rows are copies of each other; an empty table gives an empty result;
 other columns are ignored.
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.llm.arrays import U64, mix, pieces, powers, prefix_sums, spans_hash, word_spans
+from marketframe.llm.arrays import SECOND, U64, mix, pieces, powers, prefix_sums, spans_hash, word_spans
 from marketframe.llm.bitmap import array_of, has, passes
 from marketframe.llm.distinct_texts import distinct_texts
 from marketframe.llm.store import saved
@@ -91,7 +91,7 @@ def compress(h: np.ndarray, doc: np.ndarray, rounds: tuple[tuple[str, int], ...]
 
 
 def _symbols(data: np.ndarray, offsets: np.ndarray, window: int):
-    """Words' prefix sums, each word's document, documents' first words, and the symbols that some window's middle lies in: start, length, anchor."""
+    """Words' spans and prefix sums, documents' first words, and the symbols that some window's middle lies in: start, length, anchor."""
     ws, we, first = word_spans(data, offsets)
     h = spans_hash(prefix_sums(data), ws, we)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
@@ -103,11 +103,20 @@ def _symbols(data: np.ndarray, offsets: np.ndarray, window: int):
     use = (start + size > first[:-1][d] + half) & (start + gram <= first[1:][d]) & (np.diff(first)[d] >= window)
     start, size = start[use], size[use]
     anchor = mix(((sums[start + gram] - sums[start]) * powers(len(sums))[1][start]) + size.astype(U64))
-    return sums, doc, first, start, size, anchor
+    return (ws, we), sums, doc, first, start, size, anchor
+
+
+def _mark(sums: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    return mix((sums[at + window] - sums[at]) * powers(len(sums))[1][at])
+
+
+def _second(data: np.ndarray, spans: tuple[np.ndarray, np.ndarray], at: np.ndarray, window: int) -> np.ndarray:
+    """The other half of a fingerprint, from other values of the bytes."""
+    return mix(_mark(prefix_sums(spans_hash(prefix_sums(SECOND[data]), *spans)), at, window))
 
 
 def _windows(texts: DataFrame, window: int, bitmap) -> DataFrame:
-    """(mark, uid, at): fingerprints of the windows whose anchors are in the bitmap."""
+    """(mark, second, uid, at): fingerprints, of two independent halves, of the windows whose anchors are in the bitmap."""
 
     def of(batches):
         bits = bitmap.value
@@ -115,7 +124,7 @@ def _windows(texts: DataFrame, window: int, bitmap) -> DataFrame:
         for batch in batches:
             uid = batch.column("uid").to_numpy()
             for row, data, offsets in pieces(batch.column("text")):
-                sums, doc, first, start, size, anchor = _symbols(data, offsets, window)
+                spans, sums, doc, first, start, size, anchor = _symbols(data, offsets, window)
                 good = has(bits, anchor)
                 start, size = start[good], size[good]
                 middle = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -123,10 +132,13 @@ def _windows(texts: DataFrame, window: int, bitmap) -> DataFrame:
                 d = doc[middle] if len(middle) else middle
                 inside = (at >= first[:-1][d]) & (at + window <= first[1:][d])
                 at, d = at[inside], d[inside]
-                mark = mix((sums[at + window] - sums[at]) * powers(len(sums))[1][at])
-                yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), pa.array(uid[row + d]), pa.array((at - first[:-1][d]).astype(np.int32))], ["mark", "uid", "at"])
+                if not len(at):
+                    continue
+                mark = _mark(sums, at, window)
+                second = _second(data, spans, at, window)
+                yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), pa.array(second.view(np.int64)), pa.array(uid[row + d]), pa.array((at - first[:-1][d]).astype(np.int32))], ["mark", "second", "uid", "at"])
 
-    return texts.select("uid", "text").mapInArrow(of, "mark long, uid long, at int")
+    return texts.select("uid", "text").mapInArrow(of, "mark long, second long, uid long, at int")
 
 
 def _anchors(texts: DataFrame, window: int) -> DataFrame:
@@ -178,19 +190,19 @@ def repeated_starts(texts: DataFrame, window: int) -> DataFrame:
     bitmap = texts.sparkSession.sparkContext.broadcast(array_of(shared, "anchor", ANCHOR_BITS))
     marks = saved(_windows(texts, window, bitmap))
     # a table of its own, so that the join may split a mark that very many places share
-    twice = saved(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark"))
-    return saved(marks.join(twice, "mark").groupBy("uid").agg(F.collect_list("at").alias("starts")))
+    twice = saved(marks.groupBy("mark", "second").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark", "second"))
+    return saved(marks.join(twice, ["mark", "second"]).groupBy("uid").agg(F.collect_list("at").alias("starts")))
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, and with ``keep_text`` the kept text."""
-    texts = distinct_texts(docs)
+    texts, uid = distinct_texts(docs)
     starts = repeated_starts(texts, window)
     touched = passes(array_of(starts, "uid", TEXT_BITS), F.col("uid"))
     rest = texts.where(~touched | (F.col("copies") > 1)).withColumn("starts", F.lit(None).cast("array<int>"))
     cut = texts.where(touched & (F.col("copies") == 1)).join(starts, "uid", "left")
     columns = ["uid", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text
     done = _cut(rest, window).select(*columns).union(_cut(cut, window).select(*columns))
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("uid"))
+    keyed = docs.select("doc_id", uid(F.col("text")).alias("uid"))
     out = keyed.join(done, "uid").drop("uid")
     return out.withColumn("kept", F.col("kept").cast("string")) if keep_text else out

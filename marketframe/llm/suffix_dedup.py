@@ -8,7 +8,7 @@ buckets of suffixes are resolved apart from each other.  Two things differ, sinc
 copies lie in many texts and tasks at any distance.  The cover is chosen by
 content (the local minima of a rolling hash), so that any two copies have the
 same cover positions, where a difference cover has one in common; and ranks are
-names (64-bit fingerprints), as equality is asked for and not order.
+names (fingerprints of two independent halves of 64 bits), as equality is asked for and not order.
 
 1. Coarse cover: any string of LENGTH bytes holds the COARSE bytes of one of its
    positions.  They are counted over all distinct texts; a string without one
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.llm.arrays import U64, mix, pieces, powers, prefix_sums
+from marketframe.llm.arrays import SECOND, U64, mix, pieces, powers, prefix_sums
 from marketframe.llm.bitmap import array_of, has, passes
 from marketframe.llm.distinct_texts import distinct_texts
 from marketframe.llm.store import saved
@@ -89,6 +89,11 @@ def _named(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts] + (ends - starts).astype(U64))
 
 
+def _second(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The other half of a name, from other values of the bytes."""
+    return mix(_named(prefix_sums(SECOND[data]), starts, ends))
+
+
 def _coarse(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix sums, coarse cover positions of texts long enough, and their names."""
     sums = prefix_sums(data)
@@ -108,7 +113,7 @@ def _anchors(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _runs(texts: DataFrame, length: int, bitmap) -> DataFrame:
-    """(uid, at, n, bucket, whole): runs of n suffixes from byte ``at`` that may repeat, their bucket, and the name of all bytes of their strings."""
+    """(uid, at, n, bucket, whole, second): runs of n suffixes from byte ``at`` that may repeat, their bucket, and the name of all bytes of their strings, in two independent halves."""
     ranked = length - EDGE - STEP - 1
 
     def of(batches):
@@ -140,16 +145,17 @@ def _runs(texts: DataFrame, length: int, bitmap) -> DataFrame:
                 first, meets, d = starts[head], of_start[head], doc[head]
                 bucket = _named(sums, meets, meets + ranked)
                 whole = _named(sums, first, first + n - 1 + length)
+                second = _second(data, first, first + n - 1 + length)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(uid[row + d]), pa.array((first - offsets[d]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(bucket.view(np.int64)), pa.array(whole.view(np.int64))],
-                    ["uid", "at", "n", "bucket", "whole"],
+                    [pa.array(uid[row + d]), pa.array((first - offsets[d]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(bucket.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(second.view(np.int64))],
+                    ["uid", "at", "n", "bucket", "whole", "second"],
                 )
 
-    return texts.select("uid", "text").mapInArrow(of, "uid long, at int, n int, bucket long, whole long")
+    return texts.select("uid", "text").mapInArrow(of, "uid long, at int, n int, bucket long, whole long, second long")
 
 
 def _suffixes(texts: DataFrame, length: int) -> DataFrame:
-    """(mark, uid, at): the names of the suffixes of the runs in the column ``runs``."""
+    """(mark, second, uid, at): the names, in two independent halves, of the suffixes of the runs in the column ``runs``."""
 
     def of(batches):
         for batch in batches:
@@ -164,9 +170,10 @@ def _suffixes(texts: DataFrame, length: int) -> DataFrame:
                     starts.append(all_ + offsets[i])
                     owner.append(np.full(len(all_), i))
                 s, o = np.concatenate(starts), np.concatenate(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(_named(sums, s, s + length).view(np.int64)), pa.array(uid[row + o]), pa.array((s - offsets[o]).astype(np.int32))], ["mark", "uid", "at"])
+                mark, second = _named(sums, s, s + length), _second(data, s, s + length)
+                yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), pa.array(second.view(np.int64)), pa.array(uid[row + o]), pa.array((s - offsets[o]).astype(np.int32))], ["mark", "second", "uid", "at"])
 
-    return texts.select("uid", "text", "runs").mapInArrow(of, "mark long, uid long, at int")
+    return texts.select("uid", "text", "runs").mapInArrow(of, "mark long, second long, uid long, at int")
 
 
 def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
@@ -175,14 +182,14 @@ def repeated_runs(texts: DataFrame, length: int) -> DataFrame:
     shared = _anchors(texts, length).groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     runs = saved(_runs(texts, length, context.broadcast(array_of(shared, "anchor", ANCHOR_BITS))))
     # grouped tables are written before they are joined, so that the joins may split a name that very many places share
-    kinds = saved(runs.groupBy("whole").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("uid", "at")).alias("one")).where("k > 1").select("whole", "one"))
-    known = saved(runs.join(kinds, "whole", "left").select("uid", "at", "n", "bucket", F.col("one").isNotNull().alias("settled"), F.coalesce(F.struct("uid", "at") == F.col("one"), F.lit(False)).alias("stands")))
+    kinds = saved(runs.groupBy("whole", "second").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("uid", "at")).alias("one")).where("k > 1").select("whole", "second", "one"))
+    known = saved(runs.join(kinds, ["whole", "second"], "left").select("uid", "at", "n", "bucket", F.col("one").isNotNull().alias("settled"), F.coalesce(F.struct("uid", "at") == F.col("one"), F.lit(False)).alias("stands")))
     open_ = saved(known.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("settled").alias("all_settled")).where("k > 1 and not all_settled").select("bucket"))
     asked = saved(known.where("not settled or stands").join(open_, "bucket").groupBy("uid").agg(F.collect_list(F.struct("at", "n")).alias("runs")))
     some = texts.where(passes(array_of(asked, "uid", TEXT_BITS), F.col("uid"))).join(asked, "uid")
     marks = saved(_suffixes(some, length))
-    twice = saved(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("mark"))
-    single = marks.join(twice, "mark").select("uid", "at", F.lit(1).alias("n"))
+    twice = saved(marks.groupBy("mark", "second").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("mark", "second"))
+    single = marks.join(twice, ["mark", "second"]).select("uid", "at", F.lit(1).alias("n"))
     return saved(known.where("settled").select("uid", "at", "n").union(single).groupBy("uid").agg(F.collect_list(F.struct("at", "n")).alias("runs")))
 
 
@@ -221,11 +228,11 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep_text: bool = False)
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_text`` the kept bytes."""
     if length < 4 * EDGE:
         raise ValueError(f"length must be {4 * EDGE} or more")
-    texts = distinct_texts(docs)
+    texts, uid = distinct_texts(docs)
     runs = repeated_runs(texts, length)
     touched = passes(array_of(runs, "uid", TEXT_BITS), F.col("uid"))
     rest = texts.where(~touched | (F.col("copies") > 1)).withColumn("runs", F.lit(None).cast("array<struct<at:int,n:int>>"))
     cut = texts.where(touched & (F.col("copies") == 1)).join(runs, "uid", "left")
     columns = ["uid", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
     done = _cut(rest, length).select(*columns).union(_cut(cut, length).select(*columns))
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("uid")).join(done, "uid").drop("uid")
+    return docs.select("doc_id", uid(F.col("text")).alias("uid")).join(done, "uid").drop("uid")

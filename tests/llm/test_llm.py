@@ -158,6 +158,22 @@ def test_suffix_buckets(docs, rows, empty):
     assert suffix_dedup.deduplicate(empty).count() == 0
 
 
+def test_names_that_collide_change_no_result(docs, rows, empty, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from marketframe.llm import distinct_texts
+
+    U64 = np.uint64
+    monkeypatch.setattr(distinct_texts, "first_hash", lambda text: F.pmod(F.xxhash64(text), F.lit(13)))
+    mark, named, ids = substring_dedup._mark, suffix_dedup._named, near_dedup.set_ids
+    monkeypatch.setattr(substring_dedup, "_mark", lambda sums, at, window: mark(sums, at, window) & U64(15))
+    test_recompression(docs, rows, empty, 35)
+    monkeypatch.setattr(suffix_dedup, "_named", lambda sums, starts, ends: named(sums, starts, ends) & U64(15))
+    test_suffix_buckets(docs, rows, empty)
+    monkeypatch.setattr(near_dedup, "set_ids", lambda shingles, first: ids(shingles, first) & U64(15))
+    test_near_dedup(docs, rows, empty)
+
+
 def test_suffix_lengths_around_the_limit(spark):
     r = np.random.default_rng(9)
     filler = lambda n: "".join(chr(97 + k) for k in r.integers(0, 26, n))

@@ -1,4 +1,4 @@
-"""Structured Streaming over feeds: archive, dedupe, windows, sessions, live book, delayed labels, live map.
+"""Structured Streaming over feeds: archive, dedupe, windows, sessions, live book and features, delayed labels, live map, counters.
 
 Each function takes a streaming (or static) DataFrame and returns one; the same
 code on a static table is the batch result that tests compare with.
@@ -6,16 +6,18 @@ code on a static table is the batch result that tests compare with.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marketframe.functions.prices import liquidation_distance
+
 
 def read_feed(spark: SparkSession, path: str, schema: str, files_each: int = 100) -> DataFrame:
     """Archived rows as a stream of files; ``files_each`` bounds a batch."""
@@ -61,26 +63,53 @@ def delayed_labels(rows: DataFrame, mids: DataFrame, horizon: str, late: str) ->
     return r.join(m, on).select("r.*", "mid_ts", "later")
 
 
-BOOK_OUT = "instrument string, ts_ms long, n long, bid double, ask double, ready boolean"
-BOOK_STATE = "sides string, seq long, ready boolean"
+def feed_counters(events: DataFrame, width: str, late: str, slow_ms: int) -> DataFrame:
+    """Rows, slow rows, largest lag and bytes of each window, instrument and channel: what a recorder watches."""
+    w = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "instrument", "channel")
+    slow = F.sum((F.col("lag") >= slow_ms).cast("long"))
+    made = w.agg(F.count(F.lit(1)).alias("n"), slow.alias("slow"), F.max("lag").alias("most"), F.sum(F.octet_length("m")).cast("long").alias("bytes"))
+    return made.select(F.col("w.start").alias("start"), "instrument", "channel", "n", "slow", "most", "bytes")
+
+
+class Throughput(StreamingQueryListener):
+    """Counts of running streams, by query id: batches, rows, and rows that a watermark has dropped."""
+
+    def __init__(self) -> None:
+        self.counts: dict[str, dict[str, int]] = {}
+
+    def onQueryStarted(self, event: Any) -> None:
+        self.counts[str(event.id)] = {"batches": 0, "rows": 0, "dropped": 0}
+
+    def onQueryProgress(self, event: Any) -> None:
+        mine = self.counts.setdefault(str(event.progress.id), {"batches": 0, "rows": 0, "dropped": 0})
+        mine["batches"] += 1
+        mine["rows"] += event.progress.numInputRows
+        mine["dropped"] += sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+
+    def onQueryIdle(self, event: Any) -> None:
+        pass
+
+    def onQueryTerminated(self, event: Any) -> None:
+        pass
 
 
-def live_book(messages: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
-    """The touch after every message of a feed, with gaps: a message whose previous number isn't the last one makes the book
-    unready until the next snapshot.  State: the levels, the sequence number and whether the book is ready."""
+BOOK_OUT = "instrument string, ts_ms long, n long, bid double, ask double, crossed boolean, ready boolean"
+BOOK_STATE = "bid_px array<double>, bid_size array<double>, ask_px array<double>, ask_size array<double>, seq long, crossed long, ready boolean"
 
 
+def live_book(messages: DataFrame, patience: int = 3) -> DataFrame:
+    """The touch after every message of a feed.  A message whose previous number isn't the last one, or the ``patience``-th crossed
+    touch in a row, makes the book unready until the next snapshot.  State, one row an instrument: the levels, the
+    sequence number, crossed touches in a row, and whether the book is ready; a quiet feed keeps it."""
+
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        sides, seq, ready = ("[{}, {}]", -1, False) if not state.exists else state.get
-        bids, asks = ({float(p): s for p, s in side.items()} for side in json.loads(sides))
+        bid_px, bid_size, ask_px, ask_size, seq, crossed, ready = state.get if state.exists else ([], [], [], [], -1, 0, False)
+        bids, asks = dict(zip(bid_px, bid_size, strict=True)), dict(zip(ask_px, ask_size, strict=True))
         rows = pd.concat(list(batches)).sort_values(["ts_ms", "n"], kind="stable")
         out = []
         for r in rows.itertuples(index=False):
             if r.action == "snapshot":
-                bids, asks, ready = {}, {}, True
+                bids, asks, ready, crossed = {}, {}, True, 0
             elif not ready or r.seq <= seq:
                 continue
             elif r.prev_seq != seq:
@@ -93,20 +122,91 @@ def live_book(messages: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
                         book[float(level["price"])] = float(level["size"])
                     else:
                         book.pop(float(level["price"]), None)
-            if bids and asks:
-                out.append((key[0], int(r.ts_ms), int(r.n), max(bids), min(asks), ready))
-        state.update((json.dumps([bids, asks]), seq, ready))
-        state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(out, columns=["instrument", "ts_ms", "n", "bid", "ask", "ready"])
-
-    return messages.groupBy("instrument").applyInPandasWithState(step, BOOK_OUT, BOOK_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+            if not (bids and asks):
+                continue
+            bid, ask = max(bids), min(asks)
+            crossed = crossed + 1 if bid >= ask else 0
+            if crossed >= patience:
+                ready, crossed = False, 0
+            out.append((key[0], int(r.ts_ms), int(r.n), bid, ask, bid >= ask, ready))
+        state.update((list(bids), list(bids.values()), list(asks), list(asks.values()), seq, crossed, ready))
+        yield pd.DataFrame(out, columns=["instrument", "ts_ms", "n", "bid", "ask", "crossed", "ready"])
 
+    return messages.groupBy("instrument").applyInPandasWithState(step, BOOK_OUT, BOOK_STATE, "append", GroupStateTimeout.NoTimeout)
 
-def live_map(positions: DataFrame, checkpoint: str, draw: Callable[[DataFrame], None]) -> DataStreamWriter:
-    """Each batch's newest row of every (user, coin) goes to ``draw``, which upserts it and draws the map."""
 
-    def batch(rows: DataFrame, _: int) -> None:
-        newest = rows.groupBy("user", "coin").agg(F.max_by(F.struct("*"), "observed_ms").alias("r")).select("r.*")
-        draw(newest)
+def live_features(touch: DataFrame, returns_ms: Sequence[int], volatility_ms: Sequence[int], history_ms: int = 300_000) -> DataFrame:
+    """Rows (instrument, ts_ms, n, mid) with ``ret_h`` and ``rv_h`` as ``features.past_returns`` and ``features.realized_volatility`` define
+    them, over what a feed has sent so far.  State, one row an instrument: the last mid of each time of ``history_ms``, and the
+    one before; rows older than the newest time of an earlier batch are late and dropped."""
+    if max([*returns_ms, *volatility_ms]) > history_ms:
+        raise ValueError("the history is shorter than a window")
 
-    return positions.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, mids = (np.array(x) for x in (state.get if state.exists else ([], [])))
+        rows = pd.concat(list(batches)).sort_values(["ts_ms", "n"], kind="stable")
+        if len(times):
+            rows = rows[rows["ts_ms"] >= times[-1]]
+        if not len(rows):
+            return
+        now, mid = rows["ts_ms"].to_numpy(), rows["mid"].to_numpy()
+        last = rows.groupby("ts_ms")["mid"].last()
+        old = times < now[0]  # a time that goes on is taken from the rows
+        t, m = np.concatenate([times[old], last.index]).astype(np.int64), np.concatenate([mids[old], last.to_numpy()])
+        out = {"instrument": key[0], "ts_ms": now, "n": rows["n"].to_numpy(), "mid": mid}
+        for h in returns_ms:
+            at = np.searchsorted(t, now - h, "right") - 1
+            out[f"ret_{h}"] = np.where(at >= 0, np.log(mid / m[np.maximum(at, 0)]) * 1e4, 0.0)
+        squares = np.cumsum(np.concatenate([[0.0], np.log(m[1:] / m[:-1]) ** 2]))
+        here = np.searchsorted(t, now)
+        for h in volatility_ms:
+            first = np.searchsorted(t, now - h)
+            enough = here - first >= 2
+            seconds = np.where(enough, (now - t[first]) / 1000, 1.0)
+            out[f"rv_{h}"] = np.where(enough, np.sqrt(np.maximum(squares[here] - squares[first], 0) / seconds) * 1e4, 0.0)
+        keep = max(0, np.searchsorted(t, t[-1] - history_ms) - 1)
+        state.update((t[keep:].tolist(), m[keep:].tolist()))
+        yield pd.DataFrame(out)
+
+    names = [f"ret_{h}" for h in returns_ms] + [f"rv_{h}" for h in volatility_ms]
+    schema = "instrument string, ts_ms long, n long, mid double, " + ", ".join(f"{c} double" for c in names)
+    return touch.groupBy("instrument").applyInPandasWithState(step, schema, "times array<long>, mids array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+MAP_FEED = "kind string, user string, coin string, observed_ms long, size double, price double"
+
+
+def map_lines(latest: DataFrame, max_age_ms: int, width: float = 0.005, far: float = 0.25) -> DataFrame:
+    """One line a coin: day, coin, draw_ms, mark_px, accounts, positions, no_price, crossed, beyond, and per side and band of distance
+    the size, notional and positions.  ``latest`` (MAP_FEED) has the newest row of each position (price: its liquidation
+    price) and of each coin's mark; a mark older than ``max_age_ms`` at the draw counts for nothing."""
+    draw = latest.agg(F.max("observed_ms").alias("draw_ms"))
+    marks = latest.where("kind = 'mark'").select("coin", F.col("price").alias("mark_px"), F.col("observed_ms").alias("mark_ms"))
+    rows = latest.where("kind = 'position' and size <> 0").crossJoin(F.broadcast(draw))  # one row
+    rows = rows.join(marks, "coin", "left").withColumn("mark_px", F.when(F.col("draw_ms") - F.col("mark_ms") <= max_age_ms, F.col("mark_px")))
+    distance = liquidation_distance(F.col("size"), F.col("mark_px"), F.col("price"))
+    rows = rows.withColumn("distance", distance).withColumn("side", F.when(F.col("size") > 0, "long").otherwise("short"))
+    kind = F.when(F.col("distance").isNull(), "no price").when(F.col("distance") <= 0, "crossed").when(F.col("distance") >= far, "beyond").otherwise("band")
+    rows = rows.withColumn("where", kind).withColumn("band", F.when(F.col("where") == "band", F.floor(F.col("distance") / width)))
+    bands = rows.where("where = 'band'").groupBy("coin", "side", "band").agg(F.sum(F.abs("size")).alias("size"), F.sum(F.abs(F.col("size") * F.col("mark_px"))).alias("notional"), F.count(F.lit(1)).alias("positions"))
+    drawn = bands.groupBy("coin").agg(F.array_sort(F.collect_list(F.struct("side", "band", "size", "notional", "positions"))).alias("bands"))  # 100 a coin at most
+    counts = [F.count(F.when(F.col("where") == k, 1)).alias(k.replace(" ", "_")) for k in ("no price", "crossed", "beyond")]
+    coins = rows.groupBy("coin").agg(F.max("draw_ms").alias("draw_ms"), F.max("mark_px").alias("mark_px"), F.countDistinct("user").alias("accounts"), F.count(F.lit(1)).alias("positions"), *counts)
+    return coins.join(drawn, "coin", "left").withColumn("day", F.date_format(F.timestamp_millis("draw_ms"), "yyyy-MM-dd"))
+
+
+def live_map(feed: DataFrame, folder: str, checkpoint: str, max_age_ms: int = 60_000) -> DataStreamWriter:
+    """A map a batch from a feed (MAP_FEED) of positions and marks: the newest rows go to ``folder``/latest/draw=N, lines as JSON by
+    UTC day to ``folder``/map/draw=N/day=...  Batch N reads what N - 1 left and overwrites its own, so that a batch which runs
+    again gives the same; earlier draws of ``latest`` may be removed."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        before = spark.read.schema(MAP_FEED).parquet(f"{folder}/latest/draw={number - 1}") if number else rows.limit(0)
+        newest = F.max(F.struct("observed_ms", "size", "price")).alias("r")
+        latest = before.unionByName(rows).groupBy("kind", "user", "coin").agg(newest).select("kind", "user", "coin", "r.*")
+        latest.write.mode("overwrite").parquet(f"{folder}/latest/draw={number}")
+        now = spark.read.schema(MAP_FEED).parquet(f"{folder}/latest/draw={number}")
+        map_lines(now, max_age_ms).write.mode("overwrite").partitionBy("day").json(f"{folder}/map/draw={number}")
+
+    return feed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

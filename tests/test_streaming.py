@@ -90,3 +90,20 @@ def test_counters(spark, tmp_path):
     got = drain(feeds.feed_counters(stream.withColumn("channel", F.lit("c")), "1 minute", "0 seconds", 10), "counters", "complete")
     want = feeds.feed_counters(base.withColumn("channel", F.lit("c")), "1 minute", "0 seconds", 10)
     assert got.orderBy("start", "instrument").collect() == want.orderBy("start", "instrument").collect()
+
+
+def test_throughput_listener(spark, tmp_path):
+    import time
+
+    base, stream = source(spark, tmp_path)
+    listener = feeds.Throughput()
+    spark.streams.addListener(listener)
+    try:
+        drain(feeds.lag_windows(stream, "1 minute", "0 seconds"), "watched", "complete")
+        for _ in range(100):  # progress comes after the batch
+            if any(c["rows"] == base.count() for c in listener.counts.values()):
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert [c["rows"] for c in listener.counts.values()] == [400] and all(c["batches"] >= 1 and c["dropped"] == 0 for c in listener.counts.values())

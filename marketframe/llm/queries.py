@@ -1,13 +1,14 @@
-"""The queries op1 to op10 over the given tables, and their SQL where SQL can say it."""
+"""The queries op1 to op13 over the given tables, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm import decontaminate, exact_dedup, html_extract, mixing, near_dedup, quality, sharding, substring_dedup, suffix_dedup, toxicity
+from marketframe.llm import bpe, decontaminate, exact_dedup, html_extract, mixing, near_dedup, phrases, quality, sharding, substring_dedup, suffix_dedup, toxicity, whitening
 from marketframe.session import ship
 
 SHARDS = 16
@@ -63,10 +64,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(_docs(spark, sf_dir))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(_docs(spark, sf_dir))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    made = _docs(spark, sf_dir).select("doc_id", bpe.encode(known, F.col("text")).alias("e"))
+    shown = F.array_join(F.col("e.ids").cast("array<string>"), " ")
+    back = bpe.decode(known, F.col("e.ids"), F.col("e.starts"))
+    return made.select("doc_id", F.size("e.ids").cast("long").alias("n_tokens"), F.sha2(shown, 256).alias("ids_sha256"), F.sha2(back, 256).alias("decoded_sha256"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     known = (
         op1_rendezvous_sharding, op2_recompression_dedup, op3_quality_classifier, op4_benchmark_decontamination, op5_exact_dedup,
-        op6_minmax_near_dedup, op7_toxicity, op8_html_extraction, op9_source_mixing, op10_suffix_dedup,
+        op6_minmax_near_dedup, op7_toxicity, op8_html_extraction, op9_source_mixing, op10_suffix_dedup, op11_phrase_mining, op12_byte_bpe, op13_embedding_whitening,
     )
     return {f.__name__: f for f in known}
 
@@ -127,6 +144,22 @@ n as (select id, sum(greatest(0, least(words, budget - (run - words))))::bigint
 select doc_id, size, source_size, target, coalesce(taken, 0)::bigint taken from c left join n using (id)
 """
 
+_OP11 = f"""
+with t as (select coalesce(lang, 'und') lang, unnest(string_split_regex({_LOWER.replace("text", "coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) piece from documents),
+p as (select lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') ws from t),
+g as (select lang, k, array_to_string(ws[i:i + k - 1], ' ') phrase from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) i from p, range(1, 4) r(k) where len(ws) >= k)),
+f as (select lang, k, phrase, count(*) f from g group by lang, k, phrase),
+n as (select lang, sum(f)::bigint n from f where k = 1 group by lang),
+c as (select lang, phrase, f a, string_split(phrase, ' ') ws, k from f where k > 1 and f >= 10),
+s as (select lang, array_to_string(ws[o:o + 1], ' ') phrase, max(a) most from c, range(1, 3) r(o) where k = 3 group by all),
+kept as (select c.* from c left join s on s.lang = c.lang and s.phrase = c.phrase and c.k = 2 where s.phrase is null or 100 * most < 50 * a),
+cut as (select lang, phrase, a, j, array_to_string(ws[1:j], ' ') lp, array_to_string(ws[j + 1:], ' ') rp from kept, range(1, 3) r(j) where j < k),
+v as (select cut.*, x.f l, y.f r, (1000000::hugeint * a * a) // (x.f::hugeint * y.f) score from cut join f x on x.lang = cut.lang and x.phrase = lp join f y on y.lang = cut.lang and y.phrase = rp),
+w as (select lang, phrase, a, unnest(arg_min(struct_pack(l := l, r := r, score := score), [score, j])) from v group by lang, phrase, a),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from w)
+select lang, rank::bigint rank, phrase, a::bigint a, l::bigint l, r::bigint r, n, score::bigint score from o join n using (lang) where rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_rendezvous_sharding": _OP1, "op4_benchmark_decontamination": _OP4, "op5_exact_dedup": _OP5, "op9_source_mixing": _OP9}
+    return {"op1_rendezvous_sharding": _OP1, "op4_benchmark_decontamination": _OP4, "op5_exact_dedup": _OP5, "op9_source_mixing": _OP9, "op11_phrase_mining": _OP11}

@@ -42,7 +42,7 @@ GAPS = ENDS.copy()
 GAPS[[0x20, 0x09]] = True
 
 #: Bytes of text that a task counts at a time.
-CHUNK = 1 << 24
+CHUNK = 1 << 23
 #: Bits of the bitmap of frequent phrases, as a power of 2: 16 MB.
 BITS = 27
 HOT, PARTS = 512, 4096
@@ -89,9 +89,9 @@ class Chunk:
     def __init__(self, words: list[pa.Array], langs: list[np.ndarray], runs: list[np.ndarray], names: list[str]):
         coded = pa.concat_arrays(words).dictionary_encode()
         self.distinct, self.names = coded.dictionary, names
-        self.ids, self.langs = coded.indices.to_numpy().astype(np.int64), np.concatenate(langs)
+        self.ids, self.langs = coded.indices.to_numpy(), np.concatenate(langs)
         steps = np.cumsum([0, *(int(r[-1]) + 1 if len(r) else 0 for r in runs[:-1])])
-        self.runs = np.concatenate([r + s for r, s in zip(runs, steps, strict=True)])
+        self.runs = np.concatenate([(r + s).astype(np.int32) for r, s in zip(runs, steps, strict=True)])
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
@@ -99,7 +99,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     codes: dict[str, int] = {}
     words, langs, runs, size = [], [], [], 0
     for batch in batches:
-        mine = np.array([codes.setdefault(x, len(codes)) for x in batch.column("lang").to_pylist()], np.int64)
+        mine = np.array([codes.setdefault(x, len(codes)) for x in batch.column("lang").to_pylist()], np.int32)
         for first, data, offsets in pieces(batch.column("text")):
             one = len(offsets) == 2
             for part in _cut(data) if one else [data]:
@@ -133,10 +133,10 @@ def _grams(chunk: Chunk, length: int, bitmap: np.ndarray | None) -> np.ndarray:
         return np.zeros(0, np.int64)
     fits = chunk.runs[:n] == chunk.runs[length - 1 :]
     if bitmap is not None:
-        word, lang = _hashes(chunk.distinct)[chunk.ids], _hashes(pa.array(chunk.names))[chunk.langs]
-        key = lang[: n + 1]
+        words = _hashes(chunk.distinct)
+        key = _hashes(pa.array(chunk.names))[chunk.langs[: n + 1]]
         for i in range(length - 1):
-            key = _join(key, word[i : i + n + 1])
+            key = _join(key, words[chunk.ids[i : i + n + 1]])
         passed = has(bitmap, key)
         fits &= passed[:-1] & passed[1:]
     return np.flatnonzero(fits)
@@ -145,13 +145,14 @@ def _grams(chunk: Chunk, length: int, bitmap: np.ndarray | None) -> np.ndarray:
 def _stripes(chunk: Chunk, length: int, bitmap: np.ndarray, hot: dict[tuple[str, str], int]) -> pa.RecordBatch:
     """The chunk's stripes of prefixes of length - 1 words."""
     at = _grams(chunk, length, bitmap)
-    prefix, size = chunk.langs[at], len(chunk.distinct)
+    prefix, size = chunk.langs[at].astype(np.int64), len(chunk.distinct)
     for i in range(length - 1):  # prefixes are numbered word by word, so that numbers stay small
         keys, prefix = np.unique(prefix * size + chunk.ids[at + i], return_inverse=True)
     pair, counts = np.unique(prefix * size + chunk.ids[at + length - 1], return_counts=True)
     prefix_of, next_ = pair // size, pair % size
     sample = np.zeros(len(keys), np.int64)
     sample[prefix] = at  # a place where each prefix stands
+    del at, prefix
     texts = chunk.distinct.take(pa.array(chunk.ids[sample]))
     for i in range(1, length - 1):
         texts = pc.binary_join_element_wise(texts, chunk.distinct.take(pa.array(chunk.ids[sample + i])), " ")
@@ -186,7 +187,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def count(batches):
         for c in chunks(batches):
             size = len(c.distinct)
-            found, counts = np.unique(c.langs * size + c.ids, return_counts=True)
+            found, counts = np.unique(c.langs.astype(np.int64) * size + c.ids, return_counts=True)
             rows = pa.RecordBatch.from_arrays([pa.array(c.names).take(pa.array(found // size)), c.distinct.take(pa.array(found % size)), pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
             yield from _sliced(rows)
 

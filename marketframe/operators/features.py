@@ -9,16 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.functions.prices import imbalance, microprice, mid, spread_bps
+from marketframe.operators.running import DAY, running
 from marketframe.operators.saved import saved
 from marketframe.operators.timeseries import asof_join
 
 BPS = 10_000.0
 BY = "instrument"
-DAY = 86_400_000
 
 
 def usable_touch(touch: DataFrame) -> DataFrame:
@@ -108,15 +110,39 @@ def realized_volatility(series: DataFrame, horizon_ms: int, name: str) -> DataFr
     return made.where("_own").drop("_r2", "_bucket", "_own")
 
 
+#: Samples that a task ranks at a time.
+RANKED = 4096
+
+
 def volatility_regime(df: DataFrame, rv: str, samples: int = 600, least: int = 60) -> DataFrame:
-    """low, high, normal or unknown: the last positive samples' order statistics at a third and two thirds."""
-    pos = df.where(F.col(rv) > 0)
-    last = Window.partitionBy(BY).orderBy("ts_ms").rowsBetween(-(samples - 1), 0)
-    ranked = pos.withColumn("_all", F.sort_array(F.collect_list(rv).over(last)))
-    n = F.size("_all")
-    low, high = (F.element_at("_all", (F.floor(n * q) + 1).cast("int")) for q in (0.33, 0.67))
-    regime = F.when(n < least, "unknown").when(F.col(rv) <= low, "low").when(F.col(rv) >= high, "high").otherwise("normal")
-    return ranked.withColumn("regime", regime).drop("_all")
+    """low, high, normal or unknown: the last positive samples' order statistics at a third and two thirds.
+
+    A value is at or below an order statistic when few enough values of the window are below it, so a row needs two counts
+    and no sorted window.  Samples are numbered over buckets of time and cut into blocks by number; a block has
+    the ``samples`` - 1 rows before it as a halo, so that no task holds a whole instrument."""
+    numbered = running(df.where(F.col(rv) > 0), [BY], "ts_ms", ["ts_ms"], {"_n": ("sum", F.lit(1).cast("long"))})
+    size = max(RANKED, samples)
+    own = F.floor((F.col("_n") - 1) / size)
+    blocks = numbered.withColumn("_block", F.explode(F.sequence(own, F.floor((F.col("_n") + samples - 2) / size))))
+
+    def rank(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_n")
+        v, n = rows[rv].to_numpy(float), rows["_n"].to_numpy()
+        before = int((n <= rows["_block"].iloc[0] * size).sum())  # the halo
+        padded = np.concatenate([np.full(samples - 1, np.nan), v])  # nan is neither below nor above
+        below, upto = np.zeros(len(v), int), np.zeros(len(v), int)
+        for first in range(before, len(v), 512):
+            last = min(first + 512, len(v))
+            windows = np.lib.stride_tricks.sliding_window_view(padded[first : last + samples - 1], samples)
+            below[first:last] = (windows < v[first:last, None]).sum(1)
+            upto[first:last] = (windows <= v[first:last, None]).sum(1)
+        held = np.minimum(n, samples)
+        low, high = (np.floor(held * q).astype(int) for q in (0.33, 0.67))
+        regime = np.select([held < least, below <= low, upto >= high + 1], ["unknown", "low", "high"], "normal")
+        return rows.assign(regime=regime).iloc[before:].drop(columns=["_n", "_block"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", regime string"
+    return blocks.groupBy(BY, "_block").applyInPandas(rank, schema)
 
 
 def forward_labels(rows: DataFrame, touch: DataFrame, horizons_ms: Sequence[int], threshold_bps: float) -> DataFrame:

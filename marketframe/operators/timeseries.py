@@ -7,12 +7,14 @@ buckets in, so that no task holds a whole key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketframe.operators.running import DAY, running
 from marketframe.operators.saved import saved
 
 
@@ -101,12 +103,12 @@ def with_drawdown(df: DataFrame, value: str, by: Sequence[str], order: Sequence[
 
 
 def episodes(df: DataFrame, value: str, start: float, end: float, by: Sequence[str], order: Sequence[str], at: str) -> DataFrame:
-    """Stretches that begin at value >= start and end below ``end``: by..., episode, started, ended, peak, rows."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    state = F.last(F.when(F.col(value) >= start, 1).when(F.col(value) < end, 0), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    on = df.withColumn("_on", F.coalesce(state, F.lit(0)))
-    new = F.when((F.col("_on") == 1) & (F.coalesce(F.lag("_on").over(w), F.lit(0)) == 0), 1).otherwise(0)
-    numbered = on.withColumn("_new", new).withColumn("episode", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Stretches that begin at value >= start and end below ``end``: by..., episode, started, ended, peak, rows.
+    The machine has two states and its steps (on, off, as before) compose to the last that isn't "as before": a scan over buckets."""
+    told = running(df, by, at, order, {"_on": ("last", F.when(F.col(value) >= start, 1).when(F.col(value) < end, 0))}).withColumn("_on", F.coalesce("_on", F.lit(0)))
+    was = running(told, by, at, order, {"_was": ("last", F.col("_on"))}, before=True)
+    new = ((F.col("_on") == 1) & (F.coalesce("_was", F.lit(0)) == 0)).cast("long")
+    numbered = running(was.withColumn("_new", new), by, at, order, {"episode": ("sum", F.col("_new"))})
     return numbered.where("_on = 1").groupBy(*by, "episode").agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.max(value).alias("peak"), F.count(F.lit(1)).alias("rows"))
 
 
@@ -118,30 +120,71 @@ def first_of(df: DataFrame, key: Sequence[str | Column], order: Sequence[str | C
 
 
 def changed(df: DataFrame, value: str | Column, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows whose value differs from the one before them (consecutive repeats go)."""
-    before = F.lag(value if isinstance(value, Column) else F.col(value)).over(Window.partitionBy(*by).orderBy(*order))
+    """Rows whose value differs from the one before them (consecutive repeats go); ``order`` begins with a time in milliseconds."""
     now = value if isinstance(value, Column) else F.col(value)
-    return df.withColumn("_before", before).where(~now.eqNullSafe(F.col("_before"))).drop("_before")
+    seen = running(df.withColumn("_now", now), by, order[0], order, {"_before": ("last", F.struct("_now"))}, before=True)
+    return seen.where(F.col("_before").isNull() | ~F.col("_now").eqNullSafe(F.col("_before._now"))).drop("_now", "_before")
+
+
+#: Intervals of a bucket in which ``thin`` follows its rows in one task.
+THINNED = 64
 
 
 def thin(df: DataFrame, by: Sequence[str], at: str, order: Sequence[str], interval: int) -> DataFrame:
     """Greedy thinning: a row stays if it is ``interval`` or more after the last one that stayed;
-    rows out of time order are dropped.  Sequential by nature: one fold for each key, as Arrow batches."""
-    by, order = list(by), list(order)
+    rows out of time order are dropped.
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        stay, last, newest = [], None, None
-        for t in rows[at].tolist():
-            if newest is not None and t < newest:
-                stay.append(False)
-                continue
-            newest = t
-            stay.append(last is None or t - last >= interval)
-            last = t if stay[-1] else last
-        return rows[stay]
-
-    return df.groupBy(*by).applyInPandas(keep, df.schema)
+    The row that stays next is a pointer.  Time is cut into buckets of THINNED intervals; pointers are followed inside each
+    bucket from its entries, the times at which a chain may come into it (those of its first interval, and the first
+    time after that), to the entry of a later bucket.  These jumps, a few rows a bucket, are doubled until the entries that the first
+    row leads to are known; then each bucket marks its rows from its own entry.  A row without a time or key goes."""
+    by, order = list(by), list(order)
+    width = interval * THINNED
+    seen = running(df, by, at, order, {"_newest": ("max", F.col(at))}, before=True, bucket=max(DAY, width)).where(F.col("_newest").isNull() | (F.col(at) >= F.col("_newest"))).drop("_newest")
+    rows = saved(seen.withColumn("_bucket", F.floor(F.col(at) / width)))
+    times = rows.groupBy(*by, "_bucket").agg(F.sort_array(F.collect_set(at)).alias("_times"))  # of a bucket
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+
+    def follow(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups:
+            out = []
+            for i, (b, ts) in enumerate(zip(g["_bucket"], g["_times"], strict=True)):
+                ts = np.sort(np.asarray(ts, dtype=np.int64))
+                after = np.searchsorted(ts, ts + interval)
+                exits = ts.copy()
+                for k in range(len(ts) - 1, -1, -1):
+                    if after[k] < len(ts):
+                        exits[k] = exits[after[k]]
+                n = min(len(ts), int(np.searchsorted(ts, b * width + interval)) + 1)
+                out += [(i, int(ts[k]), int(exits[k]) + interval) for k in range(n)]
+            made = pd.DataFrame(out, columns=["_i", "_entry", "_free"])
+            yield pd.concat([g[by].iloc[made["_i"]].reset_index(drop=True), made[["_entry", "_free"]]], axis=1)
+
+    entries = saved(times.mapInPandas(follow, f"{kinds}, _entry long, _free long"))
+    # an entry's jump: the first time at or after its chain is free again, which is an entry of a later bucket
+    jumps = asof_join(entries.withColumn("_t", F.col("_free")), entries.select(*by, F.col("_entry").alias("_t"), F.col("_entry").alias("_next")), by, "_t", ["_next"], forward=True, bucket=width).where("_next is not null").select(*by, "_entry", "_next")
+    jumps, reached = saved(jumps), saved(entries.groupBy(*by).agg(F.min("_entry").alias("_entry")))
+    while not jumps.isEmpty():
+        reached = saved(reached.union(reached.join(jumps, [*by, "_entry"]).select(*by, F.col("_next").alias("_entry"))))
+        two = jumps.select(*by, "_entry", F.col("_next").alias("_mid")).join(jumps.select(*by, F.col("_entry").alias("_mid"), "_next"), [*by, "_mid"])
+        jumps = saved(two.select(*by, "_entry", "_next"))
+    own = reached.withColumn("_bucket", F.floor(F.col("_entry") / width)).groupBy(*by, "_bucket").agg(F.min("_entry").alias("_entry"))
+
+    def mark(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups:
+            out = []
+            for i, (entry, ts) in enumerate(zip(g["_entry"], g["_times"], strict=True)):
+                ts = np.sort(np.asarray(ts, dtype=np.int64))
+                k = int(np.searchsorted(ts, entry))
+                while k < len(ts):
+                    out.append((i, int(ts[k])))
+                    k = int(np.searchsorted(ts, ts[k] + interval))
+            made = pd.DataFrame(out, columns=["_i", "_stays"])
+            yield pd.concat([g[by].iloc[made["_i"]].reset_index(drop=True), made[["_stays"]]], axis=1)
+
+    stays = times.join(own, [*by, "_bucket"]).mapInPandas(mark, f"{kinds}, _stays long")
+    first = rows.drop("_bucket").withColumn("_nth", F.row_number().over(Window.partitionBy(*by, at).orderBy(*order))).where("_nth = 1").withColumn("_stays", F.col(at).cast("long")).drop("_nth")
+    return first.join(stays, [*by, "_stays"], "left_semi").select(*df.columns)
 
 
 def thin_by_bucket(df: DataFrame, by: Sequence[str], at: str, order: Sequence[str], interval: int) -> DataFrame:

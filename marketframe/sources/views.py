@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marketframe.operators.running import running
+
 MS_DAY = 86_400_000
 
 
@@ -95,8 +97,8 @@ def book_top(spark: SparkSession, sf_dir: str) -> DataFrame:
         inst.alias("instrument"), F.col("event_id").alias("n"), epoch_ms(F.col("ts")).alias("ts_ms"), (price - 1 - F.pmod("k", F.lit(5))).alias("bid"), (price + F.pmod("k", F.lit(7))).alias("ask"),
         (1 + F.pmod("k", F.lit(13))).alias("bid_size"), (1 + F.pmod("k", F.lit(11))).alias("ask_size"),
     )
-    nth = F.row_number().over(Window.partitionBy("instrument").orderBy("ts_ms", "n")).cast("long")
-    return rows.withColumn("seq", nth).withColumn("seq", F.col("seq") + F.floor((F.col("seq") - 1) / 49)).withColumn("prev_seq", F.col("seq") - 1)
+    numbered = running(rows, ["instrument"], "ts_ms", ["ts_ms", "n"], {"seq": ("sum", F.lit(1).cast("long"))})
+    return numbered.withColumn("seq", F.col("seq") + F.floor((F.col("seq") - 1) / 49)).withColumn("prev_seq", F.col("seq") - 1)
 
 
 BOOK_SQL = """

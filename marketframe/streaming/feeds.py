@@ -93,48 +93,6 @@ class Throughput(StreamingQueryListener):
         pass
 
 
-BOOK_OUT = "instrument string, ts_ms long, n long, bid double, ask double, crossed boolean, ready boolean"
-BOOK_STATE = "bid_px array<double>, bid_size array<double>, ask_px array<double>, ask_size array<double>, seq long, crossed long, ready boolean"
-
-
-def live_book(messages: DataFrame, patience: int = 3) -> DataFrame:
-    """The touch after every message of a feed.  A message whose previous number isn't the last one, or the ``patience``-th crossed
-    touch in a row, makes the book unready until the next snapshot.  State, one row an instrument: the levels, the
-    sequence number, crossed touches in a row, and whether the book is ready; a quiet feed keeps it."""
-
-    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bid_px, bid_size, ask_px, ask_size, seq, crossed, ready = state.get if state.exists else ([], [], [], [], -1, 0, False)
-        bids, asks = dict(zip(bid_px, bid_size, strict=True)), dict(zip(ask_px, ask_size, strict=True))
-        rows = pd.concat(list(batches)).sort_values(["ts_ms", "n"], kind="stable")
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.action == "snapshot":
-                bids, asks, ready, crossed = {}, {}, True, 0
-            elif not ready or r.seq <= seq:
-                continue
-            elif r.prev_seq != seq:
-                ready = False
-                continue
-            seq = int(r.seq)
-            for book, changes in ((bids, r.bids), (asks, r.asks)):
-                for level in changes if changes is not None else ():
-                    if level["size"] > 0:
-                        book[float(level["price"])] = float(level["size"])
-                    else:
-                        book.pop(float(level["price"]), None)
-            if not (bids and asks):
-                continue
-            bid, ask = max(bids), min(asks)
-            crossed = crossed + 1 if bid >= ask else 0
-            if crossed >= patience:
-                ready, crossed = False, 0
-            out.append((key[0], int(r.ts_ms), int(r.n), bid, ask, bid >= ask, ready))
-        state.update((list(bids), list(bids.values()), list(asks), list(asks.values()), seq, crossed, ready))
-        yield pd.DataFrame(out, columns=["instrument", "ts_ms", "n", "bid", "ask", "crossed", "ready"])
-
-    return messages.groupBy("instrument").applyInPandasWithState(step, BOOK_OUT, BOOK_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 def live_features(touch: DataFrame, returns_ms: Sequence[int], volatility_ms: Sequence[int], history_ms: int = 300_000) -> DataFrame:
     """Rows (instrument, ts_ms, n, mid) with ``ret_h`` and ``rv_h`` as ``features.past_returns`` and ``features.realized_volatility`` define
     them, over what a feed has sent so far.  State, one row an instrument: the last mid of each time of ``history_ms``, and the

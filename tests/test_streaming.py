@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from marketframe.streaming import feeds
+from marketframe.streaming import feeds, live
 
 
 def drain(df, name, mode="append"):
@@ -36,7 +36,7 @@ def test_live_book(spark, tmp_path):
     rows = [("a", 1, 1, "snapshot", 5, -1, [(10.0, 1.0)], [(11.0, 2.0)]), ("a", 2, 2, "update", 6, 5, [(10.5, 1.0)], []), ("a", 3, 3, "update", 9, 8, [(10.9, 1.0)], []), ("a", 4, 4, "snapshot", 20, -1, [(9.0, 1.0)], [(9.5, 1.0)])]
     schema = f"instrument string, ts_ms long, n long, action string, seq long, prev_seq long, bids {level}, asks {level}"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "book"))
-    got = drain(feeds.live_book(feeds.read_feed(spark, str(tmp_path / "book"), schema, 5)), "book", "append").orderBy("n").collect()
+    got = drain(live.live_book(feeds.read_feed(spark, str(tmp_path / "book"), schema, 5)), "book", "append").orderBy("n").collect()
     assert [(r.n, r.bid, r.ask) for r in got] == [(1, 10.0, 11.0), (2, 10.5, 11.0), (4, 9.0, 9.5)]
 
 
@@ -49,7 +49,7 @@ def test_live_book_gives_up_a_crossed_book(spark, tmp_path):
     for k, part in enumerate((rows[:3], rows[3:])):  # the count goes on from one batch to the next
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "book" / f"part{k}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "book"))
-    got = drain(feeds.live_book(stream, patience=3), "crossed_book").orderBy("n").collect()
+    got = drain(live.live_book(stream, patience=3), "crossed_book").orderBy("n").collect()
     assert [(r.n, r.crossed, r.ready) for r in got] == [(1, False, True), (2, True, True), (3, True, True), (4, True, False), (7, False, True)]
 
 

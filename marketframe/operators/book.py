@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import bisect
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketframe.operators.running import DAY, running
+from marketframe.operators.running import DAY, running, walked
 from marketframe.operators.saved import saved
 
 
@@ -101,7 +100,7 @@ def book_at(levels: DataFrame, by: Sequence[str], at: Column, depth: int) -> Dat
     return ranked.groupBy(*by, "side").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "price", "size"))), lambda x: F.struct(x["price"].alias("price"), x["size"].alias("size"))).alias("levels"))
 
 
-BOOK_TOP = "bid double, ask double, bid_size double, ask_size double, bid_depth double, ask_depth double"
+TOP = ["bid", "ask", "bid_size", "ask_size", "bid_depth", "ask_depth"]
 
 
 class Side:
@@ -154,27 +153,25 @@ def top_of_book(messages: DataFrame, by: Sequence[str], depth: int = 20, bucket:
     stands = lasts.withColumn("_until", F.coalesce("_until", "_last")).where("_nth < _until").select(*keys, "_sweep", F.explode(F.sequence(F.col("_nth") + 1, "_until")).alias("_nth"), "sign", "price", "size")
     seeds = stands.join(buckets, [*keys, "_sweep", "_nth"]).groupBy(*keys, "_bucket").agg(F.collect_list(F.struct("sign", "price", "size")).alias("seed"))  # a book
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts_ms", "n"], kind="stable")
+    def fold() -> Callable[..., tuple]:
         sides = {-1: Side(-1), 1: Side(1)}
-        out = []
-        for snap, bids, asks, seed in zip(rows["_snap"], rows["bids"], rows["asks"], rows["seed"], strict=True):
-            for level in seed if seed is not None else ():
+
+        def step(snap: bool, bids: list, asks: list, seed: list | None) -> tuple:
+            for level in seed or ():
                 sides[level["sign"]].set(level["price"], level["size"])
             for side, changes in ((sides[-1], bids), (sides[1], asks)):
                 if snap:
                     side.clear()
                 for level in changes:
                     side.set(level["price"], level["size"])
-            if sides[-1].order and sides[1].order:
-                (b, bs, bd), (a, as_, ad) = sides[-1].best(depth), sides[1].best(depth)
-                out.append((b, a, bs, as_, bd, ad))
-            else:
-                out.append((None,) * 6)
-        made = pd.DataFrame(out, columns=["bid", "ask", "bid_size", "ask_size", "bid_depth", "ask_depth"], index=rows.index)
-        return pd.concat([rows[[*keys, "ts_ms", "n"]], made], axis=1).dropna(subset=["bid"])
+            if not (sides[-1].order and sides[1].order):
+                return (None,) * 6
+            (b, bs, bd), (a, as_, ad) = sides[-1].best(depth), sides[1].best(depth)
+            return b, a, bs, as_, bd, ad
+
+        return step
 
     first = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("ts_ms", "n")) == 1
     rows = cut.join(seeds, [*keys, "_bucket"], "left").withColumn("seed", F.when(first, F.col("seed")))
-    kinds = ", ".join(f"`{c}` {messages.schema[c].dataType.simpleString()}" for c in keys)
-    return rows.groupBy(*keys, "_bucket").applyInPandas(fold, f"{kinds}, ts_ms long, n long, {BOOK_TOP}")
+    tops = walked(rows, [*keys, "_bucket"], ["ts_ms", "n"], ["_snap", "bids", "asks", "seed"], fold, dict.fromkeys(TOP, "double"))
+    return tops.where("bid is not null").select(*keys, "ts_ms", "n", *TOP)

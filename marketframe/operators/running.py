@@ -7,8 +7,9 @@ does as a whole, one row, is scanned over the buckets and handed on.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,3 +39,29 @@ def running(df: DataFrame, by: Sequence[str], at: str, order: Sequence[str], val
         here, past = F.col(f"_i_{n}"), F.col(f"_c_{n}")
         out[n] = {"sum": F.coalesce(here, F.lit(0)) + F.coalesce(past, F.lit(0)), "max": F.greatest(here, past), "last": F.coalesce(here, past)}[how]
     return made.withColumns(out).drop("_span", *[f"_{k}_{n}" for n in values for k in "vic"])
+
+
+#: Arrow's types of what a walk gives.
+KINDS = {"double": pa.float64(), "long": pa.int64(), "boolean": pa.bool_()}
+
+
+def walked(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], make: Callable[[], Callable[..., tuple]], outputs: dict[str, str]) -> DataFrame:
+    """``df`` with the columns ``outputs`` (name: kind) of a machine that can't be composed: ``make()`` gives a step for each key, which is called
+    with the ``inputs`` of one row after another.  Rows come sorted, as a stream: a task holds a batch, however many rows a key has;
+    keys are what is dealt to tasks, so they should be short stretches."""
+    kept = [c for c in df.columns if c not in outputs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, step = None, None
+        for batch in batches:
+            made = []
+            rows = zip(*(batch.column(c).to_pylist() for c in inputs), strict=True)
+            for key, row in zip(zip(*(batch.column(c).to_pylist() for c in keys), strict=True), rows, strict=True):
+                if step is None or key != last:
+                    last, step = key, make()
+                made.append(step(*row))
+            new = [pa.array([m[i] for m in made], KINDS[k]) for i, k in enumerate(outputs.values())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, *outputs])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept), *(f"`{c}` {k}" for c, k in outputs.items())])
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketframe.operators.timeseries import asof_join, interval_join
+from marketframe.operators.costs import running_cost
+from marketframe.operators.running import running, walked
+from marketframe.operators.timeseries import asof_join, interval_join, prefix_total
 from marketframe.plans.portfolio import draw
 
 #: Sources that show a spot price and so can't settle a contract.
@@ -43,21 +45,24 @@ def maker_decision(fair: Column, bid: Column, ask: Column, least: float | str, t
 def without_overlap(decisions: DataFrame, by: Sequence[str], opens: str, resolves: str, tie: str) -> DataFrame:
     """Greedy choice of a market's decisions: one is skipped while an earlier one runs.
     A decision that opens when all earlier ones have resolved is taken whatever went before, so a market falls into
-    stretches between such decisions; each is folded by itself, inside the engine, and gives its rows back."""
-    w = Window.partitionBy(*by).orderBy(opens, tie)
-    ended = F.max(resolves).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = decisions.withColumn("_new", F.coalesce(F.col(opens) >= ended, F.lit(True)).cast("int"))
-    cut = cut.withColumn("_stretch", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    row = F.struct(*[F.col(c) for c in decisions.columns])
-    lists = cut.groupBy(*by, "_stretch").agg(F.array_sort(F.collect_list(F.struct(F.col(opens).alias("o"), F.col(tie).alias("t"), F.col(resolves).alias("r"), row.alias("row")))).alias("all"))
-    kind = lists.schema["all"].dataType.simpleString()
-    start = F.struct(F.lit(None).cast("bigint").alias("busy"), F.array().cast(kind).alias("taken"))
+    stretches between such decisions (found by scans over buckets of time); each stretch is walked by itself."""
+    by, order = list(by), [opens, tie]
+    ended = running(decisions, by, opens, order, {"_ended": ("max", F.col(resolves))}, before=True)
+    new = F.coalesce(F.col(opens) >= F.col("_ended"), F.lit(True)).cast("long")
+    cut = running(ended.withColumn("_new", new), by, opens, order, {"_stretch": ("sum", F.col("_new"))}).drop("_ended", "_new")
 
-    def step(s: Column, x: Column) -> Column:
-        free = s["busy"].isNull() | (x["o"] >= s["busy"])
-        return F.struct(F.when(free, x["r"]).otherwise(s["busy"]).cast("bigint").alias("busy"), F.when(free, F.concat(s["taken"], F.array(x))).otherwise(s["taken"]).alias("taken"))
+    def walk() -> Callable[[float, float], tuple[bool]]:
+        busy = None
 
-    return lists.select(F.explode(F.aggregate("all", start, step)["taken"]).alias("x")).select("x.row.*")
+        def step(start: float, end: float) -> tuple[bool]:
+            nonlocal busy
+            free = busy is None or start >= busy
+            busy = end if free else busy
+            return (free,)
+
+        return step
+
+    return walked(cut, [*by, "_stretch"], order, [opens, resolves], walk, {"_taken": "boolean"}).where("_taken").select(*decisions.columns)
 
 
 def results(trades: DataFrame) -> DataFrame:
@@ -68,11 +73,16 @@ def results(trades: DataFrame) -> DataFrame:
 
 
 def label_controls(trades: DataFrame, seeds: int) -> DataFrame:
-    """seed, net: the result when labels are dealt anew over all trades.  Labels are numbered in one random order a seed and trades in another."""
-    seeded = trades.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds))))
-    by_row = seeded.withColumn("nth", F.row_number().over(Window.partitionBy("seed").orderBy("row_id"))).drop("resolved_yes")
-    dealt = seeded.select("seed", "resolved_yes", F.row_number().over(Window.partitionBy("seed").orderBy(draw("seed", "row_id"), "row_id")).alias("nth"))
-    return results(by_row.join(dealt, ["seed", "nth"])).groupBy("seed").agg(F.sum("net").alias("net"))
+    """seed, net: the result when labels are dealt anew over all trades.  Labels are numbered in one random order a seed and trades in
+    another: trades by range parts, once, and a seed's labels by the first digits of their draw, with what lies before counted."""
+    placed = prefix_total(trades, ["row_id"], F.lit(1).cast("long"), "nth").withColumn("nth", F.col("nth") + 1)
+    every = F.explode(F.sequence(F.lit(1), F.lit(seeds)))
+    drawn = trades.select("row_id", "resolved_yes", every.alias("seed")).withColumn("_draw", draw("seed", "row_id")).withColumn("_part", F.substring("_draw", 1, 2))
+    counts = drawn.groupBy("seed", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.partitionBy("seed").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # 256 rows a seed
+    nth = F.row_number().over(Window.partitionBy("seed", "_part").orderBy("_draw", "row_id")) + F.col("_start")
+    dealt = drawn.join(starts, ["seed", "_part"]).select("seed", "resolved_yes", nth.cast("long").alias("nth"))
+    return results(placed.drop("resolved_yes").join(dealt, "nth")).groupBy("seed").agg(F.sum("net").alias("net"))
 
 
 def touch_at_offsets(touch: DataFrame, contracts: DataFrame, offsets_ms: Sequence[int], by: Sequence[str]) -> DataFrame:
@@ -124,6 +134,40 @@ def fill_bracket(orders: DataFrame, prints: DataFrame, touch: DataFrame, by: Seq
     return all_.select("order_id", best.alias("optimistic"), worst.alias("pessimistic"), cause.alias("cause"))
 
 
+def fill_rows(orders: DataFrame, prints: DataFrame, touch: DataFrame, by: Sequence[str], bucket: int) -> DataFrame:
+    """The fills of resting bids (by..., order_id, price, size, queue, start_ms, end_ms) one by one: order_id, bound, ts_ms, n, size, cause.
+
+    Bounds are those of ``fill_bracket``.  Causes: print, cleared (a print below the price; the pessimistic bound's), crossed (an ask at or
+    below it), and a row ``expired`` at end_ms with what was left.  Events come in order of (ts_ms, n), a print before a touch.
+    What an order has got so far is a running sum, capped by its size, and all of it from the first cross on."""
+    by = list(by)
+    sells = prints.where(~F.col("is_buy")).select(*by, "ts_ms", "n", F.col("price").alias("_price"), F.col("size").alias("_size"))
+    hits = interval_join(sells, orders, by, "ts_ms", "start_ms", "end_ms", bucket).where(F.col("_price") <= F.col("price"))
+    asks = interval_join(touch.where("ask is not null").select(*by, "ts_ms", "n", "ask"), orders, by, "ts_ms", "start_ms", "end_ms", bucket).where(F.col("ask") <= F.col("price"))
+    crosses = asks.groupBy("order_id", "price", "size", "queue").agg(F.min(F.struct("ts_ms", "n")).alias("at")).select("order_id", "price", "size", "queue", "at.ts_ms", "at.n", F.lit(1).alias("turn"), F.lit(None).cast("double").alias("_price"), F.lit(0.0).alias("_size"))
+    events = hits.select("order_id", "price", "size", "queue", "ts_ms", "n", F.lit(0).alias("turn"), F.col("_price").cast("double").alias("_price"), F.col("_size").cast("double").alias("_size")).union(crosses)
+    w = Window.partitionBy("order_id").orderBy("ts_ms", "n", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    crossed, beyond = F.max("turn").over(w) == 1, F.max((F.col("_price") < F.col("price")).cast("int")).over(w) == 1
+    at_level = F.sum(F.when(F.col("_price") == F.col("price"), F.col("_size")).otherwise(0.0)).over(w)
+    size = F.col("size").cast("double")
+    best = F.when(crossed, size).otherwise(F.least(size, F.sum("_size").over(w)))
+    worst = F.when(crossed | F.coalesce(beyond, F.lit(False)), size).otherwise(F.least(size, F.greatest(F.lit(0.0), at_level - F.col("queue"))))
+    run = events.withColumn("optimistic", best).withColumn("pessimistic", worst)
+    got = run.select("order_id", "ts_ms", "n", "turn", (F.col("_price") < F.col("price")).alias("_beyond"), F.explode(F.array(*[F.struct(F.lit(b).alias("bound"), F.col(b).alias("so_far")) for b in ("optimistic", "pessimistic")])).alias("b")).select("*", "b.*")
+    before = F.lag("so_far", 1, 0.0).over(Window.partitionBy("order_id", "bound").orderBy("ts_ms", "n", "turn"))
+    cause = F.when(F.col("turn") == 1, "crossed").when((F.col("bound") == "pessimistic") & F.col("_beyond"), "cleared").otherwise("print")
+    fills = got.withColumn("size", F.col("so_far") - before).where("size > 0").select("order_id", "bound", "ts_ms", "n", "size", cause.alias("cause"))
+    ends = run.groupBy("order_id").agg(F.max("optimistic").alias("optimistic"), F.max("pessimistic").alias("pessimistic"))
+    left = orders.join(ends, "order_id", "left").select("order_id", "end_ms", F.explode(F.array(*[F.struct(F.lit(b).alias("bound"), (size - F.coalesce(b, F.lit(0.0))).alias("size")) for b in ("optimistic", "pessimistic")])).alias("b"))
+    return fills.union(left.where("b.size > 0").select("order_id", "b.bound", F.col("end_ms").alias("ts_ms"), F.lit(None).cast("long"), "b.size", F.lit("expired")))
+
+
+def mirrored(orders: DataFrame, prints: DataFrame, touch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sell orders, prints and touches as bids of the mirrored market: prices change their sign, and sides swap."""
+    turned = touch.withColumn("_b", -F.col("ask")).withColumn("ask", -F.col("bid")).withColumn("bid", F.col("_b")).drop("_b")
+    return orders.withColumn("price", -F.col("price")), prints.withColumn("price", -F.col("price")).withColumn("is_buy", ~F.col("is_buy")), turned
+
+
 def fill_brackets(orders: DataFrame, prints: DataFrame, touch: DataFrame, by: Sequence[str], bucket: int) -> DataFrame:
     """``fill_bracket`` for orders of both sides (``side``: buy or sell): a sell order is a bid of the mirrored market."""
     bids = fill_bracket(orders.where("side = 'buy'").drop("side"), prints, touch, by, bucket)
@@ -134,23 +178,11 @@ def fill_brackets(orders: DataFrame, prints: DataFrame, touch: DataFrame, by: Se
 
 
 def average_cost(fills: DataFrame, by: Sequence[str]) -> DataFrame:
-    """position, cost (of the open position), realised of an ordered fill log; selling more than is held flips the position.
-    One fold over the key's fills in time order, inside the engine; prices and sizes are whole numbers."""
-    one = F.struct("ts_ms", "n", F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size")).cast("double").alias("q"), F.col("price").cast("double").alias("p"), F.col("fee").cast("double").alias("f"))
-    lists = fills.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("all"))
-    zero = F.struct(F.lit(0.0).alias("pos"), F.lit(0.0).alias("avg"), F.lit(0.0).alias("real"))
-
-    def step(s: Column, x: Column) -> Column:
-        adds = (s["pos"] == 0) | (F.signum(s["pos"]) == F.signum(x["q"]))
-        pos = s["pos"] + x["q"]
-        closed = F.least(F.abs(s["pos"]), F.abs(x["q"]))
-        flips = ~adds & (F.abs(x["q"]) > F.abs(s["pos"]))
-        avg = F.when(adds, (s["avg"] * F.abs(s["pos"]) + x["p"] * F.abs(x["q"])) / F.greatest(F.abs(pos), F.lit(1e-12))).when(pos == 0, 0.0).when(flips, x["p"]).otherwise(s["avg"])
-        gain = F.when(adds, 0.0).otherwise((x["p"] - s["avg"]) * closed * F.signum(s["pos"]))
-        return F.struct(pos.alias("pos"), avg.alias("avg"), (s["real"] + gain - x["f"]).alias("real"))
-
-    end = lists.select(*by, F.aggregate("all", zero, step).alias("s"))
-    return end.select(*by, F.col("s.pos").alias("position"), (F.col("s.avg") * F.col("s.pos")).alias("cost"), F.col("s.real").alias("realised"))
+    """position, cost (of the open position), realised of an ordered fill log; selling more than is held flips the position."""
+    made = running_cost(fills, by)
+    last = F.max_by(F.struct("held_after", "cost_after"), F.struct("ts_ms", "n"))
+    end = made.groupBy(*by).agg(last.alias("s"), F.sum("gain").alias("realised"))
+    return end.select(*by, F.col("s.held_after").alias("position"), (F.col("s.cost_after") * F.col("s.held_after")).alias("cost"), "realised")
 
 
 def order_audit(orders: DataFrame, limits: dict[str, float]) -> DataFrame:

@@ -107,6 +107,29 @@ touch_all as (select 'U' || (user_id % 4) instrument, event_id n, epoch_us(ts) /
 touch as (select *, k_ + (k_ - 1) // 49 seq, k_ + (k_ - 1) // 49 - 1 prev_seq from (select *, row_number() over (partition by instrument order by ts_ms, n) k_ from touch_all))"""
 
 
+def book_messages(events: DataFrame) -> DataFrame:
+    """A feed of book messages made of events (a table or a stream): instrument, ts_ms, n, action, seq, prev_seq, bids, asks.  Signups are snapshots
+    of three levels a side, views change two, and an event whose number 37 divides names the one before it, which
+    is a gap unless that was the instrument's."""
+    e = events.where(F.col("event_type").isin("view", "signup")).withColumn("k", _k())
+    mid, n, snap = 100 + F.pmod("k", F.lit(4)), F.col("event_id").cast("long"), F.col("event_type") == "signup"
+
+    def levels(sign: int) -> Column:
+        level = lambda i, size: F.struct((mid + sign * i).cast("double").alias("price"), size.cast("double").alias("size"))
+        return F.when(snap, F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: level(i, i + 1))).otherwise(F.transform(F.sequence(F.lit(1), F.lit(2)), lambda i: level(i, F.pmod(F.col("k") + i - 1, F.lit(5)))))
+
+    return e.select(
+        F.concat(F.lit("U"), F.pmod("user_id", F.lit(4)).cast("string")).alias("instrument"), epoch_ms(F.col("ts")).cast("long").alias("ts_ms"), n.alias("n"), F.when(snap, "snapshot").otherwise("update").alias("action"),
+        n.alias("seq"), F.when(F.pmod(n, F.lit(37)) == 0, n - 1).cast("long").alias("prev_seq"), levels(-1).alias("bids"), levels(1).alias("asks"),
+    )
+
+
+MESSAGE_SQL = """
+msg_ as (select 'U' || (user_id % 4) instrument, epoch_ms(ts) ts_ms, event_id n, event_type = 'signup' snap, (props->>'$.k')::bigint k, 100 + (props->>'$.k')::bigint % 4 mid, case when event_id % 37 = 0 then event_id - 1 end prev from events where event_type in ('view', 'signup')),
+msg_g as (select *, sum(snap::int) over w epoch, not snap and prev is not null and prev <> lag(n) over w gap from msg_ window w as (partition by instrument order by ts_ms, n)),
+msg as (select *, epoch > 0 and not coalesce(bool_or(gap) over (partition by instrument, epoch order by ts_ms, n), false) used from msg_g)"""
+
+
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event contracts with a decision each: market_id, row_id, opens_ms, resolves_ms, resolved_yes, entry and bid (cents of a dollar), signal (cents), fee_tier, size."""
     o = table(spark, sf_dir, "orders")

@@ -115,7 +115,8 @@ def _signed(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 names = [pa.array(name(shingles, first).view(np.int64)) for name in (set_ids, second_ids)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, n), batch.column("text_key").slice(row, n), *names, pa.array(np.diff(first)), flat], ["doc_id", "text_key", "node", "second", "n", "bands"])
 
-    signed = saved(texts.mapInArrow(of, "doc_id long, text_key long, node long, second long, n long, bands array<long>"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    signed = saved(texts.mapInArrow(of, f"doc_id {kind}, text_key long, node long, second long, n long, bands array<long>"))
     several = signed.where("n > 0").groupBy("node").agg(F.min("second").alias("low"), F.max("second").alias("high")).where("low <> high")
     clashes = array_of(several, "node", BITS)
     if clashes.any():
@@ -212,7 +213,7 @@ def _residual(members: DataFrame, tops: DataFrame, docs: DataFrame, clashes: np.
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, text_key (a hash of the text, for joins),
     root (the component's own key, independent of doc_id; null for an empty set)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
     signed, clashes = _signed(texts)
     nodes = signed.where("n > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.max("n").alias("n"))
     in_band = nodes.select("node", "n", F.explode("bands").alias("band"))

@@ -22,13 +22,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.llm.arrays import pieces, prefix_sums, spans_hash, word_spans
 
 #: Labelled documents that the model is fitted on, with all their lines.
 SAMPLE = 3000
+#: Lines that they may have together (the driver holds their features), and the share of these that one of them may have.
+LINES, ONE_TEXT = 400_000, 0.01
 ROUNDS, STEPS = 3, 120
 
 #: Classes of bytes: lower case and others, upper case, digits, white space, stops, bars, exclamation marks, other signs.
@@ -212,7 +214,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int) -
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineModel:
+def within_lines(rows: DataFrame, most: int) -> DataFrame:
+    """The labelled rows (doc_id, text, label), in order of the hashes of ids, as long as they have ``most`` lines together;
+    texts with more than ONE_TEXT of these are left out.  Lines are counted where the texts are; one row for each of the sample's documents is added up."""
+    n = F.char_length(F.coalesce("text", F.lit(""))) - F.char_length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.groupBy("doc_id").agg(F.sum(n).alias("lines")).where(F.col("lines") <= int(most * ONE_TEXT)).withColumn("so_far", F.sum("lines").over(order))
+    return rows.join(F.broadcast(counted.where(F.col("so_far") <= most).select("doc_id")), "doc_id", "left_semi")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> LineModel:
     def features(batches):
         for batch in batches:
             rows = []
@@ -223,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineModel
                     rows.append((int(batch.column("label")[row + i].as_py()), own[a:z].tobytes(), lengths[a:z].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["label", "own", "size"])
 
-    rows = labelled_sample(docs, labels, "quality", sample).mapInArrow(features, "label int, own binary, size binary").collect()
+    rows = within_lines(labelled_sample(docs, labels, "quality", sample), lines).mapInArrow(features, "label int, own binary, size binary").collect()
     rows.sort(key=lambda r: (r["label"], r["own"]))
     return fit([np.frombuffer(r["own"], np.float32).reshape(-1, N_OWN) for r in rows], [np.frombuffer(r["size"], np.int64) for r in rows], np.array([r["label"] for r in rows]))
 

@@ -133,6 +133,39 @@ class Labels:
     silent: float
 
 
+class Together:
+    """How often two voters speak together, by blocks of voters: no matrix of all pairs is held.  A block's counts come
+    from the votes of the texts its voters speak in, some at a time."""
+
+    BLOCK, AT_ONCE = 256, 1 << 22
+
+    def __init__(self, doc: np.ndarray, voter: np.ndarray, n_voters: int):
+        by_doc, by_voter = np.lexsort((voter, doc)), np.lexsort((doc, voter))
+        self.voters, self.docs, self.n = voter[by_doc], doc[by_voter], n_voters
+        self.alone = np.bincount(voter, minlength=n_voters).astype(float)
+        self.of_voter = np.append(0, np.cumsum(self.alone.astype(np.int64)))
+        self.of_doc = np.append(0, np.cumsum(np.bincount(doc, minlength=int(doc.max()) + 1 if len(doc) else 0)))
+
+    def block(self, first: int) -> np.ndarray:
+        """Counts of voters from ``first`` on with all voters."""
+        last = min(first + self.BLOCK, self.n)
+        out = np.zeros((last - first) * self.n)
+        a, z = self.of_voter[first], self.of_voter[last]
+        docs = self.docs[a:z]
+        mine = np.repeat(np.arange(last - first), np.diff(self.of_voter[first : last + 1]))
+        size = self.of_doc[docs + 1] - self.of_doc[docs]
+        total = np.append(0, np.cumsum(size))
+        at = 0
+        while at < len(docs):
+            end = max(at + 1, int(np.searchsorted(total, total[at] + self.AT_ONCE, "right")) - 1)
+            s = size[at:end]
+            place = np.repeat(self.of_doc[docs[at:end]] - np.cumsum(s) + s, s) + np.arange(s.sum())
+            found, times = np.unique(np.repeat(mine[at:end], s) * self.n + self.voters[place], return_counts=True)
+            out[found] += times
+            at = end
+        return out.reshape(last - first, self.n)
+
+
 def label_model(doc: np.ndarray, voter: np.ndarray, known: np.ndarray, seed: np.ndarray, rounds: int = 8) -> Labels:
     """doc, voter: the votes, each once.  known: the rows' labels, 1, 0, or -1 where there is none.  seed: which voters are seeds.
 
@@ -143,13 +176,7 @@ def label_model(doc: np.ndarray, voter: np.ndarray, known: np.ndarray, seed: np.
         base = float(np.log(GOLD_RATES[1] / (1 - GOLD_RATES[1])))
         return Labels(np.zeros(0), np.where(seed, np.log(SEED_RATES[0] / SEED_RATES[1]), 0.0) - base, base, base)
     post = np.where(known >= 0, known, np.isin(np.arange(n), doc[seed[voter]])).astype(float)
-    both = np.zeros((n_voters, n_voters), np.float32)  # how often two voters speak together
-    row = np.searchsorted(voted, doc)
-    for k in range(0, len(voted), 512):
-        x = np.zeros((min(512, len(voted) - k), n_voters), np.float32)
-        own = (row >= k) & (row < k + 512)
-        x[row[own] - k, voter[own]] = 1
-        both += x.T @ x
+    together = Together(doc, voter, n_voters)
     labelled, quiet = known >= 0, ~np.isin(np.arange(n), voted)
     weights, base, silent = np.zeros(n_voters), 0.0, 0.0
     for _ in range(rounds):
@@ -160,14 +187,14 @@ def label_model(doc: np.ndarray, voter: np.ndarray, known: np.ndarray, seed: np.
         b = np.where(seed, (s0 + SEED_TEXTS * SEED_RATES[1]) / (n0 + SEED_TEXTS), (s0 + 0.02) / (n0 + 10))
         q1, q0, q = post @ post, (1 - post) @ (1 - post), post @ (1 - post)
         x1, x0 = s1 / max(n1, 1e-9), s0 / max(n0, 1e-9)  # as they are: smoothed ones would make the silent voters look alike
-        square = np.diag(both) - 2 * (s1 * x1 + s0 * x0) + q1 * x1 * x1 + 2 * q * x1 * x0 + q0 * x0 * x0
+        square = together.alone - 2 * (s1 * x1 + s0 * x0) + q1 * x1 * x1 + 2 * q * x1 * x0 + q0 * x0 * x0
         sd = np.sqrt(np.maximum(square, 0) / n) + 1e-3
         alike = np.empty(n_voters)
-        for k in range(0, n_voters, 256):
-            i = slice(k, k + 256)
+        for k in range(0, n_voters, Together.BLOCK):
+            i = slice(k, k + Together.BLOCK)
             left = np.stack([s1[i], s0[i], x1[i], x0[i]], 1)
             right = np.stack([-x1, -x0, q1 * x1 + q * x0 - s1, q * x1 + q0 * x0 - s0])
-            corr = np.abs(both[i] + left @ right) / n / np.outer(sd[i], sd)
+            corr = np.abs(together.block(k) + left @ right) / n / np.outer(sd[i], sd)
             corr[np.arange(len(corr)), np.arange(k, k + len(corr))] = 1
             alike[i] = np.where(corr > 0.2, corr, 0).sum(1)
         weights, base = np.log(a / b) / alike, np.log(rate / (1 - rate))

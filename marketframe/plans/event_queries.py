@@ -78,7 +78,7 @@ def forward_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sequence_gaps(spark: SparkSession, d: str) -> DataFrame:
-    g = book.gap_islands(views.book_top(spark, d), BY)
+    g = book.gap_islands(views.numbered_touch(spark, d), BY)
     return g.groupBy("instrument", "epoch").agg(F.count(F.lit(1)).alias("updates"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
@@ -112,7 +112,7 @@ def book_at_noon(spark: SparkSession, d: str) -> DataFrame:
 
 def book_by_epoch(spark: SparkSession, d: str) -> DataFrame:
     """The book at noon of each day, where a gap in the sequence ends all levels that stood before it."""
-    epochs = book.gap_islands(views.book_top(spark, d), BY)
+    epochs = book.gap_islands(views.numbered_touch(spark, d), BY)
     levels = book.level_validity(_levels_of(epochs, "epoch"), BY, "epoch")
     days = F.explode(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.lit(1704110400000) + i.cast("long") * (24 * HOUR)))
     live = levels.withColumn("noon", days)

@@ -139,7 +139,7 @@ def perp_prints(spark: SparkSession, d: str) -> DataFrame:
 
 def perp_book_levels(spark: SparkSession, d: str) -> DataFrame:
     """Level changes of book messages (objects and lists, numbers as text), by instrument, action and side."""
-    t = views.book_top(spark, d)
+    t = views.numbered_touch(spark, d)
     body = F.concat(F.lit('{"bids":[["'), F.col("bid"), F.lit('","'), F.col("bid_size"), F.lit('"]],"asks":[["'), F.col("ask"), F.lit('","'), F.col("ask_size"), F.lit('"],["'), F.col("ask") + 1, F.lit('","0"]],"ts":"'), F.col("ts_ms"), F.lit('","seqId":"'), F.col("seq"), F.lit('","prevSeqId":"'), F.col("prev_seq"), F.lit('"}'))
     data = F.when(F.col("n") % 2 == 0, body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
     m = F.concat(F.lit("{"), F.when(F.col("seq") % 97 == 1, "").otherwise('"action":"update",'), F.lit('"data":'), data, F.lit("}"))

@@ -258,6 +258,14 @@ select round(quantile_cont(mean, 0.025), 4) low, round(quantile_cont(mean, 0.975
     "factor_halves": "with " + _EL + "," + _scored_sql(4, 1) + f""", hv as (select sc.*, seed, ('0x' || substr(md5(seed || '|' || symbol), 1, 6))::bigint % 2 half from sc, range(1, 6) s(seed)),{_book_sql('hv', '0.2::double', 'seed, half', 'h')},{_period_sql(4, 'seed, half', 'h')}
 select seed::int seed, half, count(*) n, round(avg(net), 4) mean from runh group by 1, 2""",
     "factor_capacity": f"with {_BOOK}, z as (select date_idx, min(0.02::double * median_volume / (abs(weight) / 2)) s from wg where side <> 0 group by 1) select round(min(s), 3) least, round(quantile_cont(s, 0.1), 3) p10, round(quantile_cont(s, 0.5), 3) median, round(arg_max(s, date_idx), 3) latest from z",
+    "factor_banded": f"""with recursive {_EL},{_scored_sql(4, 1)}, nm as (select date_idx, list(symbol order by score, symbol) ns, count(*) n from sc where eligible and score is not null group by 1),
+dt as (select *, row_number() over (order by date_idx) i, least(greatest(1, round_even(n * 0.2::double, 0)::int), n // 2) k, least(greatest(1, round_even(n * (0.2::double + 0.1::double), 0)::int), n // 2) reach from nm),
+fold(i, date_idx, up, down) as (
+  select 0::bigint, null::bigint, []::varchar[], []::varchar[]
+  union all
+  select dt.i, dt.date_idx, case when n >= 6 then list_concat(su, list_filter(list_reverse(ns), lambda x: not list_contains(su, x))[1:k - len(su)]) else [] end, case when n >= 6 then list_concat(sd, list_filter(ns, lambda x: not list_contains(sd, x))[1:k - len(sd)]) else [] end
+  from (select dt.*, list_filter(list_reverse(ns)[1:reach], lambda x: list_contains(up, x))[1:k] su, list_filter(ns[1:reach], lambda x: list_contains(down, x))[1:k] sd from fold join dt on dt.i = fold.i + 1) dt)
+select 'carry_7' spec, date_idx, unnest(up) symbol, 1::bigint side from fold where i > 0 union all select 'carry_7', date_idx, x, -1 from (select date_idx, up, unnest(down) x from fold where i > 0) where not list_contains(up, x)""",
     "panel_merge_pages": f"with {views.FUNDING_SQL}, p as (select *, 1 page from funding union all select *, 2 from funding where ts_ms % 3 = 0), k as (select *, row_number() over (partition by symbol, ts_ms order by page desc, rate_bps desc) nth, count(*) over (partition by symbol, ts_ms) copies from p) select symbol, count(*) stamps, sum(copies)::bigint seen, round(sum(rate_bps), 4) rate from k where nth = 1 group by 1",
 }
 QUERIES = [

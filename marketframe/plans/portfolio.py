@@ -46,7 +46,8 @@ def books(scored: DataFrame, frac: Column | float, spec: Sequence[str] = ()) ->
 
 
 def banded(scored: DataFrame, frac: float, band: float) -> DataFrame:
-    """As ``books``, but a held name stays while it ranks inside ``frac + band``.  Each date depends on the one before it: one fold for each ``spec``."""
+    """As ``books``, but a held name stays while it ranks inside ``frac + band``.  Each date depends on the one before it, but for
+    those after a date of fewer than six names, which holds nothing: the fold begins anew there, and stretches between such dates are folded apart."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         out, held = [], {1: set(), -1: set()}
@@ -64,7 +65,9 @@ def banded(scored: DataFrame, frac: float, band: float) -> DataFrame:
         return pd.concat(out) if out else rows.assign(side=0).iloc[:0]
 
     names = scored.where(F.col("eligible") & F.col("score").isNotNull()).select("spec", "date_idx", "symbol", "score", "ret")
-    return names.groupBy("spec").applyInPandas(fold, "spec string, date_idx long, symbol string, score double, ret double, side long")
+    dates = names.groupBy("spec", "date_idx").agg((F.count(F.lit(1)) < 6).cast("int").alias("_empty"))
+    stretches = dates.withColumn("_stretch", F.sum("_empty").over(Window.partitionBy("spec").orderBy("date_idx"))).where("_empty = 0").drop("_empty")  # one row a date
+    return names.join(F.broadcast(stretches), ["spec", "date_idx"]).groupBy("spec", "_stretch").applyInPandas(lambda rows: fold(rows.drop(columns="_stretch")), "spec string, date_idx long, symbol string, score double, ret double, side long")
 
 
 def weigh(booked: DataFrame, raw: Column | None = None, spec: Sequence[str] = ()) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -11,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.functions.prices import binomial_tail
-from marketframe.operators.timeseries import prefix_total, spearman
+from marketframe.operators.saved import saved
+from marketframe.operators.timeseries import correlation, prefix_total, spearman
 
 
 def matrix(rows: DataFrame, features: Sequence[str], label: str, warm_s: float = 60) -> tuple[DataFrame, list[str]]:
@@ -102,11 +105,37 @@ def deciles(scored: DataFrame, score: str, y: str, tie: Sequence[str]) -> DataFr
     return per.withColumn("excess", F.col("mean") - F.col("drift"))
 
 
+def ladder(scored: DataFrame, score: str, y: str, tie: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """by..., n, drift, long, short, monotonicity: the mean label at or beyond the 90th and 10th percentile of a key's scores (between two
+    rows' scores, linearly), less (more) the drift, and the correlation of the tenths' means with their number.
+    Places are counted by range parts over all keys, less those before a key's first, so no task orders a whole key."""
+    by = list(by)
+    placed = saved(prefix_total(scored, [*by, score, *tie], F.lit(1).cast("long"), "_place"))
+    keys = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"), F.avg(y).alias("_drift"), F.min("_place").alias("_first"))
+    join = lambda a, b: a.join(F.broadcast(b), by) if by else a.crossJoin(F.broadcast(b))  # noqa: E731  one row a key
+    rows = join(placed, keys).withColumn("_place", F.col("_place") - F.col("_first"))
+
+    def at(q: float, name: str) -> list[Column]:
+        """The scores around a percentile."""
+        low = F.floor((F.col("_all") - 1) * q)
+        return [F.max(F.when(F.col("_place") == F.least(low + k, F.col("_all") - 1), F.col(score))).alias(f"{name}{k}") for k in (0, 1)]
+
+    ends = rows.groupBy(*by).agg(F.first("_all").alias("_n"), *at(0.9, "_h"), *at(0.1, "_l"))
+    part = lambda q: (F.col("_n") - 1) * q - F.floor((F.col("_n") - 1) * q)
+    cuts = ends.select(*by, (F.col("_h0") + (F.col("_h1") - F.col("_h0")) * part(0.9)).alias("_high"), (F.col("_l0") + (F.col("_l1") - F.col("_l0")) * part(0.1)).alias("_low"))
+    marked = join(rows, cuts)
+    small, extra = F.floor(F.col("_all") / 10), F.col("_all") % 10
+    wide = extra * (small + 1)  # the first tenths hold one row more
+    tenth = F.when(F.col("_place") < wide, F.floor(F.col("_place") / (small + 1))).otherwise(extra + F.floor((F.col("_place") - wide) / F.greatest(small, F.lit(1))))
+    sums = marked.withColumn("_tenth", tenth).groupBy(*by, "_tenth").agg(F.first("_all").alias("_all"), F.first("_drift").alias("_drift"), F.avg(y).alias("_mean"), *[f(F.when(on, F.col(y))).alias(f"_{name}_{k}") for name, on in (("long", F.col(score) >= F.col("_high")), ("short", F.col(score) <= F.col("_low"))) for k, f in (("sum", F.sum), ("n", F.count))])
+    mean = lambda side: F.sum(f"_{side}_sum") / F.sum(f"_{side}_n")
+    made = sums.groupBy(*by).agg(F.first("_all").alias("n"), F.first("_drift").alias("drift"), mean("long").alias("_long"), mean("short").alias("_short"), correlation("_tenth", "_mean").alias("monotonicity"))
+    return made.select(*by, "n", "drift", (F.col("_long") - F.col("drift")).alias("long"), (F.col("drift") - F.col("_short")).alias("short"), "monotonicity")
+
+
 def economics(scored: DataFrame, score: str, y: str) -> DataFrame:
     """long and short: mean label at or beyond the 90th and 10th percentile of scores, less (more) the drift."""
-    q = scored.agg(F.percentile(score, F.lit(0.9)).alias("q90"), F.percentile(score, F.lit(0.1)).alias("q10"), F.avg(y).alias("drift"))
-    j = scored.join(F.broadcast(q))
-    return j.agg((F.avg(F.when(F.col(score) >= F.col("q90"), F.col(y))) - F.max("drift")).alias("long"), (F.max("drift") - F.avg(F.when(F.col(score) <= F.col("q10"), F.col(y)))).alias("short"), F.max("drift").alias("drift"))
+    return ladder(scored, score, y, []).select("long", "short", "drift")
 
 
 def sign_agreement(ics: DataFrame) -> DataFrame:
@@ -122,3 +151,83 @@ def describe(rows: DataFrame, y: str, horizon_ms: int, threshold_bps: float) ->
     up, down = F.count_if(F.col(y) >= threshold_bps), F.count_if(F.col(y) <= -threshold_bps)
     facts = rows.agg(F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"), up.alias("up"), down.alias("down"), F.count(F.lit(1)).alias("_n"))
     return g.crossJoin(F.broadcast(facts)).withColumn("flat", F.col("_n") - F.col("up") - F.col("down")).drop("_n")  # one row each
+
+
+def standardized_by(rows: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Features less the mean of their key's training rows over their population deviation (1 where that is 0)."""
+    by = list(by)
+    stats = rows.where("part = 'train'").groupBy(*by).agg(*[F.avg(c).alias(f"_m_{c}") for c in features], *[F.stddev_pop(c).alias(f"_s_{c}") for c in features])
+    out = rows.join(F.broadcast(stats), by)  # one row a key
+    return out.withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0) for c in features}).drop(*[f"_{k}_{c}" for k in "ms" for c in features])
+
+
+def grouped_models(rows: DataFrame, features: Sequence[str], up: Column, by: Sequence[str], l2: float = 1.0, least: int = 100, rounds: int = 25, tolerance: float = 1e-6) -> DataFrame:
+    """A ridge logistic model for each key (intercept not penalised): by..., n_train, n_test, reason, weights (the intercept first).
+    Keys that can't be fitted are listed with the reason and no weights.
+
+    All keys take a step of Newton's method together: a round sums each key's gradient and Hessian over the
+    training rows where they are, and solves one small system a key.  It ends when no weight moves by ``tolerance``."""
+    by, d = list(by), len(features) + 1
+    data = saved(rows.select(*by, (F.col("part") == "train").alias("_train"), F.when(F.col("part") == "test", 1).alias("_test"), up.cast("double").alias("_y"), F.array(F.lit(1.0), *[F.col(c).cast("double") for c in features]).alias("_x")))
+    train = data.where("_train").select(*by, "_y", "_x")
+    counts = data.groupBy(*by).agg(F.count_if("_train").alias("n_train"), F.count("_test").alias("n_test"), F.sum(F.when(F.col("_train"), F.col("_y"))).alias("_up"))
+    why = F.when(F.col("n_train") < least, "few training rows").when(F.col("n_test") < least, "few test rows").when((F.col("_up") == 0) | (F.col("_up") == F.col("n_train")), "one class")
+    counts = saved(counts.withColumn("reason", why).drop("_up"))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    weights = counts.where("reason is null").select(*by, F.array(*[F.lit(0.0)] * d).alias("weights"), F.lit(1.0).alias("step"))
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+
+    def solve(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        penalty = np.eye(d) * l2
+        penalty[0, 0] = 0.0
+        for g in groups:
+            out, steps = [], []
+            for sums, w in zip(g["_sums"], g["weights"], strict=True):
+                w, h = np.array(w), np.zeros((d, d))
+                for (i, j), v in zip(pairs, sums[d:], strict=True):
+                    h[i, j] = h[j, i] = v
+                step = np.linalg.lstsq(h + penalty, np.array(sums[:d]) - penalty @ w, rcond=None)[0]
+                out.append((w + step).tolist())
+                steps.append(float(np.abs(step).max()))
+            yield g[by].assign(weights=out, step=steps)
+
+    for _ in range(rounds):
+        weights = saved(weights)
+        if weights.where(F.col("step") >= tolerance).isEmpty():
+            break
+        z = F.aggregate(F.zip_with("weights", "_x", lambda w, x: w * x), F.lit(0.0), lambda s, v: s + v)
+        p = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-35.0)), F.lit(35.0))))
+        x = train.join(F.broadcast(weights), by).withColumn("_p", p)  # one row a key
+        x = x.withColumn("_v", F.greatest(F.col("_p") * (1 - F.col("_p")), F.lit(1e-8)))
+        terms = [F.sum((F.col("_y") - F.col("_p")) * F.col("_x")[i]) for i in range(d)] + [F.sum(F.col("_v") * F.col("_x")[i] * F.col("_x")[j]) for i, j in pairs]
+        sums = x.groupBy(*by).agg(F.array(*terms).alias("_sums"), F.first("weights").alias("weights"))
+        weights = sums.mapInPandas(solve, f"{kinds}, weights array<double>, step double")
+    return counts.join(weights.select(*by, "weights"), by, "left")
+
+
+def model_scores(rows: DataFrame, features: Sequence[str], models: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``rows`` of keys that have a model, with ``score``."""
+    known = models.where("weights is not null").select(*by, "weights")
+    z = F.col("weights")[0]
+    for i, c in enumerate(features):
+        z = z + F.col("weights")[i + 1] * F.col(c)
+    return rows.join(F.broadcast(known), list(by)).withColumn("score", 1 / (1 + F.exp(-z))).drop("weights")  # one row a key
+
+
+def across(scored: DataFrame, models: DataFrame, y: str, cost_bps: float, by: str, tie: Sequence[str]) -> DataFrame:
+    """by, n_train, n_test, reason, auc, drift, long, short, monotonicity, tradeable: each key's model on its test rows; keys without one keep their row."""
+    test = saved(scored.where("part = 'test'").withColumn("_up", (F.col(y) > 0).cast("int")))
+    found = auc(test, "score", "_up", [by]).select(by, "auc").join(ladder(test, "score", y, tie, [by]).drop("n"), by)
+    best = F.greatest("long", "short") > cost_bps
+    return models.drop("weights").join(found.withColumn("tradeable", best), by, "left")
+
+
+def across_verdict(table: DataFrame) -> DataFrame:
+    """One row: instruments, skipped, agree (on the sign of the long side's excess), p_value of so many by luck, tradeable, verdict."""
+    used = F.col("auc").isNotNull()
+    up = F.count_if(used & (F.col("long") > 0))
+    g = table.agg(F.count_if(used).alias("instruments"), F.count_if(~used).alias("skipped"), up.alias("_up"), F.count_if(F.coalesce("tradeable", F.lit(False))).alias("tradeable"))
+    agree = F.greatest(F.col("_up"), F.col("instruments") - F.col("_up"))
+    made = g.withColumn("agree", agree).withColumn("p_value", F.when(F.col("instruments") > 0, binomial_tail(F.col("agree"), F.col("instruments"))))
+    verdict = F.when(F.col("instruments") == 0, "nothing to evaluate").when(F.col("p_value") > 0.05, "sign not consistent").when(F.col("tradeable") == 0, "consistent, no edge after costs").otherwise("consistent and tradeable")
+    return made.select("instruments", "skipped", "agree", "p_value", "tradeable", verdict.alias("verdict"))

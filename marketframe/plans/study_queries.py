@@ -64,6 +64,25 @@ def signal_model(spark: SparkSession, d: str) -> DataFrame:
     return signal.auc(scored, "score", "up").select("n", F.round("auc", 3).alias("auc"))
 
 
+def _instruments(spark: SparkSession, d: str) -> DataFrame:
+    """A model of the rise for each instrument, from one feature, and what it earns on the later rows."""
+    by, one = ["instrument"], ["micro_bps"]
+    rows = signal.standardized_by(signal.purged_split(_rows(spark, d), ["ts_ms", "n"], 0.7, 50), one, by)
+    models = signal.grouped_models(rows, one, F.col("y") > 0, by, least=10)
+    table = signal.across(signal.model_scores(rows, one, models, by), models, "y", 2.0, "instrument", ["ts_ms", "n"])
+    return table.join(models.select("instrument", "weights"), "instrument")
+
+
+def signal_instruments(spark: SparkSession, d: str) -> DataFrame:
+    out = _instruments(spark, d)
+    rounded = [F.round(c, k).alias(c) for c, k in (("auc", 5), ("drift", 4), ("long", 4), ("short", 4), ("monotonicity", 4))]
+    return out.select("instrument", "n_train", "n_test", "reason", F.round(F.col("weights")[0], 5).alias("intercept"), F.round(F.col("weights")[1], 5).alias("slope"), *rounded, "tradeable")
+
+
+def signal_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return signal.across_verdict(_instruments(spark, d)).withColumn("p_value", F.round("p_value", 6))
+
+
 def carry_stats(spark: SparkSession, d: str) -> DataFrame:
     s = carry.screen(carry.funding_stats(views.funding(spark, d)), 3.0, F.lit(24.0), 14.0)
     return s.select("symbol", "n", *[F.round(c, 5).alias(c) for c in ("mean", "median", "positive", "worst", "drawdown", "a_day", "breakeven_days", "net")])
@@ -105,12 +124,39 @@ ic as (select {p}feature, count(*) n, case when max(x) = min(x) or max(y) = min(
 ge as (select count(distinct ts_ms) u, (max(ts_ms) - min(ts_ms)) / (count(distinct ts_ms) - 1)::double iv from rows_), en as (select greatest(1, floor(u / greatest(1, {HOUR}.0::double / iv))::bigint) effective_n from ge)"""
 
 
+def _models_sql() -> str:
+    """Newton's steps of a model with one feature, one after another; eight are more than they take."""
+    steps = ["b0 as (select instrument, 0.0::double w0, 0.0::double w1 from ok_)"]
+    for k in range(8):
+        steps.append(f"""b{k + 1} as materialized (select instrument, w0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) w0, w1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) w1 from (
+select instrument, any_value(w0) w0, any_value(w1) w1, sum(u - p) g0, sum((u - p) * x) - any_value(w1) g1, sum(v) h00, sum(v * x) h01, sum(v * x * x) + 1 h11 from (select *, greatest(p * (1 - p), 1e-8) v from (select t.instrument, x, u, w0, w1, 1 / (1 + exp(-(w0 + w1 * x))) p from tr t join b{k} using (instrument))) group by instrument))""")
+    return _ROWS + """, pl as (select *, row_number() over (order by ts_ms, n) - 1 pl, count(*) over () c from rows_),
+pt as (select *, case when pl < floor(c * 0.7) then 'train' when pl < floor(c * 0.7) + 50 then 'gap' else 'test' end part from pl),
+st as (select instrument, avg(micro_bps) m, stddev_pop(micro_bps) s from pt where part = 'train' group by 1),
+nz as (select pt.*, (micro_bps - m) / case when s > 0 then s else 1 end x, (y > 0)::int u from pt join st using (instrument)),
+cn as (select instrument, count(*) filter (part = 'train') n_train, count(*) filter (part = 'test') n_test, sum(u) filter (part = 'train') up from nz group by 1),
+cr as (select instrument, n_train, n_test, case when n_train < 10 then 'few training rows' when n_test < 10 then 'few test rows' when up = 0 or up = n_train then 'one class' end reason from cn),
+ok_ as (select instrument from cr where reason is null), tr as materialized (select instrument, x, u from nz where part = 'train'), """ + ", ".join(steps) + """,
+te as (select instrument, ts_ms, n, y, u, 1 / (1 + exp(-(w0 + w1 * x))) score from nz join b8 using (instrument) where part = 'test'),
+ra as (select instrument, u, rank() over (partition by instrument order by score) + (count(*) over (partition by instrument, score) - 1) / 2.0::double r from te),
+au as (select instrument, case when sum(u) > 0 and sum(1 - u) > 0 then (sum(r * u) - sum(u) * (sum(u) + 1) / 2) / (sum(u) * sum(1 - u))::double else 0.5 end auc from ra group by 1),
+qu as (select instrument, quantile_cont(score, 0.9) h, quantile_cont(score, 0.1) l, avg(y) drift from te group by 1),
+ec as (select instrument, any_value(drift) drift, avg(case when score >= h then y end) - any_value(drift) long, any_value(drift) - avg(case when score <= l then y end) short from te join qu using (instrument) group by 1),
+de as (select instrument, t, avg(y) m from (select instrument, y, ntile(10) over (partition by instrument order by score, ts_ms, n) t from te) group by 1, 2),
+mo as (select instrument, corr(t, m) monotonicity from de group by 1),
+ta as (select cr.*, w0, w1, auc, drift, long, short, monotonicity, greatest(long, short) > 2 tradeable from cr left join b8 using (instrument) left join au using (instrument) left join ec using (instrument) left join mo using (instrument))"""
+
+
 _PAIR = views.FUNDING_SQL + f""", pr as (select p_brand symbol, epoch_ms(l_shipdate) + l_linenumber * 4 * 3600000 + l_orderkey % 7 ts_ms, sum(round(l_extendedprice * 100)::bigint)::double / 100 / sum(l_quantity::bigint)::double price from lineitem join part on l_partkey = p_partkey group by 1, 2),
 f3 as (select symbol, ts_ms // {8 * HOUR} bucket, sum(rate_bps) fd from funding group by 1, 2), s3 as (select symbol, ts_ms // {8 * HOUR} bucket, arg_max(price, ts_ms) spot, arg_max(price * (1 + (ts_ms % 11 - 5) / 10000.0::double), ts_ms) perp from pr group by 1, 2),
 al as (select symbol, bucket, fd, (spot - perp) / spot * 10000 gap from f3 join s3 using (symbol, bucket) where spot > 0),
 wn as (select symbol, bucket, sum(fd) over (partition by symbol order by bucket rows between 1 following and 42 following) + lead(gap, 42) over (partition by symbol order by bucket) - gap - 24 net from al qualify lead(gap, 42) over (partition by symbol order by bucket) is not null)"""
 
 ORACLES = {
+    "signal_instruments": f"with {_models_sql()} select instrument, n_train, n_test, reason, round(w0, 5) intercept, round(w1, 5) slope, round(auc, 5) auc, round(drift, 4) drift, round(long, 4) long, round(short, 4) short, round(monotonicity, 4) monotonicity, tradeable from ta",
+    "signal_verdict": f"""with {_models_sql()}, g as (select count(auc) instruments, count(*) - count(auc) skipped, greatest(sum((long > 0)::int), count(auc) - sum((long > 0)::int))::bigint agree, sum(coalesce(tradeable, false)::int)::bigint tradeable from ta),
+p as (select *, list_sum(list_transform(range(agree, instruments + 1), lambda i: factorial(instruments::int)::double / factorial(i::int)::double / factorial((instruments - i)::int)::double)) / pow(2, instruments) p_value from g)
+select instruments, skipped, agree, round(p_value, 6) p_value, tradeable, case when instruments = 0 then 'nothing to evaluate' when p_value > 0.05 then 'sign not consistent' when tradeable = 0 then 'consistent, no edge after costs' else 'consistent and tradeable' end verdict from p""",
     "signal_agreement": f"""with {_ic_sql('instrument')}, g as (select feature, count(*) instruments, sum((spearman > 0)::int) up from ic where spearman <> 0 group by 1), a as (select feature, instruments, greatest(up, instruments - up)::bigint agree from g)
 select feature, instruments, agree, round(list_sum(list_transform(range(agree, instruments + 1), lambda i: factorial(instruments::int)::double / factorial(i::int)::double / factorial((instruments - i)::int)::double)) / pow(2, instruments), 6) p_value from a""",
     "signal_coefficients": f"with {_ic_sql('')} select feature, n, round(pearson, 5) pearson, round(spearman, 5) spearman, effective_n, round(case when effective_n > 2 then spearman * sqrt((effective_n - 2) / (1 - least(pow(spearman, 2), 0.999999))) else 0 end, 4) t from ic, en",
@@ -125,4 +171,4 @@ select symbol, n, round(mean, 5) mean, round(median, 5) median, round(positive,
     "carry_windows": f"with {_PAIR}, k as (select *, row_number() over (partition by symbol order by net, bucket) - 1 k, count(*) over (partition by symbol) c from wn), p as (select symbol, net p5 from k where k = floor((c - 1) * 0.05::double)) select symbol, count(*) windows, greatest(1, count(*) // 42)::int effective, round(quantile_cont(net, 0.5), 4) median, round(max(p5), 4) p5, round(min(net), 4) worst, round(max(net), 4) best, round(avg((net > 0)::int), 4) profitable from wn join p using (symbol) group by 1",
     "carry_implied": f"with {views.FUNDING_SQL}, s as (select symbol, min(ts_ms) + {90 * 24 * HOUR} a, max(ts_ms) - {90 * 24 * HOUR} z from funding group by 1) select f.symbol position_id, round(sum(case when length(f.symbol) % 2 = 0 then 1 else -1 end * rate_bps * 1000.0::double / 10000), 4) implied, count(*) settlements from funding f join s on f.symbol = s.symbol and ts_ms > a and ts_ms <= z group by 1",
 }
-QUERIES = [signal_coefficients, signal_leakage, signal_agreement, signal_split, signal_deciles, signal_auc, signal_economics, signal_model, carry_stats, carry_windows, carry_implied]
+QUERIES = [signal_coefficients, signal_leakage, signal_agreement, signal_split, signal_deciles, signal_auc, signal_economics, signal_model, signal_instruments, signal_verdict, carry_stats, carry_windows, carry_implied]

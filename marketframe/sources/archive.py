@@ -7,12 +7,16 @@ columns and prunes files before any is read.
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Lines of a damaged file that go on at a time.
+LINES = 10_000
 LINE = "t long, n long, m string, _corrupt string"
 PATH = r"([^/]+)/raw/(\d{4}-\d{2}-\d{2})/(.+)-(\d{2})(?:\.r(\d+))?\.jsonl(?:\.gz)?$"
 
@@ -40,12 +44,27 @@ def read_torn(spark: SparkSession, root: str, instrument: str | None = None, day
     def lines(batches):
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows = list(recover(content.as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64())))], ["path", "line_no", "line", "damage", "at"])
+                found = recover(content.as_py())
+                while rows := list(itertools.islice(found, LINES)):
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64())))], ["path", "line_no", "line", "damage", "at"])
 
     return files.mapInArrow(lines, "path string, line_no long, line string, damage string, at long")
 
 
+@F.udtf(returnType="line_no: bigint, line: string, damage: string, at: bigint")
+class RecoverLines:
+    """The table function of ``recover``: a row for each line that can be saved of a file's bytes, and for each damage."""
+
+    def eval(self, content: bytes) -> Iterator[tuple]:
+        if content is not None:
+            yield from recover(bytes(content))
+
+
+def register_recovery(spark: SparkSession) -> None:
+    """``select * from files, lateral recover_lines(content)``"""
+    spark.udtf.register("recover_lines", RecoverLines)
+
+
 MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 16
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import csv
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,21 +66,41 @@ def outside_factor(panel: DataFrame, factor: DataFrame, name: str, canonical: Ca
     return placed, matched.join(F.broadcast(first.agg(F.count(F.lit(1)).alias("total")))).select("matched", (F.col("total") - F.col("matched")).alias("dropped"))
 
 
+def headers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """path, header: the first line of each file, read by a Spark job (a task gives the line that begins a file's first block)."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            here = batch.column("path").to_pylist()
+            new = [i for i, p in enumerate(here) if p != (here[i - 1] if i else last)]
+            last = here[-1] if here else last
+            rows = [i for i in new if batch.column("at")[i].as_py() == 0]
+            yield pa.RecordBatch.from_arrays([batch.column("path").take(pa.array(rows, pa.int64())), batch.column("value").take(pa.array(rows, pa.int64()))], ["path", "header"])
+
+    lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    return lines.mapInArrow(first, "path string, header string")
+
+
 def feature_files(spark: SparkSession, paths: Sequence[str], horizons: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Feature files of one generation of horizons, as the columns they share, and the files that were left out.
-    A file is admitted by its own header; the instrument stays a column, so instruments never mix unseen."""
-    frames, skipped = [], []
-    for path in paths:
-        df = spark.read.option("header", True).csv(path)
-        labels = {c.removeprefix("label_") for c in df.columns if c.startswith("label_")}
-        if labels == set(horizons) and "instrument" in df.columns:
-            frames.append(df)
+    A file is admitted by its own header; the instrument stays a column, so instruments never mix unseen.
+    Files are grouped by header, and each group is one scan: there are as many as generations, however many files."""
+    groups = headers(spark, paths).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header").collect()  # a row for each generation
+    kept, skipped = [], []
+    for g in groups:
+        names = next(csv.reader([g["header"]]))
+        labels = {c.removeprefix("label_") for c in names if c.startswith("label_")}
+        if labels == set(horizons) and "instrument" in names:
+            kept.append((names, g["paths"]))
         else:
-            skipped.append(path)
-    if not frames:
+            skipped += g["paths"]
+    if not kept:
         raise ValueError("no file has these horizons")
-    shared = [c for c in frames[0].columns if all(c in f.columns for f in frames)]
-    out = frames[0].select(shared)
-    for f in frames[1:]:
-        out = out.unionByName(f.select(shared))
-    return out, skipped
+    shared = [c for c in kept[0][0] if all(c in names for names, _ in kept)]
+    out = None
+    for names, files in kept:
+        schema = ", ".join(f"`{c}` string" for c in names)
+        part = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(files).select(shared)
+        out = part if out is None else out.unionByName(part)
+    return out, sorted(skipped)

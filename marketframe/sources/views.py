@@ -89,15 +89,19 @@ tape as (select 'U' || (user_id % 4) instrument, event_id n, epoch_us(ts) // 100
 
 
 def book_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Touch updates: instrument, n, ts_ms, bid, ask (whole cents), bid_size, ask_size, seq, prev_seq; after each 49 updates the feed skips a number, which is a gap."""
+    """Touch updates: instrument, n, ts_ms, bid, ask (whole cents), bid_size, ask_size."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "signup")).withColumn("k", _k())
     inst = F.concat(F.lit("U"), F.pmod("user_id", F.lit(4)).cast("string"))
     price = (10000 + F.round("value")).cast("long")
-    rows = e.select(
+    return e.select(
         inst.alias("instrument"), F.col("event_id").alias("n"), epoch_ms(F.col("ts")).alias("ts_ms"), (price - 1 - F.pmod("k", F.lit(5))).alias("bid"), (price + F.pmod("k", F.lit(7))).alias("ask"),
         (1 + F.pmod("k", F.lit(13))).alias("bid_size"), (1 + F.pmod("k", F.lit(11))).alias("ask_size"),
     )
-    numbered = running(rows, ["instrument"], "ts_ms", ["ts_ms", "n"], {"seq": ("sum", F.lit(1).cast("long"))})
+
+
+def numbered_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``book_top`` with seq and prev_seq; after each 49 updates the feed skips a number, which is a gap."""
+    numbered = running(book_top(spark, sf_dir), ["instrument"], "ts_ms", ["ts_ms", "n"], {"seq": ("sum", F.lit(1).cast("long"))})
     return numbered.withColumn("seq", F.col("seq") + F.floor((F.col("seq") - 1) / 49)).withColumn("prev_seq", F.col("seq") - 1)
 
 

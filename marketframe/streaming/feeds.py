@@ -63,6 +63,18 @@ def delayed_labels(rows: DataFrame, mids: DataFrame, horizon: str, late: str) ->
     return r.join(m, on).select("r.*", "mid_ts", "later")
 
 
+def closed_labels(rows: DataFrame, mids: DataFrame, horizon: str, within: str, late: str) -> DataFrame:
+    """``rows`` (ts, instrument, n and others) with label_ts and later: the first mid (ts, instrument, mid) from ``horizon`` after a row on, if one comes
+    ``within`` that time; else nulls.  A row waits in the state of an outer join until the watermark has passed all the times
+    its label could have, and is given out once."""
+    r = rows.withWatermark("ts", late).alias("r")
+    m = mids.select(F.col("ts").alias("mid_ts"), F.col("instrument").alias("mid_instrument"), "mid").withWatermark("mid_ts", late).alias("m")
+    on = F.expr(f"r.instrument = m.mid_instrument and m.mid_ts >= r.ts + interval {horizon} and m.mid_ts < r.ts + interval {horizon} + interval {within}")
+    met = r.join(m, on, "leftOuter")
+    first = met.groupBy(*[F.col(f"r.{c}") for c in rows.columns]).agg(F.min(F.when(F.col("mid_ts").isNotNull(), F.struct("mid_ts", "mid"))).alias("first"))
+    return first.select(*rows.columns, F.col("first.mid_ts").alias("label_ts"), F.col("first.mid").alias("later"))
+
+
 def feed_counters(events: DataFrame, width: str, late: str, slow_ms: int) -> DataFrame:
     """Rows, slow rows, largest lag and bytes of each window, instrument and channel: what a recorder watches."""
     w = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "instrument", "channel")

@@ -76,7 +76,7 @@ def _instruments(spark: SparkSession, d: str) -> DataFrame:
 def signal_instruments(spark: SparkSession, d: str) -> DataFrame:
     out = _instruments(spark, d)
     rounded = [F.round(c, k).alias(c) for c, k in (("auc", 5), ("drift", 4), ("long", 4), ("short", 4), ("monotonicity", 4))]
-    return out.select("instrument", "n_train", "n_test", "reason", F.round(F.col("weights")[0], 5).alias("intercept"), F.round(F.col("weights")[1], 5).alias("slope"), *rounded, "tradeable")
+    return out.select("instrument", "n_train", "n_test", "reason", F.round(F.col("weights")[0], 5).alias("intercept"), F.round(F.col("weights")[1], 5).alias("slope"), *rounded, F.col("tradeable").cast("int").alias("tradeable"))
 
 
 def signal_verdict(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +153,7 @@ al as (select symbol, bucket, fd, (spot - perp) / spot * 10000 gap from f3 join
 wn as (select symbol, bucket, sum(fd) over (partition by symbol order by bucket rows between 1 following and 42 following) + lead(gap, 42) over (partition by symbol order by bucket) - gap - 24 net from al qualify lead(gap, 42) over (partition by symbol order by bucket) is not null)"""
 
 ORACLES = {
-    "signal_instruments": f"with {_models_sql()} select instrument, n_train, n_test, reason, round(w0, 5) intercept, round(w1, 5) slope, round(auc, 5) auc, round(drift, 4) drift, round(long, 4) long, round(short, 4) short, round(monotonicity, 4) monotonicity, tradeable from ta",
+    "signal_instruments": f"with {_models_sql()} select instrument, n_train, n_test, reason, round(w0, 5) intercept, round(w1, 5) slope, round(auc, 5) auc, round(drift, 4) drift, round(long, 4) long, round(short, 4) short, round(monotonicity, 4) monotonicity, tradeable::int tradeable from ta",
     "signal_verdict": f"""with {_models_sql()}, g as (select count(auc) instruments, count(*) - count(auc) skipped, greatest(sum((long > 0)::int), count(auc) - sum((long > 0)::int))::bigint agree, sum(coalesce(tradeable, false)::int)::bigint tradeable from ta),
 p as (select *, list_sum(list_transform(range(agree, instruments + 1), lambda i: factorial(instruments::int)::double / factorial(i::int)::double / factorial((instruments - i)::int)::double)) / pow(2, instruments) p_value from g)
 select instruments, skipped, agree, round(p_value, 6) p_value, tradeable, case when instruments = 0 then 'nothing to evaluate' when p_value > 0.05 then 'sign not consistent' when tradeable = 0 then 'consistent, no edge after costs' else 'consistent and tradeable' end verdict from p""",

@@ -76,7 +76,7 @@ def blocks(page: str) -> list[tuple[str, int, int, float, bool]]:
     out, buf = [], []
     links = total = 0
     stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
-    in_link = 0
+    in_link = 0  # the depth of the element that a link has begun in, which ends it when it is left
 
     def flush() -> None:
         nonlocal links, total
@@ -90,7 +90,9 @@ def blocks(page: str) -> list[tuple[str, int, int, float, bool]]:
             links = total = 0
 
     def pop(to: int) -> None:
+        nonlocal in_link
         del stack[to:]
+        in_link = in_link if in_link <= len(stack) else 0
 
     at = 0
     in_head = False
@@ -116,13 +118,12 @@ def blocks(page: str) -> list[tuple[str, int, int, float, bool]]:
             in_head = False
         if tag in INLINE:
             if tag == "a":
-                in_link = 0 if end else 1
+                in_link = 0 if end else len(stack)
             elif tag in ("br", "img", "wbr") and tag == "br":
                 buf.append(" ")
             continue
         in_head = in_head and tag not in ("p", "div", "article", "nav", "main", "header", "section", "h1")
         flush()
-        in_link = 0
         if end:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:

@@ -70,7 +70,7 @@ _W = ", ".join(f"sum(case when dist > 0 and dist <= {k / 100}::double then abs(s
 ORACLES = {
     "factor_report": f"""with {panel_queries._RUNS}, e as (select *, ret - market ex from wg), k as (select *, rank() over (partition by date_idx order by score) + (count(*) over (partition by date_idx, score) - 1) / 2.0::double rx, rank() over (partition by date_idx order by ex) + (count(*) over (partition by date_idx, ex) - 1) / 2.0::double ry from e),
 i as (select date_idx, case when max(score) = min(score) or max(ex) = min(ex) then 0 else corr(rx, ry) end ic from k group by 1 having count(*) >= 6),
-b as (select case when var_samp(market) > 0 then covar_samp(net, market) / var_samp(market) else 0 end bt from run), x as (select count(*) n, avg(gross) gross, avg(net) mean, avg(net) / (stddev_samp(net) / sqrt(count(*))) t, any_value(bt) beta, avg(net) - any_value(bt) * avg(market) alpha, (avg(net) - any_value(bt) * avg(market)) / (stddev_samp(net - bt * market) / sqrt(count(*))) alpha_t, avg(price) price, avg(funding) funding, (select avg(ic) from i) ic from run, b)
+b as (select case when var_samp(market) > 0 then covar_samp(net, market) / var_samp(market) else 0 end bt from run), x as (select count(*) n, avg(gross) gross, avg(net) mean, avg(net) / (stddev_samp(net) / sqrt(count(*))) t, (select bt from b) beta, avg(net) - any_value(bt) * avg(market) alpha, (avg(net) - any_value(bt) * avg(market)) / (stddev_samp(net - bt * market) / sqrt(count(*))) alpha_t, avg(price) price, avg(funding) funding, (select avg(ic) from i) ic from run, b)
 select n, {_r('gross mean t beta alpha alpha_t price funding ic')} from x""",
     "carry_report": f"with {_CARRY} select symbol, unavailable, harvestable::int harvestable, risky::int risky, {_r('a_day basis crossing quoting convergence breakeven_crossing breakeven_quoting net_crossing net_quoting after_convergence')} from z",
     "carry_decision": f"""with {_CARRY}, g as (select count(*) filter (unavailable is null) usable, count(unavailable) unavailable, count(*) filter (harvestable = false) unharvestable, count(*) filter (harvestable and net_crossing > 0) clear_crossing, count(*) filter (harvestable and net_quoting > 0) clear_quoting,

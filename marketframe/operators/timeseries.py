@@ -84,10 +84,24 @@ def correlation(a: str, b: str) -> Column:
     return F.covar_pop(a, b) / F.when(spread > 0, spread)
 
 
-def spearman(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
-    """by..., n, pearson, spearman over rows where both are there; 0 for fewer than three rows or a constant side."""
+def counted_rank(rows: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with ``average_rank`` of a value as ``name``, from counts of its distinct values that are range-partitioned: no task ranks all rows of a key."""
+    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_k"))
+    placed = saved(prefix_total(counts, [*by, value], F.col("_k"), "_before"))
+    first = placed.groupBy(*by).agg(F.min("_before").alias("_first"))  # one row a key
+    ranks = placed.join(F.broadcast(first), list(by)).select(*by, value, (F.col("_before") - F.col("_first") + (F.col("_k") + 1) / 2).alias(name))
+    return rows.join(ranks, [*by, value])
+
+
+def spearman(df: DataFrame, x: str, y: str, by: Sequence[str], wide: bool = False) -> DataFrame:
+    """by..., n, pearson, spearman over rows where both are there; 0 for fewer than three rows or a constant side.
+    ``wide``: few keys with very many rows each, whose ranks are counted and not ordered in a window."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"), average_rank(F.col(x), by).alias("_rx"), average_rank(F.col(y), by).alias("_ry"))
+    if wide:
+        rows = saved(both.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")))
+        ranked = counted_rank(saved(counted_rank(rows, "_x", by, "_rx")), "_y", by, "_ry")
+    else:
+        ranked = both.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"), average_rank(F.col(x), by).alias("_rx"), average_rank(F.col(y), by).alias("_ry"))
 
     def safe(a: str, b: str) -> Column:
         flat = (F.count(F.lit(1)) < 3) | (F.coalesce(F.max(a) - F.min(a), F.lit(0)) == 0) | (F.coalesce(F.max(b) - F.min(b), F.lit(0)) == 0)

@@ -38,7 +38,7 @@ def geometry(rows: DataFrame, horizon_ms: int, by: Sequence[str] = ()) -> DataFr
 def coefficients(rows: DataFrame, features: Sequence[str], label: str, horizon_ms: int, by: Sequence[str] = ()) -> DataFrame:
     """Pearson, Spearman and t of every feature with the label: features become rows, and one job serves them all."""
     long = rows.select(*by, "ts_ms", F.col(label).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in features]).unpivot([*by, "ts_ms", "y"], list(features), "feature", "x")
-    ic = spearman(long, "x", "y", [*by, "feature"])
+    ic = spearman(long, "x", "y", [*by, "feature"], wide=True)
     g = geometry(rows, horizon_ms, by)
     joined = ic.join(F.broadcast(g.select(*by, "effective_n")), list(by)) if by else ic.join(F.broadcast(g.select("effective_n")))
     r2 = F.least(F.pow("spearman", F.lit(2)), F.lit(0.999999))

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketframe.operators.costs import running_cost
+from marketframe.operators.timeseries import spearman
 from marketframe.plans import audits, signal
 from marketframe.plans import contracts as C
 from marketframe.sources import archive, loaders
@@ -220,3 +221,13 @@ def test_labels_close_with_the_watermark(spark, tmp_path):
     got = {x.n: x.later for x in spark.table("closed").collect()}
     # 60 s after 0 and 10 come the mids of 60 and 70; row 4 has none within its minute, 3 and 6 none at all; row 7 is open still
     assert got == {1: 1.0, 2: 2.0, 3: None, 4: None, 5: None, 6: None}
+
+
+def test_counted_ranks_are_windows(spark):
+    r = np.random.default_rng(9)
+    rows = [(k, float(np.round(r.normal(), 1)), float(r.integers(0, 4))) for k, n in (("a", 300), ("b", 40), ("c", 2)) for _ in range(n)] + [("a", None, 1.0), ("d", 1.0, 2.0), ("d", 1.0, 3.0), ("d", 1.0, 4.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(3)
+    one, two = ({x.k: tuple(x)[1:] for x in spearman(df, "x", "y", ["k"], wide).collect()} for wide in (False, True))
+    assert set(one) == set(two) == set("abcd")
+    for k in one:
+        assert two[k] == pytest.approx(one[k], abs=1e-12)

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 from marketframe.plans import panel as P
-from marketframe.plans import audit_queries, book_queries, contract_queries, desk_queries, event_queries, file_queries, limit_queries, message_queries, panel_queries, report_queries, stream_queries, study_queries
+from marketframe.plans import audit_queries, book_queries, contract_queries, desk_queries, detail_queries, event_queries, file_queries, limit_queries, message_queries, panel_queries, report_queries, stream_queries, study_queries
 from marketframe.plans import portfolio as B
 from marketframe.session import ship
 from marketframe.sources import views
 
-MODULES = [panel_queries, contract_queries, event_queries, study_queries, limit_queries, message_queries, desk_queries, stream_queries, audit_queries, book_queries, file_queries, report_queries]
+MODULES = [panel_queries, contract_queries, event_queries, study_queries, limit_queries, message_queries, desk_queries, stream_queries, audit_queries, book_queries, file_queries, report_queries, detail_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,18 +56,21 @@ def round_trip_bps(entry: Column, exit_: Column, spread: Column) -> Column:
     return (entry + exit_) * 10_000 + spread
 
 
-def curve_violations(table: DataFrame) -> DataFrame:
-    """What is wrong with a table of curves, over prices 0.00 to 1.00: venue, tier, problem."""
+def curve_violations(table: DataFrame, curve: Callable[[Column, Column, Column, Column], Column] = curve_fee) -> DataFrame:
+    """What is wrong with a table of curves, over prices 0.00 to 1.00: venue, tier, problem.  ``curve`` gives the fee, as ``curve_fee`` does."""
     grid = table.withColumn("cent", F.explode(F.sequence(F.lit(0), F.lit(100)))).withColumn("p", F.col("cent").cast("decimal(9,6)") / 100)
-    fee = curve_fee(F.col("taker"), F.col("p"), F.lit(1000), F.lit(False))  # of 1,000 contracts, before rounding to cents
+    at = lambda c, p: curve(F.col(c), p, F.lit(1000), F.lit(False))  # of 1,000 contracts, before rounding to cents
+    fee, other = at("taker", F.col("p")), 1 - F.col("p")
+    uneven = (fee != at("taker", other)) | (at("maker", F.col("p")) != at("maker", other))
     facts = grid.groupBy("venue", "tier").agg(
         F.min((F.col("taker") >= F.col("maker")).cast("int")).alias("ordered"), F.max(F.when(F.col("p").isin(0, 1), fee)).alias("ends"),
-        F.max_by("p", fee).alias("peak"), F.max("taker").alias("taker"), F.max("same_as").alias("same_as"),
+        F.max_by("p", fee).alias("peak"), F.max("taker").alias("taker"), F.max("same_as").alias("same_as"), F.max(uneven.cast("int")).alias("uneven"),
+        F.min(F.least("maker", "taker")).alias("least"),
     )
     facts = facts.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("venue", "taker")))
     copies = F.col("copies")
     problems = F.array_compact(F.array(
-        F.when(F.col("ordered") == 0, "maker above taker"), F.when(F.col("ends") != 0, "fee at the ends"), F.when((F.col("taker") > 0) & (F.col("peak") != 0.5), "peak not at a half"),
+        F.when(F.col("ordered") == 0, "maker above taker"), F.when(F.col("least") < 0, "negative"), F.when(F.col("uneven") == 1, "not symmetric"), F.when(F.col("ends") != 0, "fee at the ends"), F.when((F.col("taker") > 0) & (F.col("peak") != 0.5), "peak not at a half"),
         F.when((copies > 1) & F.col("same_as").isNull(), "duplicate curve"), F.when((copies == 1) & F.col("same_as").isNotNull(), "stale same_as"),
     ))
     return facts.withColumn("problem", F.explode(problems)).select("venue", "tier", "problem")

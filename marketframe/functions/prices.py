@@ -114,4 +114,19 @@ def liquidation_distance(size: Column, mark: Column, liq: Column) -> Column:
     return F.when(size >= 0, mark - liq).otherwise(liq - mark) / mark
 
 
+def safe_leverage(side: Column, buffer: Column, mmr: Column) -> Column:
+    """The largest leverage whose liquidation price (without extra margin and fees) is at least the share ``buffer`` away from the entry; 0 where none is."""
+    room = F.when(side == "long", 1 - (1 - buffer) * (1 - mmr)).otherwise((1 + buffer) * (1 + mmr) - 1)
+    return F.when((buffer > 0) & (buffer < 1) & (room > 0), 1 / F.nullif(room, F.lit(0))).otherwise(F.lit(0.0))
+
+
+def against_reported(estimated: Column, reported: Column, tolerance: float = 0.01) -> Column:
+    """struct(ok, error, reason): whether a model's price lies within a share of the one that the venue reports."""
+    usable = estimated.isNotNull() & F.coalesce(reported > 0, F.lit(False))
+    error = F.when(usable, F.abs(estimated - reported) / F.nullif(reported, F.lit(0)))
+    ok = F.coalesce(error <= tolerance, F.lit(False))
+    reason = F.when(~usable, "missing or invalid").when(~ok, "disagrees with the venue").otherwise("")
+    return F.struct(ok.alias("ok"), error.alias("error"), reason.alias("reason"))
+
+
 PARKINSON = 1 / (2 * math.sqrt(math.log(2))) * BPS

@@ -117,7 +117,7 @@ def factor_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 def factor_sweep(spark: SparkSession, d: str) -> DataFrame:
     panel = saved(P.universe(P.factors(_panel(spark, d), ["carry_7"]), HISTORY, VOLUME))
     scored = {h: B.score_rows(panel, "carry_7", h, 0, START) for h in (3, 7)}
-    return _r(B.sweep(scored, (0.1, 0.2, 0.3), (5.0, 20.0)), "hold", "frac", "cost", "n", "mean", "sd", "turnover", digits=4)
+    return _r(B.sweep(scored, (0.1, 0.2, 0.3), (5.0, 20.0), (VOLUME, 60_000.0, 300_000.0)), "hold", "frac", "cost", "volume", "names", "n", "mean", "sd", "turnover", digits=4)
 
 
 def factor_halves(spark: SparkSession, d: str) -> DataFrame:
@@ -253,7 +253,11 @@ pk as (select d, b, ('0x' || substr(md5(d || '|' || b), 1, 8))::bigint % greates
 pl as (select d, s + o i from pk, range(0, 4) q(o) where (b - 1) * 4 + o < n), mn as (select d, avg(v) mean from pl join ix using (i) group by 1)
 select round(quantile_cont(mean, 0.025), 4) low, round(quantile_cont(mean, 0.975), 4) high from mn""",
     "factor_sweep": "with " + _EL + "," + ",".join(
-        f"{_scored_sql(h, 0, str(h))}, sp{h} as (select sc{h}.*, frac from sc{h}, (values (0.1::double), (0.2::double), (0.3::double)) v(frac)),{_book_sql(f'sp{h}', 'frac', 'frac', str(h))},{_period_sql(h, 'frac', str(h))}, o{h} as (select {h} hold, frac, cost, count(*) n, round(avg((2 * gross - turnover * cost) / 2), 4) mean, round(stddev_samp((2 * gross - turnover * cost) / 2), 4) sd, round(avg(turnover), 4) turnover from run{h}, (values (5.0::double), (20.0::double)) c(cost) group by frac, cost)" for h in (3, 7)
+        f"""{_scored_sql(h, 0, str(h))},
+sp{h} as (select sc{h}.* exclude (eligible), eligible and median_volume >= volume eligible, frac, volume from sc{h}, (values (0.1::double), (0.2::double), (0.3::double)) v(frac), (values (1.0::double), (60000.0::double), (300000.0::double)) u(volume)),
+na{h} as (select frac, volume, quantile_cont(k, 0.5) as names from (select frac, volume, date_idx, count(*) filter (eligible) k from sp{h} group by 1, 2, 3) group by 1, 2),{_book_sql(f'sp{h}', 'frac', 'frac, volume', str(h))},{_period_sql(h, 'frac, volume', str(h))},
+o{h} as (select {h} hold, frac, cost, volume, any_value(na{h}.names) as names, count(*) n, round(avg((2 * gross - turnover * cost) / 2), 4) mean, round(stddev_samp((2 * gross - turnover * cost) / 2), 4) sd, round(avg(turnover), 4) turnover
+  from run{h} join na{h} using (frac, volume), (values (5.0::double), (20.0::double)) c(cost) group by frac, volume, cost)""" for h in (3, 7)
     ) + " select * from o3 union all select * from o7",
     "factor_halves": "with " + _EL + "," + _scored_sql(4, 1) + f""", hv as (select sc.*, seed, ('0x' || substr(md5(seed || '|' || symbol), 1, 6))::bigint % 2 half from sc, range(1, 6) s(seed)),{_book_sql('hv', '0.2::double', 'seed, half', 'h')},{_period_sql(4, 'seed, half', 'h')}
 select seed::int seed, half, count(*) n, round(avg(net), 4) mean from runh group by 1, 2""",

@@ -17,19 +17,28 @@ from marketframe.operators.timeseries import spearman
 BPS = 10_000.0
 
 
-def score_rows(panel: DataFrame, factor: str, hold: int, lag: int, start: int) -> DataFrame:
-    """Entry rows: every ``hold`` dates from ``start``, scored ``lag`` dates before; symbol, date_idx, score, close, eligible, risk."""
+def score_rows(panel: DataFrame, factor: str | Sequence[str], hold: int, lag: int, start: int, risk: str | None = None) -> DataFrame:
+    """Entry rows: every ``hold`` dates from ``start``, scored ``lag`` dates before; symbol, date_idx, score, eligible, price_leg, funding_leg, ret.
+    Several factors come as rows, told by the column ``factor``.  With ``risk``, that column comes along as it is at the entry, and names need one above 0."""
+    names = [factor] if isinstance(factor, str) else list(factor)
     last = panel.agg(F.max("date_idx").alias("last"))
     w = Window.partitionBy("symbol").orderBy("date_idx").rangeBetween(-lag, -lag)
     ahead = Window.partitionBy("symbol").orderBy("date_idx")
     legs = (
-        panel.withColumn("score", F.max(factor).over(w))
+        panel.withColumns({f"_score_{k}": F.max(f).over(w) for k, f in enumerate(names)})
         .withColumn("exit_close", F.max("close").over(ahead.rangeBetween(hold, hold)))
         .withColumn("funding_leg", -F.coalesce(F.sum("funding_bps").over(ahead.rangeBetween(1, hold)), F.lit(0.0)))
     )
     entry = legs.where((F.col("date_idx") >= start) & ((F.col("date_idx") - start) % hold == 0)).join(F.broadcast(last)).where(F.col("date_idx") < F.col("last") + 1 - hold)
     price = F.log(F.col("exit_close") / F.col("close")) * BPS
-    return entry.select("symbol", "date_idx", "score", "eligible", "quote_volume", "median_volume", price.alias("price_leg"), "funding_leg", (price + F.col("funding_leg")).alias("ret"))
+    if risk is not None:
+        entry = entry.withColumn("eligible", F.col("eligible") & F.coalesce(F.col(risk) > 0, F.lit(False)))
+    if isinstance(factor, str):
+        entry, told = entry.withColumn("score", F.col("_score_0")), []
+    else:
+        each = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f"_score_{k}").alias("score")) for k, f in enumerate(names)]))
+        entry, told = entry.withColumn("_each", each).withColumns({"factor": F.col("_each.factor"), "score": F.col("_each.score")}), ["factor"]
+    return entry.select(*told, *([F.col(risk).alias("risk")] if risk is not None else []), "symbol", "date_idx", "score", "eligible", "quote_volume", "median_volume", price.alias("price_leg"), "funding_leg", (price + F.col("funding_leg")).alias("ret"))
 
 
 def books(scored: DataFrame, frac: Column | float, spec: Sequence[str] = ()) -> DataFrame:
@@ -70,6 +79,15 @@ def banded(scored: DataFrame, frac: float, band: float) -> DataFrame:
     return names.join(F.broadcast(stretches), ["spec", "date_idx"]).groupBy("spec", "_stretch").applyInPandas(lambda rows: fold(rows.drop(columns="_stretch")), "spec string, date_idx long, symbol string, score double, ret double, side long")
 
 
+def raw_weights(booked: DataFrame, risk: str | None = "risk", cluster: str | None = None, spec: Sequence[str] = ()) -> Column:
+    """What ``weigh`` takes: one over a name's risk, shared with the names of its cluster that are on the same side of the same date and have a return."""
+    raw = 1 / F.col(risk) if risk is not None else F.lit(1.0)
+    if cluster is None:
+        return raw
+    mates = F.count(F.when(F.col("ret").isNotNull(), 1)).over(Window.partitionBy(*spec, "date_idx", "side", cluster))
+    return raw / F.greatest(mates, F.lit(1))
+
+
 def weigh(booked: DataFrame, raw: Column | None = None, spec: Sequence[str] = ()) -> DataFrame:
     """Weights of names with a return, each side summing to 1 and -1; a date with an empty side has none."""
     side = Window.partitionBy(*spec, "date_idx", "side")
@@ -81,7 +99,7 @@ def weigh(booked: DataFrame, raw: Column | None = None, spec: Sequence[str] = ()
     return live.withColumn("weight", F.when(both, weight)).withColumn("market", market).where(F.col("weight").isNotNull()).drop("_raw")
 
 
-def periods(weighed: DataFrame, hold: int, cost_bps: Column | float, spec: Sequence[str] = ()) -> DataFrame:
+def periods(weighed: DataFrame, hold: Column | int, cost_bps: Column | float, spec: Sequence[str] = ()) -> DataFrame:
     """One row a rebalance: gross, price, funding, turnover, net, market, n.
 
     Turnover is the sum of |w - previous w|: each weight is entered as +w at its own
@@ -99,7 +117,7 @@ def periods(weighed: DataFrame, hold: int, cost_bps: Column | float, spec: Seque
     return joined.withColumn("net", (2 * F.col("gross") - F.col("turnover") * cost) / 2)
 
 
-def summary(runs: DataFrame, hold: int, spec: Sequence[str] = ()) -> DataFrame:
+def summary(runs: DataFrame, hold: Column | int, spec: Sequence[str] = ()) -> DataFrame:
     """n, mean, sd, t, low, high, sharpe, annual_pct, hit, turnover, beta, alpha of net returns a rebalance."""
     n, mean, sd = F.count(F.lit(1)), F.avg("net"), F.stddev_samp("net")
     se = sd / F.sqrt(n)
@@ -124,16 +142,16 @@ def draw(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]))
 
 
-def shuffled(scored: DataFrame, seeds: int, fixed: bool = False) -> DataFrame:
+def shuffled(scored: DataFrame, seeds: int, fixed: bool = False, spec: Sequence[str] = ()) -> DataFrame:
     """Controls: for each seed the scores of a date dealt anew over its eligible names (``fixed``: one order of symbols for all dates).
-    Scores and symbols are numbered within (seed, date) and joined by number."""
+    Scores and symbols are numbered within (spec, seed, date) and joined by number; all of ``spec`` are dealt alike."""
     names = scored.where(F.col("eligible") & F.col("score").isNotNull())
     seeded = names.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds))))
-    group = Window.partitionBy("seed", "date_idx")
+    group = Window.partitionBy(*spec, "seed", "date_idx")
     order = draw("seed", "symbol") if fixed else draw("seed", "date_idx", "symbol")
     to = seeded.withColumn("nth", F.row_number().over(group.orderBy(order, "symbol"))).drop("score")
-    scores = seeded.select("seed", "date_idx", "score", F.row_number().over(group.orderBy("symbol")).alias("nth"))
-    return to.join(scores, ["seed", "date_idx", "nth"]).drop("nth")
+    scores = seeded.select(*spec, "seed", "date_idx", "score", F.row_number().over(group.orderBy("symbol")).alias("nth"))
+    return to.join(scores, [*spec, "seed", "date_idx", "nth"]).drop("nth")
 
 
 def control_summary(real: DataFrame, controls: DataFrame) -> DataFrame:
@@ -143,6 +161,12 @@ def control_summary(real: DataFrame, controls: DataFrame) -> DataFrame:
     return joined.select("mean", "control_mean", "control_sd", F.when(F.size("all") > 0, F.size(F.filter("all", lambda x: x < F.col("mean"))) / F.size("all")).alias("beaten"))
 
 
+def share_beaten(real: DataFrame, controls: DataFrame, spec: Sequence[str]) -> DataFrame:
+    """``real`` (one row a spec) with ``beaten``: the share of that spec's controls (a row for each seed) whose mean is below its own."""
+    shares = controls.select(*spec, F.col("mean").alias("_control")).join(F.broadcast(real.select(*spec, "mean")), list(spec)).groupBy(*spec).agg(F.avg((F.col("_control") < F.col("mean")).cast("int")).alias("beaten"))
+    return real.join(shares, list(spec), "left")
+
+
 def block_bootstrap(values: DataFrame, value: str, order: str, block: int, draws: int) -> DataFrame:
     """low, high: the 95 % interval of the mean over resampled blocks of ``block`` consecutive values (one row a period, few)."""
     indexed = values.select(F.col(value).alias("v"), (F.row_number().over(Window.orderBy(order)) - 1).alias("i"))
@@ -154,17 +178,21 @@ def block_bootstrap(values: DataFrame, value: str, order: str, block: int, draws
     return means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
 
 
-def sweep(scored_by_hold: dict[int, DataFrame], fracs: Sequence[float], costs: Sequence[float]) -> DataFrame:
-    """Summary for each (hold, frac, cost): one plan, the grid being a table."""
-    out = None
+def sweep(scored_by_hold: dict[int, DataFrame], fracs: Sequence[float], costs: Sequence[float], volumes: Sequence[float] = (0.0,)) -> DataFrame:
+    """Summary for each (hold, frac, cost, volume), with the median number of names of a date that trade at least that volume: the
+    grid is a table, and all of it is one run of books, weights and turnovers."""
+    values = lambda xs: F.explode(F.array(*[F.lit(float(x)) for x in xs]))
+    all_holds = None
     for hold, scored in scored_by_hold.items():
-        grid = scored.withColumn("frac", F.explode(F.array(*[F.lit(float(f)) for f in fracs])))
-        booked = weigh(books(grid, F.col("frac"), ["frac"]), spec=["frac"])
-        runs = periods(booked, hold, 0.0, ["frac"]).withColumn("cost", F.explode(F.array(*[F.lit(float(c)) for c in costs])))
-        runs = runs.withColumn("net", (2 * F.col("gross") - F.col("turnover") * F.col("cost")) / 2)
-        one = summary(runs, hold, ["frac", "cost"]).withColumn("hold", F.lit(hold))
-        out = one if out is None else out.unionByName(one)
-    return out
+        one = scored.withColumn("hold", F.lit(hold))
+        all_holds = one if all_holds is None else all_holds.unionByName(one)
+    spec = ["hold", "frac", "volume"]
+    grid = all_holds.withColumn("volume", values(volumes)).withColumn("eligible", F.col("eligible") & (F.col("median_volume") >= F.col("volume"))).withColumn("frac", values(fracs))
+    booked = weigh(books(grid, F.col("frac"), spec), spec=spec)
+    runs = periods(booked, F.col("hold"), 0.0, spec).withColumn("cost", values(costs))
+    runs = runs.withColumn("net", (2 * F.col("gross") - F.col("turnover") * F.col("cost")) / 2)
+    names = grid.groupBy(*spec, "date_idx").agg(F.count_if(F.col("eligible")).alias("_names")).groupBy(*spec).agg(F.percentile("_names", F.lit(0.5)).alias("names"))
+    return summary(runs, F.col("hold"), [*spec, "cost"]).join(F.broadcast(names), spec)
 
 
 def universe_halves(scored: DataFrame, seeds: int, hold: int, frac: float, cost: float) -> DataFrame:

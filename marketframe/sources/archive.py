@@ -72,7 +72,8 @@ BLOCK = 1 << 16
 def recover(content: bytes):
     """(line_no, line, damage, at) of a file of gzip members: whole members give their lines, damaged ones what comes before the damage.
 
-    tail: the last member lacks its end; torn: a member stops where another begins; corrupt: a member's data are wrong; junk: bytes between members."""
+    tail: the last member lacks its end; torn: a member stops where another begins; corrupt: a member's data are wrong; junk: bytes between members.
+    The line_no of a damage is the number of lines saved up to it."""
     if not content.startswith(MAGIC) and MAGIC not in content:
         for i, line in enumerate(content.decode("utf-8", "replace").splitlines()):
             yield i, line, None, None
@@ -82,7 +83,7 @@ def recover(content: bytes):
         if content[at : at + 3] != MAGIC:
             nxt = content.find(MAGIC, at)
             end = nxt if nxt >= 0 else len(content)
-            found.append(("junk", at))
+            found.append(("junk", at, number))
             at = end
             continue
         text, ended, error = _member(view, at)
@@ -102,10 +103,10 @@ def recover(content: bytes):
                 yield number, line, None, None
                 number += 1
         if error:
-            found.append((error, at))
+            found.append((error, at, number))
         at += step
-    for kind, where in found:
-        yield None, None, kind, where
+    for kind, where, before in found:
+        yield before, None, kind, where
 
 
 def _member(view: memoryview, at: int) -> tuple[bytes, int | None, str | None]:
@@ -150,11 +151,14 @@ def events(lines: DataFrame) -> DataFrame:
 
 
 def audit(torn: DataFrame) -> DataFrame:
-    """Per file: records saved, damages by kind, where the first damage is, verdict."""
+    """Per file: records saved, damages by kind, where the first damage is, verdict; strict: the records of a reader that stops at the first damage;
+    recovered: those beyond it."""
     per = torn.groupBy("path").agg(
         F.count("line").alias("records"), F.count_if(F.col("damage") == "tail").alias("tail"), F.count_if(F.col("damage") == "torn").alias("torn"),
         F.count_if(F.col("damage") == "corrupt").alias("corrupt"), F.count_if(F.col("damage") == "junk").alias("junk"), F.min("at").alias("first_damage"),
+        F.coalesce(F.min_by("line_no", F.when(F.col("damage").isNotNull(), F.col("at"))), F.count("line")).alias("strict"),
     )
+    per = per.withColumn("recovered", F.col("records") - F.col("strict"))
     inner = F.col("torn") + F.col("corrupt") + F.col("junk")
     return per.withColumn("verdict", F.when(inner > 0, "damaged").when(F.col("tail") > 0, "tail only").otherwise("clean"))
 
@@ -168,3 +172,8 @@ def write_archive(events_: DataFrame, root: str) -> None:
 def rejected_rows(rows: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
     """Rows that aren't written yet: an append that can be repeated."""
     return rows.join(existing.select(*key).distinct(), key, "left_anti")
+
+
+def audit_totals(audits: DataFrame) -> DataFrame:
+    """verdict, files, records, recovered, short (files of which a strict reader gives fewer records) of all files."""
+    return audits.groupBy("verdict").agg(F.count(F.lit(1)).alias("files"), F.sum("records").alias("records"), F.sum("recovered").alias("recovered"), F.count_if(F.col("recovered") > 0).alias("short"))

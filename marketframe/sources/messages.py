@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = "array<array<string>>"
@@ -94,14 +94,15 @@ def token_changes(events: DataFrame, yes_token: str = "yes_token") -> DataFrame:
     return out.select(*events.columns, F.when(own == bid, "bid").otherwise("ask").alias("side"), F.bround(F.when(own, price).otherwise(1 - price), 4).alias("price"), F.bround(F.col("_c.size").try_cast("double"), 6).alias("size")).where("price is not null and size is not null")
 
 
-def account_positions(states: DataFrame) -> DataFrame:
-    """One row a position of account states (user, t, m): coin, size, entry_px, liquidation_px (null unless finite and above 0), position_value, leverage; empty positions go."""
+def account_positions(states: DataFrame, *more: str) -> DataFrame:
+    """One row a position of account states (user, t, m): coin, size, entry_px, liquidation_px (null unless finite and above 0), position_value, leverage; empty positions go.
+    ``more`` columns of the states come along."""
     leg = "struct<position:struct<coin:string,szi:string,entryPx:string,liquidationPx:string,positionValue:string,leverage:struct<type:string,value:double>>>"
     out = states.withColumn("_p", F.explode(F.from_json(F.get_json_object("m", "$.assetPositions"), f"array<{leg}>"))).withColumn("_p", F.col("_p.position"))
     liq = F.col("_p.liquidationPx").try_cast("double")
     return out.select(
         "user", F.col("t").alias("observed_ms"), "_p.coin", F.col("_p.szi").try_cast("double").alias("size"), F.col("_p.entryPx").try_cast("double").alias("entry_px"),
-        F.when((liq > 0) & (liq < float("inf")), liq).alias("liquidation_px"), F.col("_p.positionValue").try_cast("double").alias("position_value"), F.col("_p.leverage.value").alias("leverage"),
+        F.when((liq > 0) & (liq < float("inf")), liq).alias("liquidation_px"), F.col("_p.positionValue").try_cast("double").alias("position_value"), F.col("_p.leverage.value").alias("leverage"), *more,
     ).where("size is not null and size <> 0")
 
 
@@ -111,6 +112,25 @@ def latest_positions(states: DataFrame) -> DataFrame:
     return account_positions(newest)
 
 
+def position_history(states: DataFrame) -> DataFrame:
+    """Spans of positions: user, coin, size, opened_ms, confirmed_ms, closed_ms, states.
+
+    A position holds from a full state of its account to the next one; states with the same size in a row are one span.  An ``unchanged``
+    marker (m null) confirms the full state before it, and markers before any full state say nothing.  A coin that the next full state lacks is
+    closed then, one of another size is closed and opened anew; closed_ms is null for what the latest state still holds."""
+    order = Window.partitionBy("user").orderBy("t", F.col("m").isNull())
+    numbered = states.select("user", "t", "m", F.count("m").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_k")).where("_k > 0")
+    full = numbered.groupBy("user", "_k").agg(F.min("t").alias("t"), F.max("m").alias("m"), F.max("t").alias("_seen"))
+    known = full.withColumn("_next", F.lead("t").over(Window.partitionBy("user").orderBy("_k")))
+    held = account_positions(known, "_k", "_next", "_seen").select("user", "coin", "size", "observed_ms", "_k", "_next", "_seen")
+    coin = Window.partitionBy("user", "coin").orderBy("_k")
+    goes_on = (F.lag("_k").over(coin) == F.col("_k") - 1) & (F.lag("size").over(coin) == F.col("size"))
+    spans = held.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("_span", F.sum("_new").over(coin.rowsBetween(Window.unboundedPreceding, 0)))
+    return spans.groupBy("user", "coin", "_span").agg(
+        F.max("size").alias("size"), F.min("observed_ms").alias("opened_ms"), F.max("_seen").alias("confirmed_ms"), F.max_by("_next", "_k").alias("closed_ms"), F.count(F.lit(1)).alias("states")
+    ).drop("_span")
+
+
 def liquidation_prints(events: DataFrame) -> DataFrame:
     """kind (data, control or unrouted) and symbol of venue-wide liquidation messages of two venues."""
     one, topic = F.get_json_object("m", "$.e"), F.get_json_object("m", "$.topic")

@@ -5,6 +5,8 @@ Prices of the NO outcome are mirrored to YES (1 - p, side flipped) wherever rows
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,3 +155,14 @@ def notional(price: str = "price", size: str = "size") -> Column:
 def yes_delta(side: str = "side", outcome: str = "outcome", size: str = "size") -> Column:
     """The signed YES contracts that an order or fill adds: buying YES and selling NO add, the others take."""
     return F.when((F.col(side) == "buy") == (F.col(outcome) == "yes"), F.col(size)).otherwise(-F.col(size))
+
+
+#: The fields of a live print that tell it from another.
+PRINT_KEY = ("transaction_hash", "asset_id", "price", "size", "side", "timestamp")
+
+
+def distinct_prints(rows: DataFrame, order: Sequence[str] = ("t", "n")) -> DataFrame:
+    """Live prints (JSON in m) once each, with ``copies``: the earliest of those that agree in all fields of PRINT_KEY, whatever else they hold.
+    Rows that lack a field agree in it.  An aggregate and no window, so a key with very many copies is merged before it is sent."""
+    keyed = rows.groupBy(*[_get(k).alias(f"_{k}") for k in PRINT_KEY]).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row"), F.count(F.lit(1)).alias("copies"))
+    return keyed.select("_row.*", "copies")

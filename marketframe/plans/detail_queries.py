@@ -20,6 +20,11 @@ FACTORS, SEEDS = ("carry_7", "mom_7", "rev_3", "lowvol_30"), 50
 KEY = ["instrument", "channel"]
 
 
+def _r(df: DataFrame, digits: int) -> DataFrame:
+    """Rounded off the halves, where engines differ."""
+    return df.select(*[F.round(F.col(c) + 3e-7, digits).alias(c) if df.schema[c].dataType.typeName() == "double" else F.col(c) for c in df.columns])
+
+
 def _lags(spark: SparkSession, d: str) -> DataFrame:
     """Messages of four connections; the event's type is the channel, and every 17th message has no stamp."""
     r = event_queries._raw(spark, d).withColumn("channel", F.substring_index("m", ":", 1)).withColumn("stamp", F.when(F.col("n") % 17 != 0, F.col("stamp")))
@@ -33,12 +38,12 @@ def _hours(spark: SparkSession, d: str) -> DataFrame:
 
 def lag_report(spark: SparkSession, d: str) -> DataFrame:
     """How late messages are, by connection, channel, day and hour."""
-    return panel_queries._r(_hours(spark, d), digits=4)
+    return _r(_hours(spark, d), 4)
 
 
 def lag_days(spark: SparkSession, d: str) -> DataFrame:
     """Days combined from their hours."""
-    return panel_queries._r(lags.combined(_hours(spark, d), [*KEY, "day"]), digits=4)
+    return _r(lags.combined(_hours(spark, d), [*KEY, "day"]), 4)
 
 
 def lag_seconds(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +64,7 @@ def factor_risk_weights(spark: SparkSession, d: str) -> DataFrame:
     booked = saved(_risked(spark, d))
     plain = B.weigh(booked, B.raw_weights(booked)).select("date_idx", "symbol", "side", "cluster", F.col("weight").alias("by_risk"))
     shared = B.weigh(booked, B.raw_weights(booked, "risk", "cluster")).select("date_idx", "symbol", F.col("weight").alias("by_cluster"))
-    return panel_queries._r(plain.where("side <> 0").join(shared, ["date_idx", "symbol"]), digits=6)
+    return _r(plain.where("side <> 0").join(shared, ["date_idx", "symbol"]), 5)
 
 
 def factor_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +78,7 @@ def factor_verdicts(spark: SparkSession, d: str) -> DataFrame:
     judged = saved(B.net_price_leg(B.share_beaten(saved(real), controls, ["factor"]), panel_queries.COST))
     clear = B.verdict(judged).select("factor", F.lit(1).alias("_clears"))
     out = judged.join(clear, "factor", "left").withColumn("clears", F.coalesce("_clears", F.lit(0)))
-    return out.select("factor", "n", *[F.round(F.col(c) + 3e-7, 4).alias(c) for c in ("mean", "low", "high", "net_price", "beaten")], "clears")
+    return _r(out.select("factor", "n", "mean", "low", "high", "net_price", "beaten", "clears"), 4)
 
 
 def position_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -92,8 +97,8 @@ def leverage_limits(spark: SparkSession, d: str) -> DataFrame:
     modelled = prices.liquidation_price(side, F.col("entry_px"), F.abs("size"), F.lit(5.0), mmr, F.lit(0.0), F.lit(6.0))
     near = F.col("liquidation_px") * (0.2 + (F.col("user") % 5) / 5)
     reported = F.when(F.col("user") % 3 == 0, modelled * (1 + (F.col("user") % 7 - 3) / 250)).otherwise(near)
-    out = p.select("user", F.round(prices.safe_leverage(side, buffer, mmr), 6).alias("leverage"), prices.against_reported(modelled, reported).alias("c"))
-    return out.select("user", "leverage", F.col("c.ok").cast("int").alias("ok"), F.round("c.error", 6).alias("error"), "c.reason")
+    out = p.select("user", F.round(prices.safe_leverage(side, buffer, mmr), 5).alias("leverage"), prices.against_reported(modelled, reported).alias("c"))
+    return out.select("user", "leverage", F.col("c.ok").cast("int").alias("ok"), F.round("c.error", 5).alias("error"), "c.reason")
 
 
 def sampled_touch(spark: SparkSession, d: str) -> DataFrame:
@@ -116,6 +121,10 @@ def print_copies(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("instrument").agg(F.count(F.lit(1)).alias("prints"), F.sum(F.col("copies") - 1).alias("dropped"), F.sum("size").alias("size"), F.sum("t").alias("t_sum"))
 
 
+def _near(names: str, digits: int = 4) -> str:
+    return ", ".join(f"round({c} + 3e-7, {digits}) {c}" for c in names.split())
+
+
 _P = panel_queries
 _LAGS = f"""{event_queries._RAW}, ls as (select instrument, split_part(m, ':', 1) channel, n, t, case when n % 17 <> 0 then stamp end stamp from raw),
 lf as (select *, max(stamp) over (partition by instrument order by t, n rows unbounded preceding) freshest from ls),
@@ -135,15 +144,15 @@ shf as (select t0.*, s0.score from t0 join s0 using (factor, seed, date_idx, nth
 cm as (select factor, seed, avg(net) m from runc group by 1, 2), rl as (select factor, count(*) n, avg(net) mean, avg(net) - 1.96 * stddev_samp(net) / sqrt(count(*)) low, avg(net) + 1.96 * stddev_samp(net) / sqrt(count(*)) high, avg(price) - avg(turnover) * 10 / 2 net_price from run group by 1),
 bt as (select factor, avg((m < mean)::int) beaten from cm join rl using (factor) group by 1)"""
 ORACLES = {
-    "lag_report": f"with {_HOURS} select instrument, channel, day, hour, n, most, least, {_P._rounded(_QS, 4)} from ho",
-    "lag_days": f"with {_HOURS}, co as (select instrument, channel, day, sum(n)::bigint n, max(most) most, min(least) least, {', '.join(f'sum({q} * n) / sum(n) {q}' for q in _QS.split())} from ho group by 1, 2, 3) select instrument, channel, day, n, most, least, {_P._rounded(_QS, 4)} from co",
+    "lag_report": f"with {_HOURS} select instrument, channel, day, hour, n, most, least, {_near(_QS)} from ho",
+    "lag_days": f"with {_HOURS}, co as (select instrument, channel, day, sum(n)::bigint n, max(most) most, min(least) least, {', '.join(f'sum({q} * n) / sum(n) {q}' for q in _QS.split())} from ho group by 1, 2, 3) select instrument, channel, day, n, most, least, {_near(_QS)} from co",
     "lag_seconds": f"with {_LAGS} select instrument, t // 1000 as second, count(*) messages, max(lag) most from la group by 1, 2",
     "factor_risk_weights": f"""with recursive {limit_queries.CLUSTER_SQL}, {_ALL.partition(_P._RET + ',')[2]}, lg as (select *, {_P._lag('carry_7', 1)} score, -lowvol_30 risk, {_LEGS} from el),
 sc as (select symbol, date_idx, score, eligible and coalesce(risk > 0, false) eligible, risk, ln(exit_close / close) * 10000 + funding_leg ret from lg where {_ENTRY}),{_P._book_sql('sc', '0.2::double', '')},
 w0 as (select wg.*, coalesce(c.cluster, symbol) cl from wg left join clusters_ c on c.node = wg.symbol and c.year + 1 = wg.date_idx // 52),
 w1 as (select *, 1 / risk a, 1 / risk / count(*) over (partition by date_idx, side, cl) b from w0 where side <> 0)
-select date_idx, symbol, side, cl as cluster, round(side * a / sum(a) over (partition by date_idx, side), 6) by_risk, round(side * b / sum(b) over (partition by date_idx, side), 6) by_cluster from w1""",
-    "factor_verdicts": f"""with {_VERDICT} select factor, n, {', '.join(f'round({c} + 3e-7, 4) {c}' for c in 'mean low high net_price beaten'.split())}, (low > 0 and beaten >= 0.95)::int clears from rl join bt using (factor)""",
+select date_idx, symbol, side, cl as cluster, round(side * a / sum(a) over (partition by date_idx, side) + 3e-7, 5) by_risk, round(side * b / sum(b) over (partition by date_idx, side) + 3e-7, 5) by_cluster from w1""",
+    "factor_verdicts": f"""with {_VERDICT} select factor, n, {_near('mean low high net_price beaten')}, (low > 0 and beaten >= 0.95)::int clears from rl join bt using (factor)""",
     "position_spans": f"""with {views.CONTRACT_SQL}, st as (select market_id "user", opens_ms + row_id % {DAY} t, row_id % 3 = 0 marker, signal // 20 a, signal // 50 - 1 b from contracts),
 nu as (select *, count(*) filter (not marker) over (partition by "user" order by t rows unbounded preceding) k from st),
 fu as (select "user", k, min(t) t, max(t) seen, max(case when not marker then a end) a, max(case when not marker then b end) b from nu where k > 0 group by 1, 2), nx as (select *, lead(t) over (partition by "user" order by k) nxt from fu),
@@ -154,7 +163,7 @@ select "user", coin, max(size)::double size, min(t) opened_ms, max(seen) confirm
     "leverage_limits": f"""with {views.POSITION_SQL}, q as (select *, size >= 0 lng, 0.005::double + ("user" % 4) / 200.0::double mmr, ("user" % 14 - 1) / 12.0::double buf from positions),
 m as (select *, case when lng then least(entry_px, entry_px * 0.8::double / (1 - mmr) * (1 + 6.0::double / 10000)) else greatest(entry_px, entry_px * 1.2::double / (1 + mmr) * (1 - 6.0::double / 10000)) end est, case when lng then 1 - (1 - buf) * (1 - mmr) else (1 + buf) * (1 + mmr) - 1 end room from q),
 r as (select *, case when "user" % 3 = 0 then est * (1 + ("user" % 7 - 3) / 250.0::double) else liquidation_px * (0.2::double + ("user" % 5) / 5.0::double) end rep from m), e as (select *, case when est is not null and rep > 0 then abs(est - rep) / rep end err from r)
-select "user", round(case when buf > 0 and buf < 1 and room > 0 then 1 / room else 0 end, 6) leverage, coalesce(err <= 0.01::double, false)::int ok, round(err, 6) error, case when err is null then 'missing or invalid' when err > 0.01::double then 'disagrees with the venue' else '' end reason from e""",
+select "user", round(case when buf > 0 and buf < 1 and room > 0 then 1 / room else 0 end, 5) leverage, coalesce(err <= 0.01::double, false)::int ok, round(err, 5) error, case when err is null then 'missing or invalid' when err > 0.01::double then 'disagrees with the venue' else '' end reason from e""",
     "sampled_touch": f"""with recursive {views.BOOK_SQL}, tc as (select * replace (case when n % 5 = 0 then bid - 1 else ask end as ask) from touch), k as (select instrument, n, ts_ms, bid, ask from tc qualify row_number() over (partition by instrument order by ts_ms, n) = 1
 union all select x.instrument, x.n, x.ts_ms, x.bid, x.ask from (select k.instrument, min((t.ts_ms, t.n, t.bid, t.ask)) b from k join tc t on t.instrument = k.instrument and t.ts_ms >= k.ts_ms + {HOUR} group by k.instrument) y, lateral (select y.instrument, y.b[1] ts_ms, y.b[2] n, y.b[3] bid, y.b[4] ask) x)
 select instrument, n, ts_ms, bid, ask, (bid >= ask)::int crossed from k""",

@@ -3,16 +3,18 @@ leverage, of sampled books and of prints that came twice, and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.functions import prices
 from marketframe.operators import lags, timeseries
-from marketframe.operators.saved import saved
-from marketframe.plans import event_queries, limit_queries, panel_queries
+from marketframe.operators.saved import saved, shared_folder
+from marketframe.plans import event_queries, limit_queries, limits, panel_queries
 from marketframe.plans import panel as P
 from marketframe.plans import portfolio as B
-from marketframe.sources import messages, venues, views
+from marketframe.sources import archive, messages, venues, views
 
 HOUR, DAY = 3_600_000, 86_400_000
 LATE_MS = 5000
@@ -121,6 +123,55 @@ def print_copies(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("instrument").agg(F.count(F.lit(1)).alias("prints"), F.sum(F.col("copies") - 1).alias("dropped"), F.sum("size").alias("size"), F.sum("t").alias("t_sum"))
 
 
+ROW = "market_id long, row_id long, opens_ms long, entry long, resolved_yes boolean"
+
+
+def appended_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled rows kept as JSON lines: those of even signals are there when all, twice over, are appended; then that is done again."""
+    folder = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    rows = views.contracts(spark, d).select("market_id", "row_id", "opens_ms", "entry", "resolved_yes", "signal")
+    for batch in (rows.where("signal % 2 = 0"), rows.union(rows), rows):
+        archive.append_rows(batch, folder, ROW, ["market_id", "row_id"])
+    back = archive.read_rows(spark, folder, ROW)
+    return back.groupBy("market_id").agg(F.count(F.lit(1)).alias("n"), F.sum("row_id").alias("ids"), F.sum("entry").alias("entry"), F.count_if("resolved_yes").alias("yes"), F.max("opens_ms").alias("newest"))
+
+
+def batched_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of one or of three messages, some without a tag: messages and bytes of each tag and place."""
+    e = views.table(spark, d, "events")
+    one = lambda k: F.concat(F.lit('{"px":1.5,"k":'), (F.col("event_id") + k).cast("string"), F.when(F.col("event_id") % 9 != k, F.concat(F.lit(',"event_type":"'), F.col("event_type"), F.lit(f'_{k}"'))).otherwise(""), F.lit("}"))
+    m = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit(" ["), F.concat_ws(", ", one(0), one(1), one(2)), F.lit("]"))).otherwise(one(0))
+    f = messages.single_frames(e.select("user_id", m.alias("m")))
+    return f.groupBy("nth", messages.event_type(F.col("m")).alias("tag")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("m")).alias("bytes"))
+
+
+def _tilt(panel: DataFrame) -> DataFrame:
+    """Funding paid for each of a symbol's trades."""
+    return panel.select("date_idx", "symbol", (F.col("funding_bps") / F.col("trades")).alias("value"))
+
+
+def _fade(rows: DataFrame) -> Column:
+    """NO where YES is dear against the signal, at a cent below its price, resting when the signal is even."""
+    dear = F.col("entry") - F.col("signal") >= 40
+    return F.when(dear, F.struct(F.lit("no").alias("outcome"), (99 - F.col("entry")).alias("price"), F.col("size"), F.when(F.col("signal") % 2 == 0, "maker").otherwise("taker").alias("role")))
+
+
+P.register_factor("tilt", _tilt)
+limits.register_decision("fade", _fade)
+
+
+def registered_factor(spark: SparkSession, d: str) -> DataFrame:
+    """A user's factor through the same books and weights as the built-in ones."""
+    panel = P.universe(P.external_factor(P.usable(views.daily_bars(spark, d)), "tilt"), panel_queries.HISTORY, panel_queries.VOLUME)
+    runs = B.periods(B.weigh(B.books(B.score_rows(panel, "tilt", panel_queries.HOLD, 1, panel_queries.START), panel_queries.FRAC)), panel_queries.HOLD, panel_queries.COST)
+    return _r(runs.select("date_idx", "n", "gross", "turnover", "net"), 4)
+
+
+def registered_decision(spark: SparkSession, d: str) -> DataFrame:
+    made = limits.decided(views.contracts(spark, d).select("row_id", "entry", "signal", F.col("size").alias("size")), "fade")
+    return made.select("row_id", "outcome", "price", "role")
+
+
 def _near(names: str, digits: int = 4) -> str:
     return ", ".join(f"round({c} + 3e-7, {digits}) {c}" for c in names.split())
 
@@ -169,5 +220,12 @@ union all select x.instrument, x.n, x.ts_ms, x.bid, x.ask from (select k.instrum
 select instrument, n, ts_ms, bid, ask, (bid >= ask)::int crossed from k""",
     "print_copies": f"""with {views.TAPE_SQL}, pr as (select instrument, n, ts_ms t, size from tape union all select instrument, n, ts_ms + 5000, case when n % 40 = 0 then size + 1 else size end from tape where n % 20 = 0),
 di as (select instrument, n, size, min(t) t, count(*) c from pr group by 1, 2, 3) select instrument, count(*) prints, sum(c - 1)::bigint dropped, sum(size)::bigint size, sum(t)::bigint t_sum from di group by 1""",
+    "appended_rows": f"with {views.CONTRACT_SQL} select market_id, count(*) n, sum(row_id)::bigint ids, sum(entry)::bigint entry, count(*) filter (resolved_yes) yes, max(opens_ms) newest from contracts group by 1",
+    "batched_frames": """with f as (select event_id + k id, event_id, k, event_type || '_' || k tag from events, range(0, 3) r(k) where k = 0 or event_id % 4 = 0),
+g as (select k, case when event_id % 9 <> k then tag else 'unknown' end tag, '{"px":1.5,"k":' || id || case when event_id % 9 <> k then ',"event_type":"' || tag || '"' else '' end || '}' m from f)
+select k::int nth, tag, count(*) n, sum(strlen(m))::bigint as bytes from g group by 1, 2""",
+    "registered_factor": f"""with {_P._USABLE},{_P._RUN.format(src='u')}, lg as (select *, max(f / trades) over (partition by symbol order by date_idx range between 1 preceding and 1 preceding) score, {_LEGS} from el),
+sc as (select symbol, date_idx, score, eligible, ln(exit_close / close) * 10000 price_leg, funding_leg, ln(exit_close / close) * 10000 + funding_leg ret from lg where {_ENTRY}),{_P._book_sql('sc', '0.2::double', '')},{_P._period_sql(4, '')} select date_idx, n, {_near('gross turnover net')} from run""",
+    "registered_decision": f"with {views.CONTRACT_SQL} select row_id, 'no' outcome, 99 - entry price, case when signal % 2 = 0 then 'maker' else 'taker' end as role from contracts where entry - signal >= 40",
 }
-QUERIES = [lag_report, lag_days, lag_seconds, factor_risk_weights, factor_verdicts, position_spans, leverage_limits, sampled_touch, print_copies]
+QUERIES = [lag_report, lag_days, lag_seconds, factor_risk_weights, factor_verdicts, position_spans, leverage_limits, sampled_touch, print_copies, appended_rows, batched_frames, registered_factor, registered_decision]

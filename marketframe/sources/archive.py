@@ -12,6 +12,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,3 +178,20 @@ def rejected_rows(rows: DataFrame, existing: DataFrame, key: list[str]) -> DataF
 def audit_totals(audits: DataFrame) -> DataFrame:
     """verdict, files, records, recovered, short (files of which a strict reader gives fewer records) of all files."""
     return audits.groupBy("verdict").agg(F.count(F.lit(1)).alias("files"), F.sum("records").alias("records"), F.sum("recovered").alias("recovered"), F.count_if(F.col("recovered") > 0).alias("short"))
+
+
+def read_rows(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """Rows of JSON lines under ``root`` in one schema; none where nothing has been written yet."""
+    try:
+        return spark.read.schema(schema).json(root)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def append_rows(rows: DataFrame, root: str, schema: str, key: list[str]) -> None:
+    """Adds those of ``rows`` whose key isn't under ``root`` yet, one of each key, as JSON lines.  An append that is repeated, or begun again
+    after it failed, adds nothing twice: its files show up together when the job commits.  One writer at a time."""
+    new = rejected_rows(rows, read_rows(rows.sparkSession, root, schema), key).dropDuplicates(key)
+    new.select(*rows.sparkSession.createDataFrame([], schema).columns).write.mode("append").json(root)

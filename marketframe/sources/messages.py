@@ -140,8 +140,17 @@ def liquidation_prints(events: DataFrame) -> DataFrame:
 
 
 def event_type(frame: Column) -> Column:
-    """The frame's tag, read without parsing it."""
-    return F.regexp_extract(frame, r'"event_type"\s*:\s*"([a-z_]+)"', 1)
+    """The frame's tag, read without parsing it; "unknown" where there is none."""
+    tag = F.regexp_extract(frame, r'"event_type"\s*:\s*"([A-Za-z0-9_]+)"', 1)
+    return F.when(tag != "", tag).otherwise("unknown")
+
+
+def single_frames(frames: DataFrame, frame: str = "m") -> DataFrame:
+    """``frames`` with a row for each message of a batch (a JSON array), written anew without spaces; nth is its place in the batch.
+    A frame that is one message, or an array that can't be read, stays as it came; an empty batch has no row."""
+    batch = F.when(F.substring(F.ltrim(frame), 1, 1) == "[", F.from_json(F.col(frame), "array<string>"))
+    others = [c for c in frames.columns if c != frame]
+    return frames.select(*others, F.posexplode(F.coalesce(batch, F.array(F.col(frame)))).alias("nth", frame))
 
 
 def accounts_seen(trades: DataFrame) -> DataFrame:

@@ -151,3 +151,38 @@ def test_controls_of_several_factors_are_those_of_each(spark, scored):
     real = spark.createDataFrame([("a", 2.0), ("b", 0.0), ("c", 1.0)], "factor string, mean double")
     controls = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 3.0), ("b", 1, 1.0)], "factor string, seed int, mean double")
     assert {(r.factor, r.beaten) for r in B.share_beaten(real, controls, ["factor"]).collect()} == {("a", 0.5), ("b", 0.0), ("c", None)}
+
+
+def test_appends_that_are_repeated(spark, tmp_path):
+    schema, root = "market_id long, offset_s int, p double", str(tmp_path / "rows")
+    assert archive.read_rows(spark, root, schema).collect() == []
+    rows = spark.createDataFrame([(1, 5, 0.1, "x"), (1, 6, 0.2, "y"), (1, 6, 0.2, "y")], "market_id long, offset_s int, p double, extra string")
+    for _ in range(2):
+        archive.append_rows(rows, root, schema, ["market_id", "offset_s"])
+    archive.append_rows(spark.createDataFrame([(1, 6, 9.0), (2, 6, None)], schema), root, schema, ["market_id", "offset_s"])
+    assert {tuple(r) for r in archive.read_rows(spark, root, schema).collect()} == {(1, 5, 0.1), (1, 6, 0.2), (2, 6, None)}
+    assert archive.read_rows(spark, root, schema).count() == 3
+
+
+def test_messages_of_batches_come_one_by_one(spark):
+    rows = [(1, '[{"a": 1.10,  "event_type":"book"},{"b":[1, 2]}]'), (2, '{"event_type" : "Trade2"}'), (3, "[]"), (4, "[broken"), (5, None)]
+    got = messages.single_frames(spark.createDataFrame(rows, "t int, m string")).withColumn("tag", messages.event_type(F.col("m"))).collect()
+    assert [(r.t, r.nth, r.m, r.tag) for r in sorted(got, key=lambda r: (r.t, r.nth))] == [
+        (1, 0, '{"a":1.1,"event_type":"book"}', "book"), (1, 1, '{"b":[1,2]}', "unknown"), (2, 0, '{"event_type" : "Trade2"}', "Trade2"), (4, 0, "[broken", "unknown"), (5, 0, None, "unknown"),
+    ]
+
+
+def test_temporary_tables_go_with_their_block(spark):
+    from pathlib import Path
+
+    from marketframe.operators.saved import saved, shared_folder, temporary
+
+    tables = lambda: {p.name for p in Path(shared_folder(spark).removeprefix("file:")).glob("table-*")}
+    before = tables()
+    with pytest.raises(ValueError), temporary(spark):
+        saved(spark.range(3))
+        with temporary(spark):
+            assert saved(spark.range(5)).count() == 5 and len(tables() - before) == 2
+        assert len(tables() - before) == 1
+        raise ValueError
+    assert tables() == before

@@ -1,7 +1,10 @@
 """Streams give what the same code gives on the whole table."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from marketframe import catalog
 from marketframe.streaming import feeds, live
 
 
@@ -107,3 +110,19 @@ def test_throughput_listener(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert [c["rows"] for c in listener.counts.values()] == [400] and all(c["batches"] >= 1 and c["dropped"] == 0 for c in listener.counts.values())
+
+
+@pytest.mark.parametrize("name", ["stream_book", "stream_features"])
+def test_times_round_as_in_sql(spark, tmp_path, name):
+    """Microseconds of 400, 500 and 600, before and after 1970, every column compared to the last digit."""
+    stamps = [
+        ("1969-12-31 23:00:00.000400", "signup"), ("1969-12-31 23:30:00.000500", "view"), ("1969-12-31 23:45:00.000600", "view"), ("1970-01-01 00:00:00.000600", "signup"),
+        ("1970-01-01 05:00:00.000500", "view"), ("1970-01-01 06:00:00.000400", "view"), ("1970-01-01 11:00:00.000499", "view"), ("1970-01-01 17:00:00.000500", "view"),
+    ]
+    rows = ", ".join(f"({n}, timestamp '{at}', 4, '{kind}', {n}::double, '{{\"k\": {n}}}')" for n, (at, kind) in enumerate(stamps))
+    duck = duckdb.connect()
+    duck.execute(f"create table events as select * from (values {rows}) v(event_id, ts, user_id, event_type, value, props)")
+    duck.execute(f"copy (select * replace (event_id::bigint as event_id, user_id::bigint as user_id) from events) to '{tmp_path}/events.parquet'")
+    got = catalog.queries()[name](spark, str(tmp_path)).toPandas()
+    want = duck.execute(catalog.oracle_sql()[name]).df()[list(got.columns)]
+    assert len(got) == len(stamps) and sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))

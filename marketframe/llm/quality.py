@@ -97,6 +97,11 @@ def with_neighbours(own: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.hstack([own, prev, after])
 
 
+def line_scores(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Each line's features by the weights, added in one order: a matrix product's last digit depends on the lines beside it."""
+    return (x * weights).sum(1)
+
+
 def marginals(unary: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward over all documents at once, line by line: each line's probability of being
     good, and the expected transitions (2 x 2, summed).  unary: the score of good against bad."""
@@ -107,17 +112,18 @@ def marginals(unary: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[
     live = np.searchsorted(-sizes, -np.arange(1, longest + 1), "right")
     e = np.exp(np.clip(np.stack([-unary / 2, unary / 2], 1), -30, 30))
     m = np.exp(trans)
+    after = lambda a, m: a[:, :1] * m[0] + a[:, 1:] * m[1]  # noqa: E731  a @ m, the same wherever a line stands
     alpha = np.empty_like(e)
     beta = np.ones_like(e)
     for t in range(longest):
         i = starts[: live[t]] + t
-        a = e[i] if t == 0 else (alpha[i - 1] @ m) * e[i]
+        a = e[i] if t == 0 else after(alpha[i - 1], m) * e[i]
         alpha[i] = a / a.sum(1, keepdims=True)
     pairs = np.zeros((2, 2))
     for t in range(longest - 1, 0, -1):
         i = starts[: live[t]] + t
         eb = e[i] * beta[i]
-        b = eb @ m.T
+        b = after(eb, m.T)
         joint = alpha[i - 1][:, :, None] * m[None] * eb[:, None, :]
         pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
         beta[i - 1] = b / b.sum(1, keepdims=True)
@@ -136,7 +142,7 @@ class LineModel:
 
     def means(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         own, lengths, first = line_features(data, offsets)
-        p, _ = marginals(with_neighbours(own, first) @ self.weights, first, self.trans)
+        p, _ = marginals(line_scores(with_neighbours(own, first), self.weights), first, self.trans)
         weight = lengths + 1.0
         return np.add.reduceat(p * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
 

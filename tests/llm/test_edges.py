@@ -31,6 +31,20 @@ def test_scores_on_odd_rows(spark, operator):
     assert all(0 <= r[0] <= 1 for r in docs.select(operator.score(nothing, F.col("text"))).collect())
 
 
+def test_quality_is_the_same_in_any_batch():
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(0)
+    model = quality.LineModel(r.normal(size=3 * quality.N_OWN), r.normal(size=(2, 2)), 5.0, -2.0)
+    texts = ["\n".join(sentence(r, int(r.integers(1, 40)), 300).replace("x ", ["! ", "x, ", "X "][i % 3]) for _ in range(int(r.integers(1, 9)))).encode() for i in range(300)]
+    alone = [model.scores(pa.array([t], pa.binary()))[0] for t in texts]
+    for size in (1, 7, 100, 300):
+        order = r.permutation(len(texts))
+        got = np.concatenate([model.scores(pa.array([texts[i] for i in order[a : a + size]], pa.binary())) for a in range(0, len(texts), size)])
+        assert got.tolist() == [alone[i] for i in order]
+
+
 def test_long_pages_and_clashing_columns(spark):
     model = html_extract.train()
     body = "".join(f"<p>Paragraph number {i} of a long article about the sea and its many ships.</p>" for i in range(5000))

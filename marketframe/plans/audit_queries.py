@@ -46,7 +46,7 @@ def contract_audit(spark: SparkSession, d: str) -> DataFrame:
 def perp_gates(spark: SparkSession, d: str) -> DataFrame:
     """Orders of perpetuals against all gates, with the account's state when each was placed."""
     fills = _fills(spark, d, 1.0)
-    state = A.open_orders(A.account_state(_orders(fills), fills), ["account", "market_id"])
+    state = A.order_state(_orders(fills), fills)
     n = F.col("order_id")
     asked = state.withColumns({
         "price": F.when(n % 97 == 0, 0.0).otherwise(F.col("price")), "size": F.when(n % 89 == 0, 0.0).otherwise(F.col("size")), "leverage": (n % 10).cast("double"), "spread_bps": (n % 20).cast("double"), "edge_bps": (n % 31).cast("double"),

@@ -7,12 +7,15 @@ reduce_only takes a short path that checks the claim and little else.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.functions.prices import liquidation_distance, liquidation_price
 from marketframe.operators.costs import running_cost
-from marketframe.operators.running import DAY, running
+from marketframe.operators.running import DAY, running, walked
 from marketframe.operators.saved import saved
 from marketframe.operators.timeseries import asof_join
 
@@ -36,24 +39,119 @@ def open_orders(orders: DataFrame, by: list[str], name: str = "open_orders") ->
     return _before(orders, running(sums, by, "ts_ms", ["ts_ms"], {name: ("sum", F.col("step"))}), by, [name])
 
 
-def account_state(orders: DataFrame, fills: DataFrame, payout: float | None = None) -> DataFrame:
-    """``orders`` (account, market_id, order_id, ts_ms...) with what the fills (account, market_id, ts_ms, n, side, price, size, fee) before them made: held and
-    cost (a unit's average) of the market, at_risk (what open positions have cost) and today (results of the order's UTC day) of the
-    account, and losses: closing fills in a row that lost more than a billionth.  With a ``payout``, a unit sold short costs that less its price."""
-    key = ["account", "market_id"]
-    made = saved(running_cost(fills, key))
-    out = _before(orders, made.select(*key, "ts_ms", "n", F.col("held_after").alias("held"), F.col("cost_after").alias("cost")), key, ["held", "cost"])
+#: Rows of a market from which its time is cut into buckets; one of fewer is walked in one go.
+LONG = 1_000_000
+#: Parts of the markets that are walked one after another, so that no more than a part's rows are moved at a time.
+PARTS = 4
+#: Rows of account states that may be sent to all tasks, and of an account's day among them; more of them meet the orders by as-of joins.
+STATES, OF_A_DAY = 200_000, 64
+KEY = ["account", "market_id"]
+
+
+def _ledger() -> Callable[..., tuple]:
+    """A market's machine: what it holds, its average cost and open orders.  An order (kind 0) sees what was before its time, a fill (2) all that came before it; 1 ends an order."""
+    at, h, a, n, before = None, 0.0, 0.0, 0.0, (0.0, 0.0, 0.0)
+
+    def step(ts: int, kind: int, q: float, price: float) -> tuple:
+        nonlocal at, h, a, n, before
+        if ts != at:
+            at, before = ts, (h, a, n)
+        if kind < 2:
+            n += 1 if kind == 0 else -1
+            return (*before, None, None)
+        held, cost = h, a
+        h = held + q
+        if held == 0 or (held > 0) == (q > 0):
+            a = (cost * abs(held) + price * abs(q)) / max(abs(h), 1e-12)
+        elif h == 0:
+            a = 0.0
+        elif abs(q) > abs(held):
+            a = price
+        return held, cost, None, h, a
+
+    return step
+
+
+def _moves(payout: float | None) -> dict[str, Column]:
+    """What a fill with held, cost, held_after and cost_after adds to what open positions have cost, and whether it closes."""
     paid = lambda h, c: F.abs(h) * (F.col(c) if payout is None else F.when(F.col(h) >= 0, F.col(c)).otherwise(payout - F.col(c)))
-    risk = paid("held_after", "cost_after") - paid("held", "cost_before")
-    mine = made.select("account", "ts_ms", "n", "gain", risk.alias("_risk"), ((F.signum("held") != 0) & (F.abs("held_after") < F.abs("held")) | (F.signum("held") * F.signum("held_after") < 0)).alias("_closes"))
-    mine = mine.withColumn("_day", F.floor(F.col("ts_ms") / DAY))
-    total = running(mine, ["account"], "ts_ms", ["ts_ms", "n"], {"at_risk": ("sum", F.col("_risk")), "_closed": ("sum", F.col("_closes").cast("double"))})
-    # closing fills so far, less those up to the last one that didn't lose
-    total = running(total, ["account"], "ts_ms", ["ts_ms", "n"], {"_good": ("max", F.when(F.col("_closes") & (F.col("gain") >= -1e-9), F.col("_closed")))})
-    total = total.withColumn("losses", F.col("_closed") - F.coalesce("_good", F.lit(0.0)))
-    out = _before(out, total, ["account"], ["at_risk", "losses"])
-    days = running(mine, ["account", "_day"], "ts_ms", ["ts_ms", "n"], {"today": ("sum", F.col("gain"))})
-    return _before(out.withColumn("_day", F.floor(F.col("ts_ms") / DAY)), days, ["account", "_day"], ["today"]).drop("_day")
+    closes = (F.signum("held") != 0) & (F.abs("held_after") < F.abs("held")) | (F.signum("held") * F.signum("held_after") < 0)
+    return {"_risk": paid("held_after", "cost_after") - paid("held", "cost"), "_closes": closes}
+
+
+def _walked(orders: DataFrame, fills: DataFrame, payout: float | None) -> DataFrame:
+    """Orders (_kind 0) with held, cost and open_orders, and the account, ts_ms, _n, _gain, _risk and _closes of fills (2)."""
+    own = [c for c in orders.columns if c not in (*KEY, "ts_ms")]
+    none = [F.lit(None).cast(orders.schema[c].dataType).alias(c) for c in own]
+    blank = [F.lit(None).cast(k).alias(c) for c, k in (("_n", "long"), ("_q", "double"), ("_p", "double"), ("_fee", "double"))]
+    q = F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size")).cast("double")
+    known = fills.where(" and ".join(f"{c} is not null" for c in (*KEY, "ts_ms")))
+    events = orders.select(*KEY, "ts_ms", F.lit(0).alias("_kind"), *blank, *own)
+    events = events.union(orders.where("done_ms is not null").select(*KEY, "done_ms", F.lit(1), *blank, *none))
+    events = events.union(known.select(*KEY, "ts_ms", F.lit(2), F.col("n").cast("long"), q, F.col("price").cast("double"), F.coalesce(F.col("fee").cast("double"), F.lit(0.0)), *none))
+    state = dict.fromkeys(("held", "cost", "open_orders", "held_after", "cost_after"), "double")
+    made = walked(events, KEY, ["ts_ms", "_n"], ["ts_ms", "_kind", "_q", "_p"], _ledger, state).where("_kind <> 1")
+    adds = (F.col("held") == 0) | (F.signum("held") == F.signum("_q"))
+    gain = F.when(adds, 0.0).otherwise((F.col("_p") - F.col("cost")) * F.least(F.abs("held"), F.abs("_q")) * F.signum("held")) - F.col("_fee")
+    fill = F.col("_kind") == 2
+    made = made.withColumns({c: F.when(fill, x) for c, x in {"_gain": gain, **_moves(payout)}.items()})
+    return made.withColumns({c: F.when(~fill, F.col(c)) for c in ("market_id", "held", "cost", "open_orders")}).drop("_q", "_p", "_fee", "held_after", "cost_after")
+
+
+def _cut(orders: DataFrame, fills: DataFrame, payout: float | None) -> DataFrame:
+    """``_walked`` for markets with very many rows, by scans over buckets of time."""
+    made = saved(running_cost(fills, KEY).withColumn("cost", F.col("cost_before")).withColumns(_moves(payout)))
+    seen = _before(orders, made.select(*KEY, "ts_ms", "n", F.col("held_after").alias("held"), F.col("cost_after").alias("cost")), KEY, ["held", "cost"])
+    told = made.select("account", "ts_ms", F.lit(2).alias("_kind"), F.col("n").cast("long").alias("_n"), F.col("gain").alias("_gain"), "_risk", "_closes")
+    return open_orders(seen, KEY).withColumn("_kind", F.lit(0)).unionByName(told, allowMissingColumns=True)
+
+
+def order_state(orders: DataFrame, fills: DataFrame, payout: float | None = None, losses: bool = True, long: int = LONG, states: int = STATES) -> DataFrame:
+    """``orders`` (account, market_id, order_id, ts_ms, done_ms: when filled, cancelled or expired, null while open...) with what was before each: held, cost (a
+    unit's average) and open_orders of the market, and of the account at_risk (what open positions have cost), today (results of the order's UTC day) and losses:
+    closing fills in a row that lost more than a billionth.  ``fills``: account, market_id, ts_ms, n, side, price, size, fee.  With a ``payout``, a unit sold short
+    costs that less its price.
+
+    Markets are walked in parts; an account's state is summed by time, a table of a row for each time that has fills."""
+    rows = fills.select(*KEY).union(orders.select(*KEY)).groupBy(*KEY).agg(F.count(F.lit(1)).alias("_rows"))
+    busy = saved(rows.where(F.col("_rows") > long).select(*KEY))
+    part = F.pmod(F.xxhash64(*KEY), F.lit(PARTS))
+    some = not busy.isEmpty()
+    calm = lambda df: df.join(F.broadcast(busy), KEY, "left_anti") if some else df  # noqa: E731 - few, as each has many rows
+    tables = [saved(_walked(calm(orders).where(part == i), calm(fills).where(part == i), payout)) for i in range(PARTS)]
+    if some:
+        tables.append(saved(_cut(orders.join(F.broadcast(busy), KEY, "left_semi"), fills.join(F.broadcast(busy), KEY, "left_semi"), payout)))
+    made = functools.reduce(lambda a, b: a.unionByName(b), tables)
+    asked, moves = made.where("_kind = 0").select(*orders.columns, "held", "cost", "open_orders"), made.where("_kind = 2")
+    times = ["account", "ts_ms"]
+    good = F.col("_closes") & (F.col("_gain") >= -1e-9)
+    steps = moves.groupBy(*times).agg(F.sum("_risk").alias("_risk"), F.sum("_gain").alias("_gain"), F.count_if("_closes").alias("_closed"), F.max(F.when(good, F.col("_n"))).alias("_good"))
+    if losses:  # closing fills after the last one of this time that didn't lose
+        after = moves.where(F.col("_closes") & (F.col("_gain") < -1e-9)).join(steps.where("_good is not null").select(*times, "_good"), times).where("_n > _good")
+        steps = steps.join(after.groupBy(*times).agg(F.count(F.lit(1)).alias("_after")), times, "left")
+    steps = saved(steps.withColumn("_day", F.floor(F.col("ts_ms") / DAY)))
+    total = running(steps, ["account"], "ts_ms", ["ts_ms"], {"at_risk": ("sum", F.col("_risk")), "_all": ("sum", F.col("_closed"))})
+    total = running(total, ["account", "_day"], "ts_ms", ["ts_ms"], {"today": ("sum", F.col("_gain"))})
+    if losses:
+        total = running(total, ["account"], "ts_ms", ["ts_ms"], {"_base": ("max", F.when(F.col("_good").isNotNull(), F.col("_all") - F.coalesce("_after", F.lit(0))))})
+        total = total.withColumn("losses", (F.col("_all") - F.coalesce("_base", F.lit(0))).cast("double"))
+    names = ["at_risk", "today", *["losses"] * losses]
+    total = saved(total.select(*times, "_day", *names))
+    # a state holds until the account's next one, the last until the last order
+    end = asked.agg(F.max("ts_ms").alias("t")).first()["t"]
+    until = F.coalesce(F.lead("ts_ms").over(Window.partitionBy("account").orderBy("ts_ms")), F.greatest(F.lit(end), F.col("ts_ms")))
+    size = total.groupBy("account", "_day").agg(F.count(F.lit(1)).alias("k"), F.min("ts_ms").alias("ts_ms")).agg(F.max("k").alias("most"), F.sum("k").alias("all"), F.countDistinct("account").alias("accounts"), F.max("ts_ms").alias("newest"), F.min("ts_ms").alias("oldest")).first()
+    days = (max(size["newest"], end or 0) - size["oldest"]) // DAY + 1 if size["all"] else 0
+    if size["all"] and (size["most"] > OF_A_DAY or size["all"] + size["accounts"] * days > states):
+        plain = lambda *of: total.select("account", "_day", "ts_ms", F.lit(0).alias("n"), *of)
+        out = _before(asked, plain(*[c for c in names if c != "today"]), ["account"], [c for c in names if c != "today"])
+        return _before(out.withColumn("_day", F.floor(F.col("ts_ms") / DAY)), plain("today"), ["account", "_day"], ["today"]).drop("_day")
+    spans = total.withColumnRenamed("ts_ms", "_from").withColumn("ts_ms", F.col("_from")).withColumn("_until", until)
+    spans = spans.select(F.col("account").alias("_account"), "_from", "_until", F.explode(F.sequence("_day", F.floor(F.col("_until") / DAY))).alias("_on"), F.col("_day").alias("_of"), *[F.col(c).alias(f"_{c}") for c in names])
+    day = F.floor(F.col("ts_ms") / DAY)
+    met = asked.join(F.broadcast(spans), (F.col("account") == F.col("_account")) & (day == F.col("_on")) & (F.col("ts_ms") > F.col("_from")) & (F.col("ts_ms") <= F.col("_until")), "left")
+    values = {c: F.coalesce(F.when(F.col("_of") == day, F.col("_today")) if c == "today" else F.col(f"_{c}"), F.lit(0.0)) for c in names}
+    return met.select(*asked.columns, *[x.alias(c) for c, x in values.items()])
 
 
 def contract_order_audit(orders: DataFrame, fills: DataFrame, limits: dict[str, float]) -> DataFrame:
@@ -61,7 +159,7 @@ def contract_order_audit(orders: DataFrame, fills: DataFrame, limits: dict[str,
     the account's state and ``reasons``.
 
     ``limits``: window_s (no new risk so close to the resolution), daily_loss, contracts (a market), notional (open), orders (a market)."""
-    state = open_orders(account_state(orders, fills, 1.0), ["account", "market_id"])
+    state = order_state(orders, fills, 1.0, losses=False)
     signed = F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size"))
     held, price, size = F.col("held"), F.col("price"), F.col("size")
     reduces = (held != 0) & (F.signum(held) != F.signum(signed))

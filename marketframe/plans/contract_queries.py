@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketframe.functions import fees, prices
+from marketframe.operators.saved import saved
 from marketframe.plans import contracts as C
 from marketframe.sources import views
 
@@ -16,6 +17,7 @@ def _trades(spark: SparkSession, d: str) -> DataFrame:
     p = (F.col("entry") / 100).cast("decimal(9,6)")
     fee = fees.curve_fee(F.lit("0.07").cast("decimal(9,6)"), p, F.lit(1), F.lit(False)).cast("double")
     decided = rows.withColumn("decision", C.taker_decision(F.col("signal") / 100, F.col("bid") / 100, F.col("entry") / 100, fee, 0.03)).where("decision is not null")
+    decided = decided.select("market_id", "row_id", "opens_ms", "resolves_ms", "resolved_yes", "decision", "size", "fee_tier")
     free = C.without_overlap(decided, ["market_id"], "opens_ms", "resolves_ms", "row_id")
     priced = free.select("market_id", "row_id", "opens_ms", "resolves_ms", "resolved_yes", "decision.outcome", F.bround("decision.price", 6).cast("decimal(9,6)").alias("price"), "size", F.lit("alpha").alias("venue"), F.col("fee_tier").alias("tier"), F.lit("taker").alias("role"))
     return fees.with_fee(priced, fees.curves(spark)).withColumn("fee", F.col("fee").cast("double")).withColumn("price", F.col("price").cast("double"))
@@ -31,7 +33,7 @@ def contract_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contract_controls(spark: SparkSession, d: str) -> DataFrame:
-    t = _trades(spark, d)
+    t = saved(_trades(spark, d))
     real = C.results(t).agg(F.sum("net").alias("real"))
     c = C.label_controls(t, 200).agg(F.avg("net").alias("mean"), F.collect_list("net").alias("all"))
     return real.join(F.broadcast(c)).select(F.round("real", 4).alias("real"), F.round("mean", 4).alias("mean"), F.when(F.size("all") > 0, F.round(F.size(F.filter("all", lambda x: F.round(x, 6) < F.round("real", 6))) / F.size("all"), 4)).alias("percentile"))

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
+import functools
+import itertools
+from collections.abc import Callable, Iterator, Sequence
+from hashlib import md5
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.operators.costs import running_cost
 from marketframe.operators.running import running, walked
+from marketframe.operators.saved import saved
 from marketframe.operators.timeseries import asof_join, interval_join, prefix_total
-from marketframe.plans.portfolio import draw
 
 #: Sources that show a spot price and so can't settle a contract.
 SPOT_SOURCES = ("binance", "coinbase", "kraken", "spot")
@@ -42,14 +48,17 @@ def maker_decision(fair: Column, bid: Column, ask: Column, least: float | str, t
     )
 
 
-def without_overlap(decisions: DataFrame, by: Sequence[str], opens: str, resolves: str, tie: str) -> DataFrame:
+#: Rows of a market from which its stretches are found by scans over buckets of time; one of fewer is walked in one go.
+LONG = 1_000_000
+
+
+def without_overlap(decisions: DataFrame, by: Sequence[str], opens: str, resolves: str, tie: str, long: int = LONG) -> DataFrame:
     """Greedy choice of a market's decisions: one is skipped while an earlier one runs.
-    A decision that opens when all earlier ones have resolved is taken whatever went before, so a market falls into
-    stretches between such decisions (found by scans over buckets of time); each stretch is walked by itself."""
+    A decision that opens when all earlier ones have resolved is taken whatever went before, so a market with very many falls into
+    stretches between such decisions (found by scans over buckets of time); each stretch, or market, is walked by itself."""
     by, order = list(by), [opens, tie]
-    ended = running(decisions, by, opens, order, {"_ended": ("max", F.col(resolves))}, before=True)
-    new = F.coalesce(F.col(opens) >= F.col("_ended"), F.lit(True)).cast("long")
-    cut = running(ended.withColumn("_new", new), by, opens, order, {"_stretch": ("sum", F.col("_new"))}).drop("_ended", "_new")
+    known = decisions.where(" and ".join(f"{c} is not null" for c in (*by, opens)))
+    busy = saved(known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > long).select(*by))
 
     def walk() -> Callable[[float, float], tuple[bool]]:
         busy = None
@@ -62,7 +71,14 @@ def without_overlap(decisions: DataFrame, by: Sequence[str], opens: str, resolve
 
         return step
 
-    return walked(cut, [*by, "_stretch"], order, [opens, resolves], walk, {"_taken": "boolean"}).where("_taken").select(*decisions.columns)
+    taken = lambda df, keys: walked(df, keys, order, [opens, resolves], walk, {"_taken": "boolean"}).where("_taken").select(*decisions.columns)
+    if busy.isEmpty():
+        return taken(known, by)
+    crowded = known.join(F.broadcast(busy), by, "left_semi")  # few keys, as each has many rows
+    ended = running(crowded, by, opens, order, {"_ended": ("max", F.col(resolves))}, before=True)
+    new = F.coalesce(F.col(opens) >= F.col("_ended"), F.lit(True)).cast("long")
+    cut = running(ended.withColumn("_new", new), by, opens, order, {"_stretch": ("sum", F.col("_new"))}).drop("_ended", "_new")
+    return taken(known.join(F.broadcast(busy), by, "left_anti"), by).union(taken(cut, [*by, "_stretch"]))
 
 
 def results(trades: DataFrame) -> DataFrame:
@@ -72,17 +88,93 @@ def results(trades: DataFrame) -> DataFrame:
     return trades.withColumn("won", won).withColumn("gross", gross).withColumn("net", gross - F.col("fee"))
 
 
-def label_controls(trades: DataFrame, seeds: int) -> DataFrame:
-    """seed, net: the result when labels are dealt anew over all trades.  Labels are numbered in one random order a seed and trades in
-    another: trades by range parts, once, and a seed's labels by the first digits of their draw, with what lies before counted."""
-    placed = prefix_total(trades, ["row_id"], F.lit(1).cast("long"), "nth").withColumn("nth", F.col("nth") + 1)
-    every = F.explode(F.sequence(F.lit(1), F.lit(seeds)))
-    drawn = trades.select("row_id", "resolved_yes", every.alias("seed")).withColumn("_draw", draw("seed", "row_id")).withColumn("_part", F.substring("_draw", 1, 2))
-    counts = drawn.groupBy("seed", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.partitionBy("seed").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # 256 rows a seed
-    nth = F.row_number().over(Window.partitionBy("seed", "_part").orderBy("_draw", "row_id")) + F.col("_start")
-    dealt = drawn.join(starts, ["seed", "_part"]).select("seed", "resolved_yes", nth.cast("long").alias("nth"))
-    return results(placed.drop("resolved_yes").join(dealt, "nth")).groupBy("seed").agg(F.sum("net").alias("net"))
+#: Draws that are sorted at a time, rows that a task draws for at a time, and places that are joined at a time.
+DRAWS, DRAWN, PLACES = 1 << 25, 1 << 16, 1 << 16
+DEALT = "seed long, part long, n long, yes binary, known binary, tied boolean"
+
+
+def drawn_pieces(ids: list[bytes], labels: np.ndarray, seed: int, bits: int, wide: bool, digest: Callable[[bytes], Any] = md5) -> Iterator[pa.RecordBatch]:
+    """The draws (64 bits of them, or all 128) and labels of rows under a seed, a row for each part, which a draw's first ``bits`` name."""
+    head = f"{seed}|".encode()
+    drawn = np.frombuffer(b"".join([digest(head + x).digest() for x in ids]), ">u8").reshape(-1, 2)[:, : 2 if wide else 1].astype(np.uint64)
+    part = (drawn[:, 0] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(ids), np.int64)
+    order = np.argsort(part, kind="stable")
+    found, first = np.unique(part[order], return_index=True)
+    cuts = [order[i:j] for i, j in itertools.pairwise([*first, len(order)])]
+    yield pa.RecordBatch.from_pydict({"seed": pa.array([seed] * len(found), pa.int64()), "part": pa.array(found), "draws": pa.array([drawn[c].tobytes() for c in cuts], pa.binary()), "labels": pa.array([labels[c].tobytes() for c in cuts], pa.binary())})
+
+
+def sorted_labels(seed: int, part: int, draws: list[bytes], labels: list[bytes], wide: bool) -> dict[str, Any]:
+    """A row of DEALT: the labels of a part's pieces in order of their draws."""
+    drawn = np.frombuffer(b"".join(draws), np.uint64).reshape(-1, 2 if wide else 1)
+    order = np.lexsort(drawn.T[::-1])
+    drawn, label = drawn[order], np.frombuffer(b"".join(labels), np.uint8)[order]
+    tied = bool(((drawn[1:] == drawn[:-1]).all(1) & (label[1:] != label[:-1])).any())
+    known = None if (label < 2).all() else np.packbits(label < 2).tobytes()
+    return {"seed": seed, "part": part, "n": len(label), "yes": np.packbits(label == 1).tobytes(), "known": known, "tied": tied}
+
+
+def _dealt(trades: DataFrame, seeds: Sequence[int], bits: int, wide: bool) -> DataFrame:
+    """The labels of ``trades`` (row_id, label: 1, 0 or 2 for none) in the order of each seed's draws, by parts of the draw's first ``bits``, packed into bits.
+    Only a draw's first 64 bits are moved; ``tied`` tells of different labels with the same, which ``wide`` (all 128) tells apart."""
+    def draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, labels = [], []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                ids += [str(x).encode() for x in batch.column("row_id").to_pylist()]
+                labels.append(batch.column("label").to_numpy(zero_copy_only=False).astype(np.uint8))
+            if ids and (batch is None or len(ids) >= DRAWN):
+                for seed in seeds:
+                    yield from drawn_pieces(ids, np.concatenate(labels), seed, bits, wide)
+                ids, labels = [], []
+
+    def sort(key: tuple, table: pa.Table) -> pa.Table:
+        row = sorted_labels(key[0].as_py(), key[1].as_py(), table.column("draws").to_pylist(), table.column("labels").to_pylist(), wide)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.bool_())
+        return pa.table({c: pa.array([x], k) for (c, x), k in zip(row.items(), kinds, strict=True)})
+
+    drawn = trades.select("row_id", "label").mapInArrow(draws, "seed long, part long, draws binary, labels binary")
+    return drawn.groupBy("seed", "part").applyInArrow(sort, DEALT)
+
+
+def label_controls(trades: DataFrame, seeds: int, wide: bool = False) -> DataFrame:
+    """seed, net: the result when labels are dealt anew over all trades.  Labels are put in one random order a seed and trades in
+    another: trades by range parts, once, and labels by the first digits of their draw.  Seeds take turns, so that only some draws are on disk
+    at a time; what is kept of a seed is a bit for each trade."""
+    rows = trades.withColumn("label", F.when(F.col("resolved_yes"), 1).when(~F.col("resolved_yes"), 0).otherwise(2))
+    for name, label in (("_yes", True), ("_no", False), ("_none", None)):  # a trade's net under each label
+        rows = results(rows.withColumn("resolved_yes", F.lit(label).cast("boolean"))).withColumnRenamed("net", name)
+    placed = saved(prefix_total(rows.select("row_id", "label", "_yes", "_no", "_none"), ["row_id"], F.lit(1).cast("long"), "nth"))
+    total = placed.count()
+    if not total:
+        return trades.sparkSession.createDataFrame([], "seed int, net double")
+    bits, each = (total // PLACES).bit_length(), max(1, DRAWS // total)
+    turns = [range(first, min(first + each, seeds + 1)) for first in range(1, seeds + 1, each)]
+    dealt = functools.reduce(DataFrame.union, [saved(_dealt(placed, turn, bits, wide)) for turn in turns])
+    tied = [] if wide else [r.seed for r in dealt.where("tied").select("seed").distinct().collect()]
+    if tied:
+        dealt = dealt.where(~F.col("seed").isin(tied)).union(saved(_dealt(placed, tied, bits, True)))
+    start = F.coalesce(F.sum("n").over(Window.partitionBy("seed").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a part
+    spans = F.explode(F.sequence(F.floor(F.col("start") / PLACES), F.floor((F.col("start") + F.col("n") - 1) / PLACES)))
+    pieces = dealt.withColumn("start", start).select("seed", "start", "n", "yes", "known", spans.alias("block"))
+
+    def meet(key: tuple, rows: pa.Table, pieces: pa.Table) -> pa.Table:
+        base = key[0].as_py() * PLACES
+        yes, no, none = (np.zeros(PLACES) for _ in range(3))
+        for name, net in (("_yes", yes), ("_no", no), ("_none", none)):
+            net[rows.column("nth").to_numpy() - base] = rows.column(name).to_numpy()
+        seeds, nets = [], []
+        for p in pieces.to_pylist():
+            first, last = max(p["start"], base), min(p["start"] + p["n"], base + PLACES)
+            here, there = slice(first - base, last - base), slice(first - p["start"], last - p["start"])
+            bit = lambda of: np.unpackbits(np.frombuffer(of, np.uint8), count=p["n"])[there] == 1  # noqa: E731, B023
+            net = np.where(bit(p["yes"]), yes[here], no[here])
+            seeds.append(p["seed"])
+            nets.append(float((net if p["known"] is None else np.where(bit(p["known"]), net, none[here])).sum()))
+        return pa.table({"seed": pa.array(seeds, pa.int32()), "net": pa.array(nets, pa.float64())})
+
+    blocks = placed.select(F.floor(F.col("nth") / PLACES).alias("block"), "nth", "_yes", "_no", "_none").groupBy("block")
+    return saved(blocks.cogroup(pieces.groupBy("block")).applyInArrow(meet, "seed int, net double").groupBy("seed").agg(F.sum("net").alias("net")))
 
 
 def touch_at_offsets(touch: DataFrame, contracts: DataFrame, offsets_ms: Sequence[int], by: Sequence[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """What large tables need: shuffles that go, parts that agree, bounded pairs."""
 
 import random
+from hashlib import md5
 from pathlib import Path
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketframe.operators.saved import saved
 from marketframe.plans import audits
+from marketframe.plans import contracts as C
 
 DAY = 86_400_000
 
@@ -41,3 +43,50 @@ def test_order_state_however_markets_and_accounts_are_cut(spark, how):
         assert list(x) == pytest.approx(list(b[n]), abs=1e-9)
     for account, m, n, ts, _ in orders:
         assert a[n].held == sum(q if s == "buy" else -q for x, y, t, _, s, _, q, _ in fills if (x, y) == (account, m) and t < ts)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_label_controls_in_turns_and_parts(spark, monkeypatch, wide):
+    """Few draws a turn, many parts and blocks, and trades without a label: as all labels sorted at once."""
+    monkeypatch.setattr(C, "DRAWS", 700)
+    monkeypatch.setattr(C, "DRAWN", 64)
+    monkeypatch.setattr(C, "PLACES", 32)
+    r = random.Random(3)
+    rows = [(i * 7, r.choice(["YES", "NO"]), 0.4 + i % 5 / 10, 10, r.choice([True, False, False, None]), 0.01 * (i % 7)) for i in range(300)]
+    trades = spark.createDataFrame(rows, "row_id long, outcome string, price double, size int, resolved_yes boolean, fee double").repartition(3)
+    got = {x.seed: x.net for x in C.label_controls(trades, 5, wide).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5]
+    for seed, net in got.items():
+        dealt = [x[4] for x in sorted(rows, key=lambda x: md5(f"{seed}|{x[0]}".encode()).hexdigest())]
+        assert net == pytest.approx(sum((size if label is not None and (out == "YES") == label else 0) - price * size - fee for (_, out, price, size, _, fee), label in zip(rows, dealt, strict=True)), abs=1e-9)
+
+
+def test_draws_that_share_their_first_bits_are_told_apart():
+    """Digests whose first 64 bits are all the same: the rest decides, and a seed with such draws is dealt again by all of them."""
+    class Half:
+        def __init__(self, x):
+            self.x = x
+
+        def digest(self):
+            return b"\0" * 8 + md5(self.x).digest()[8:]
+
+    rows = [(i, i % 3 == 0, i % 3 != 0) for i in range(40)]
+    made = list(C.drawn_pieces([str(i).encode() for i, _, _ in rows], C.np.array([int(y) for _, y, _ in rows], C.np.uint8), 4, 0, True, Half))
+    narrow = list(C.drawn_pieces([str(i).encode() for i, _, _ in rows], C.np.array([int(y) for _, y, _ in rows], C.np.uint8), 4, 0, False, Half))
+    tied = [C.sorted_labels(4, 0, *([p.column(c)[0].as_py()] for c in ("draws", "labels")), wide) for (p,), wide in ((narrow, False), (made, True))]
+    assert [t["tied"] for t in tied] == [True, False]
+    want = [int(y) for i, y, _ in sorted(rows, key=lambda x: md5(f"4|{x[0]}".encode()).digest()[8:])]
+    assert C.np.unpackbits(C.np.frombuffer(tied[1]["yes"], C.np.uint8), count=40).tolist() == want
+
+
+def test_without_overlap_by_markets_and_by_stretches(spark):
+    r = random.Random(5)
+    rows = [("m0" if i % 2 else f"m{r.randint(1, 6)}", i, t := r.randint(0, 40) * DAY // 3, t + r.randint(1, 9) * DAY) for i in range(300)]
+    table = spark.createDataFrame(rows, "market_id string, row_id long, opens long, resolves long")
+    want, busy = set(), {}
+    for m, i, a, b in sorted(rows, key=lambda x: (x[2], x[1])):
+        if a >= busy.get(m, a):
+            want.add(i)
+            busy[m] = b
+    for long in (0, 100, 1000):
+        assert {x.row_id for x in C.without_overlap(table, ["market_id"], "opens", "resolves", "row_id", long).collect()} == want

@@ -100,14 +100,17 @@ def past_returns(events: DataFrame, touch: DataFrame, horizons_ms: Sequence[int]
 def realized_volatility(series: DataFrame, horizon_ms: int, name: str) -> DataFrame:
     """sqrt(sum of squared log returns from the window's second sample on, over its seconds); 0 with fewer than three samples.  ``series``: instrument, ts_ms, mid, one row a time."""
     w = Window.partitionBy(BY, "_bucket").orderBy("ts_ms")
-    frame = w.rangeBetween(-horizon_ms, 0)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     # the first row of a bucket has no row before it there: its return counts in no window, as it is the first of its own
     r2 = F.pow(F.log(F.col("mid") / F.lag("mid").over(w)), 2)
     s = haloed(series, horizon_ms).withColumn("_r2", F.coalesce(r2, F.lit(0.0)))
-    total = F.sum("_r2").over(frame) - F.first("_r2").over(frame)
-    seconds = (F.col("ts_ms") - F.first("ts_ms").over(frame)) / 1000
-    made = s.withColumn(name, F.when(F.count(F.lit(1)).over(frame) < 3, 0.0).otherwise(F.sqrt(F.greatest(total, F.lit(0.0)) / seconds) * BPS))
-    return made.where("_own").drop("_r2", "_bucket", "_own")
+    s = s.withColumn("_at", F.struct("ts_ms", F.row_number().over(w).alias("i"), F.sum("_r2").over(upto).alias("sum")))
+    # a window begins with the row after the last one before it: running values here less those there, so that no window is summed by itself
+    s = s.withColumn("_next", F.lead("_at").over(w))
+    s = s.withColumn("_first", F.coalesce(F.last("_next").over(w.rangeBetween(Window.unboundedPreceding, -horizon_ms - 1)), F.first("_at").over(upto)))
+    total, seconds = F.col("_at.sum") - F.col("_first.sum"), (F.col("ts_ms") - F.col("_first.ts_ms")) / 1000
+    made = s.withColumn(name, F.when(F.col("_at.i") - F.col("_first.i") < 2, 0.0).otherwise(F.sqrt(F.greatest(total, F.lit(0.0)) / seconds) * BPS))
+    return made.where("_own").drop("_r2", "_at", "_next", "_first", "_bucket", "_own")
 
 
 #: Samples that a task ranks at a time.

@@ -1,5 +1,7 @@
 """What large tables need: shuffles that go, parts that agree, bounded pairs."""
 
+import itertools
+import math
 import random
 from hashlib import md5
 from pathlib import Path
@@ -7,6 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from marketframe.operators import features
 from marketframe.operators.saved import saved
 from marketframe.plans import audits
 from marketframe.plans import contracts as C
@@ -90,3 +93,20 @@ def test_without_overlap_by_markets_and_by_stretches(spark):
             busy[m] = b
     for long in (0, 100, 1000):
         assert {x.row_id for x in C.without_overlap(table, ["market_id"], "opens", "resolves", "row_id", long).collect()} == want
+
+
+def test_volatility_sums_no_window_by_itself(spark):
+    """Frames that slide are summed anew for each row; running values aren't.  Same values as sums of each window."""
+    r = random.Random(9)
+    rows = sorted({(("A", "B")[r.random() < 0.3], r.randint(0, 3 * DAY // 1000) * 1000): 0 for _ in range(400)})
+    rows = [(k, t, 100 + r.random()) for k, t in rows]
+    h = DAY // 4
+    made = features.realized_volatility(spark.createDataFrame(rows, "instrument string, ts_ms long, mid double"), h, "rv")
+    assert "specifiedwindowframe(RangeFrame, -" not in made._jdf.queryExecution().toString()
+    got = {(x.instrument, x.ts_ms): x.rv for x in made.collect()}
+    assert len(got) == len(rows)
+    for k, t, _ in rows:
+        window = [(u, m) for i, u, m in rows if i == k and t - h <= u <= t]
+        squares = sum(math.log(b[1] / a[1]) ** 2 for a, b in itertools.pairwise(window))
+        want = 0.0 if len(window) < 3 else math.sqrt(squares / ((t - window[0][0]) / 1000)) * 1e4
+        assert got[k, t] == pytest.approx(want, abs=1e-6)

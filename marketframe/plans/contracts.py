@@ -226,32 +226,119 @@ def fill_bracket(orders: DataFrame, prints: DataFrame, touch: DataFrame, by: Seq
     return all_.select("order_id", best.alias("optimistic"), worst.alias("pessimistic"), cause.alias("cause"))
 
 
+def first_at_most(values: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A search for the first place from a start on whose value is a bound or less (the number of values if there is none), by minima of blocks of 2, 4, 8..."""
+    tree = [np.append(values, np.inf)]
+    while len(tree[-1]) > 1:
+        low = tree[-1] if len(tree[-1]) % 2 == 0 else np.append(tree[-1], np.inf)
+        tree.append(np.minimum(low[::2], low[1::2]))
+
+    def find(start: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        at, level = np.array(start, np.int64), np.full(len(start), -1)
+        for k, block in enumerate(tree):  # up: past whole blocks that have none
+            open_ = np.flatnonzero((level < 0) & (at < len(values)) & ((at >> k) % 2 == 1 if k + 1 < len(tree) else True))
+            hit = block[at[open_] >> k] <= bound[open_]
+            level[open_[hit]] = k
+            at[open_[~hit]] += 1 << k
+        for k in range(len(tree) - 1, 0, -1):  # down: to the first half that has one
+            here = np.flatnonzero(level == k)
+            right = tree[k - 1][at[here] >> (k - 1)] > bound[here]
+            at[here[right]] += 1 << (k - 1)
+            level[here] = k - 1
+        return np.where(level >= 0, at, len(values))
+
+    return find
+
+
+FILL = pa.schema([("bound", pa.string()), ("ts_ms", pa.int64()), ("n", pa.int64()), ("size", pa.float64()), ("cause", pa.string())])
+
+
+def _fills_of(table: pa.Table) -> pa.Table:
+    """``fill_rows`` of a bucket's orders (kind 2), prints (0) and touches (1)."""
+    kind = table.column("kind").to_numpy()
+    of = lambda k, *names: [table.column(c).take(pa.array(np.flatnonzero(kind == k))).to_numpy().astype(np.int64 if c in ("ts_ms", "n", "end_ms") else float) for c in names]
+    (pt, pn, pp, ps), (tt, tn, ask) = of(0, "ts_ms", "n", "price", "size"), of(1, "ts_ms", "n", "price")
+    ids = table.column("order_id").take(pa.array(np.flatnonzero(kind == 2)))
+    start, end, price, size, queue = of(2, "ts_ms", "end_ms", "price", "size", "queue")
+    price = np.where(np.isnan(price), -np.inf, price)
+    order = np.lexsort((np.repeat([0, 1], [len(pt), len(tt)]), np.append(pn, tn), np.append(pt, tt)))  # by time and number, a print first
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    p, t = np.argsort(rank[: len(pt)]), np.argsort(rank[len(pt) :])
+    prank, trank = rank[: len(pt)][p], rank[len(pt) :][t]
+    pt, pn, pp, ps, tt, tn, ask = pt[p], pn[p], pp[p], ps[p], tt[t], tn[t], ask[t]
+    cross = first_at_most(np.where(np.isnan(ask), np.inf, ask))(np.searchsorted(tt, start), price)
+    crossed = np.append(tt, np.iinfo(np.int64).max)[cross] < end
+    limit = np.searchsorted(pt, end)  # prints before the end, and up to the first cross
+    limit[crossed] = np.minimum(limit[crossed], np.searchsorted(prank, trank[cross[crossed]]))
+    plain = bool((ps >= 0).all())  # volumes only grow, so what is full stays so
+    find, out = first_at_most(np.where(np.isnan(pp), np.inf, pp)), []
+    told, most = {b: np.zeros(len(start)) for b in ("optimistic", "pessimistic")}, {b: np.zeros(len(start)) for b in ("optimistic", "pessimistic")}
+    volume, level, seen, beyond = np.zeros(len(start)), np.zeros(len(start)), np.zeros(len(start), bool), np.zeros(len(start), bool)
+
+    def tell(bound: str, o: np.ndarray, now: np.ndarray, ts: np.ndarray, n: np.ndarray | None, cause: np.ndarray) -> None:
+        more = now - told[bound][o]
+        told[bound][o], most[bound][o] = now, np.maximum(most[bound][o], now)
+        k = np.flatnonzero(more > 0)
+        out.append((o[k], [bound] * len(k), ts[k], n[k] if n is not None else None, more[k], cause[k]))
+
+    o, at = np.arange(len(start)), np.searchsorted(pt, start)
+    while len(o):
+        at = find(at, price[o])
+        going = at < limit[o]
+        o, at = o[going], at[going]
+        amount, known = np.nan_to_num(ps[at]), ~np.isnan(ps[at])
+        volume[o] += amount
+        seen[o] |= known
+        level[o] += np.where(pp[at] == price[o], amount, 0.0)
+        below = pp[at] < price[o]
+        beyond[o] |= below
+        tell("optimistic", o, np.where(seen[o], np.minimum(size[o], volume[o]), size[o]), pt[at], pn[at], np.full(len(o), "print"))
+        tell("pessimistic", o, np.where(beyond[o], size[o], np.minimum(size[o], np.maximum(0.0, level[o] - queue[o]))), pt[at], pn[at], np.where(below, "cleared", "print"))
+        going = ~(plain & (told["optimistic"][o] >= size[o]) & (told["pessimistic"][o] >= size[o]))
+        o, at = o[going], at[going] + 1
+    o = np.flatnonzero(crossed)
+    for bound in told:
+        tell(bound, o, size[o], tt[cross[o]], tn[cross[o]], np.full(len(o), "crossed"))
+    for bound in told:
+        o = np.flatnonzero(size - most[bound] > 0)
+        out.append((o, [bound] * len(o), end[o], None, (size - most[bound])[o], np.full(len(o), "expired")))
+    made = [pa.Table.from_arrays([ids.take(pa.array(o)), pa.array(bound, pa.string()), pa.array(ts, pa.int64()), pa.nulls(len(o), pa.int64()) if n is None else pa.array(n, pa.int64()), pa.array(more, pa.float64()), pa.array(cause.tolist(), pa.string())], ["order_id", *FILL.names]) for o, bound, ts, n, more, cause in out]
+    return pa.concat_tables(made)
+
+
 def fill_rows(orders: DataFrame, prints: DataFrame, touch: DataFrame, by: Sequence[str], bucket: int) -> DataFrame:
     """The fills of resting bids (by..., order_id, price, size, queue, start_ms, end_ms) one by one: order_id, bound, ts_ms, n, size, cause.
 
     Bounds are those of ``fill_bracket``.  Causes: print, cleared (a print below the price; the pessimistic bound's), crossed (an ask at or
     below it), and a row ``expired`` at end_ms with what was left.  Events come in order of (ts_ms, n), a print before a touch.
-    What an order has got so far is a running sum, capped by its size, and all of it from the first cross on."""
+    What an order has got so far is a running sum, capped by its size, and all of it from the first cross on.
+
+    Orders lie in buckets of time by their start, with the events that they may see; those that live longer than ``bucket`` in wider ones.  Each
+    goes from one print that can fill it to the next and ends with its first cross or when it is full, so no pairs are made."""
     by = list(by)
-    sells = prints.where(~F.col("is_buy")).select(*by, "ts_ms", "n", F.col("price").alias("_price"), F.col("size").alias("_size"))
-    hits = interval_join(sells, orders, by, "ts_ms", "start_ms", "end_ms", bucket).where(F.col("_price") <= F.col("price"))
-    asks = interval_join(touch.where("ask is not null").select(*by, "ts_ms", "n", "ask"), orders, by, "ts_ms", "start_ms", "end_ms", bucket).where(F.col("ask") <= F.col("price"))
-    crosses = asks.groupBy("order_id", "price", "size", "queue").agg(F.min(F.struct("ts_ms", "n")).alias("at")).select("order_id", "price", "size", "queue", "at.ts_ms", "at.n", F.lit(1).alias("turn"), F.lit(None).cast("double").alias("_price"), F.lit(0.0).alias("_size"))
-    events = hits.select("order_id", "price", "size", "queue", "ts_ms", "n", F.lit(0).alias("turn"), F.col("_price").cast("double").alias("_price"), F.col("_size").cast("double").alias("_size")).union(crosses)
-    w = Window.partitionBy("order_id").orderBy("ts_ms", "n", "turn").rowsBetween(Window.unboundedPreceding, 0)
-    crossed, beyond = F.max("turn").over(w) == 1, F.max((F.col("_price") < F.col("price")).cast("int")).over(w) == 1
-    at_level = F.sum(F.when(F.col("_price") == F.col("price"), F.col("_size")).otherwise(0.0)).over(w)
-    size = F.col("size").cast("double")
-    best = F.when(crossed, size).otherwise(F.least(size, F.sum("_size").over(w)))
-    worst = F.when(crossed | F.coalesce(beyond, F.lit(False)), size).otherwise(F.least(size, F.greatest(F.lit(0.0), at_level - F.col("queue"))))
-    run = events.withColumn("optimistic", best).withColumn("pessimistic", worst)
-    got = run.select("order_id", "ts_ms", "n", "turn", (F.col("_price") < F.col("price")).alias("_beyond"), F.explode(F.array(*[F.struct(F.lit(b).alias("bound"), F.col(b).alias("so_far")) for b in ("optimistic", "pessimistic")])).alias("b")).select("*", "b.*")
-    before = F.lag("so_far", 1, 0.0).over(Window.partitionBy("order_id", "bound").orderBy("ts_ms", "n", "turn"))
-    cause = F.when(F.col("turn") == 1, "crossed").when((F.col("bound") == "pessimistic") & F.col("_beyond"), "cleared").otherwise("print")
-    fills = got.withColumn("size", F.col("so_far") - before).where("size > 0").select("order_id", "bound", "ts_ms", "n", "size", cause.alias("cause"))
-    ends = run.groupBy("order_id").agg(F.max("optimistic").alias("optimistic"), F.max("pessimistic").alias("pessimistic"))
-    left = orders.join(ends, "order_id", "left").select("order_id", "end_ms", F.explode(F.array(*[F.struct(F.lit(b).alias("bound"), (size - F.coalesce(b, F.lit(0.0))).alias("size")) for b in ("optimistic", "pessimistic")])).alias("b"))
-    return fills.union(left.where("b.size > 0").select("order_id", "b.bound", F.col("end_ms").alias("ts_ms"), F.lit(None).cast("long"), "b.size", F.lit("expired")))
+    span = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(1))
+    step = F.greatest(F.lit(0), F.ceil(F.log2(span / F.lit(bucket)))).cast("int")
+    timed = orders.where("size is not null and start_ms is not null and end_ms is not null").withColumn("_step", step)
+    steps = sorted(r["_step"] for r in timed.select("_step").distinct().collect())  # one for each doubling of the longest life
+    reach = F.lit(bucket) * F.pow(F.lit(2), F.col("_step")).cast("long")
+    at = lambda t: F.floor(t / (8 * reach))
+    names = ["price", "size", "queue", "end_ms", "order_id"]
+    asked = timed.select(*by, "_step", at(F.col("start_ms")).alias("_bucket"), F.lit(2).alias("kind"), F.col("start_ms").alias("ts_ms"), F.lit(None).cast("long").alias("n"), *[F.col(c).cast("double") for c in names[:3]], *names[3:])
+
+    def events(df: DataFrame, kind: int, price: str, size: Column) -> DataFrame:
+        met = df.where(" and ".join(f"{c} is not null" for c in (*by, "ts_ms"))).withColumn("_step", F.explode(F.array(*[F.lit(k) for k in steps])))
+        met = met.withColumn("_bucket", F.explode(F.array_distinct(F.array(at(F.col("ts_ms") - reach), at(F.col("ts_ms"))))))
+        blank = [F.lit(None).cast(orders.schema[c].dataType).alias(c) for c in names[3:]]
+        return met.select(*by, "_step", "_bucket", F.lit(kind).alias("kind"), "ts_ms", F.col("n").cast("long"), F.col(price).cast("double").alias("price"), size.cast("double").alias("size"), F.lit(None).cast("double").alias("queue"), *blank)
+
+    id_kind = orders.schema["order_id"].dataType.simpleString()
+    untimed = orders.where("size > 0 and (start_ms is null or end_ms is null)").select("order_id", F.explode(F.array(F.lit("optimistic"), F.lit("pessimistic"))).alias("bound"), F.col("end_ms").alias("ts_ms"), F.lit(None).cast("long").alias("n"), F.col("size").cast("double").alias("size"), F.lit("expired").alias("cause"))
+    if not steps:
+        return untimed
+    all_ = asked.union(events(prints.where(~F.col("is_buy")), 0, "price", F.col("size"))).union(events(touch.where("ask is not null"), 1, "ask", F.lit(0.0)))
+    rows = all_.groupBy(*by, "_step", "_bucket").applyInArrow(_fills_of, f"order_id {id_kind}, bound string, ts_ms long, n long, size double, cause string")
+    return rows.union(untimed)
 
 
 def mirrored(orders: DataFrame, prints: DataFrame, touch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

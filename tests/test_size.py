@@ -110,3 +110,36 @@ def test_volatility_sums_no_window_by_itself(spark):
         squares = sum(math.log(b[1] / a[1]) ** 2 for a, b in itertools.pairwise(window))
         want = 0.0 if len(window) < 3 else math.sqrt(squares / ((t - window[0][0]) / 1000)) * 1e4
         assert got[k, t] == pytest.approx(want, abs=1e-6)
+
+
+def test_fill_rows_make_no_pairs(spark):
+    """Against brute force: prints without a size, orders that live for very different times, and no join of orders and events."""
+    r = random.Random(4)
+    n, h = 1500, 10_000
+    prints = [("A", r.randint(0, h), i, r.randint(90, 110), r.choice([0, 1, 2, None]), False) for i in range(n)]
+    touch = [("A", r.randint(0, h), n + i, r.randint(80, 95), r.randint(96, 115)) for i in range(n // 10)]
+    orders = [("A", i, float(r.randint(86, 97)), r.randint(1, 30), r.randint(0, 9), t := r.randint(0, h), t + r.choice([1, 40, 900, 9000])) for i in range(60)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema).repartition(3)
+    made = C.fill_rows(
+        frame(orders, "instrument string, order_id long, price double, size long, queue long, start_ms long, end_ms long"),
+        frame(prints, "instrument string, ts_ms long, n long, price long, size long, is_buy boolean"), frame(touch, "instrument string, ts_ms long, n long, bid long, ask long"), ["instrument"], 100,
+    )
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    want = set()
+    for _, oid, price, size, queue, start, end in orders:
+        seen = sorted([(t, k, 0, p, q) for _, t, k, p, q, _ in prints if start <= t < end and p <= price] + [(t, k, 1, a, 0) for _, t, k, _, a in touch if start <= t < end and a <= price])
+        for bound in ("optimistic", "pessimistic"):
+            last = best = level = 0
+            volume, done = None, False
+            for t, k, turn, p, q in seen:
+                volume = volume if turn or q is None else (volume or 0) + q
+                level += q or 0 if not turn and p == price else 0
+                done |= turn == 1 or bound == "pessimistic" and p < price
+                now = size if done or bound == "optimistic" and volume is None else min(size, volume if bound == "optimistic" else max(0, level - queue))
+                if now > last:
+                    want.add((oid, bound, t, k, float(now - last), "crossed" if turn else "cleared" if bound == "pessimistic" and p < price else "print"))
+                last, best = now, max(best, now)
+            if size > best:
+                want.add((oid, bound, end, None, float(size - best), "expired"))
+    got = [tuple(x) for x in made.collect()]
+    assert len(got) == len(want) and set(got) == want

@@ -24,9 +24,7 @@ def torn_archive(spark: SparkSession, d: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(folder).select("instrument", "content")
     less = F.expr("substring(content, 1, length(content) - 8)")  # the last eight bytes are a member's check and size
     torn = F.when(F.col("instrument") == "U1", less).when(F.col("instrument") == "U2", F.concat("content", less)).when(F.col("instrument") == "U3", F.concat("content", F.lit(b"junk"))).otherwise(F.col("content"))
-    archive.register_recovery(spark)
-    files.select("instrument", torn.alias("content")).createOrReplaceTempView("torn_files")
-    saved = spark.sql("select instrument, r.line, r.damage from torn_files, lateral recover_lines(content) r")
+    saved = archive.recovered(files.select("instrument", torn.alias("content")))
     read = archive.decode(saved.where("line is not null")).groupBy("instrument").agg(F.count_if("good").alias("lines"), F.sum("n").alias("n_sum"))
     return read.join(saved.groupBy("instrument").agg(F.concat_ws(",", F.sort_array(F.collect_list("damage"))).alias("damages")), "instrument")
 

@@ -40,16 +40,21 @@ def read_lines(spark: SparkSession, root: str, instrument: str | None = None, da
 
 def read_torn(spark: SparkSession, root: str, instrument: str | None = None, day: str | None = None, channel: str | None = None) -> DataFrame:
     """path, line_no, line, damage, at: every line that can be saved of damaged files, and a row for each damage (line null).  A file is a task's unit."""
-    files = spark.read.format("binaryFile").load(f"{root}/{_glob(instrument, day, channel)}").select("path", "content")
+    return recovered(spark.read.format("binaryFile").load(f"{root}/{_glob(instrument, day, channel)}").select("path", "content"))
+
+
+def recovered(files: DataFrame) -> DataFrame:
+    """line_no, line, damage, at of ``files`` (a string that names a file, and its content; none where that is null), some lines at a time: a task holds a file, not its lines."""
+    name = next(c for c in files.columns if c != "content")
 
     def lines(batches):
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                found = recover(content.as_py())
+            for path, content in zip(batch.column(name).to_pylist(), batch.column("content"), strict=True):
+                found = recover(content.as_py()) if content.is_valid else iter(())
                 while rows := list(itertools.islice(found, LINES)):
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64())))], ["path", "line_no", "line", "damage", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string(), pa.int64())))], [name, "line_no", "line", "damage", "at"])
 
-    return files.mapInArrow(lines, "path string, line_no long, line string, damage string, at long")
+    return files.mapInArrow(lines, f"{name} string, line_no long, line string, damage string, at long")
 
 
 @F.udtf(returnType="line_no: bigint, line: string, damage: string, at: bigint")
@@ -67,7 +72,7 @@ def register_recovery(spark: SparkSession) -> None:
 
 
 MAGIC = b"\x1f\x8b\x08"
-BLOCK = 1 << 16
+BLOCK, PIECE = 1 << 16, 1 << 18
 
 
 def recover(content: bytes):
@@ -87,22 +92,19 @@ def recover(content: bytes):
             found.append(("junk", at, number))
             at = end
             continue
-        text, ended, error = _member(view, at)
+        size, ended, error = _member(view, at)
         if error is None and ended is not None:
             step = ended - at
         else:
             nxt = content.find(MAGIC, at + 3)
             if nxt > 0:  # another member begins before this one ends
-                text, _, broken = _member(view[:nxt], at)
+                size, _, broken = _member(view[:nxt], at)
                 error, step = "corrupt" if broken else "torn", nxt - at
             else:
                 error, step = error or "tail", len(content) - at
-        lines = text.decode("utf-8", "replace").split("\n")
-        whole = lines if error is None and lines[-1] else lines[:-1]
-        for line in whole:
-            if line:
-                yield number, line, None, None
-                number += 1
+        for line in _lines(view[: at + step], at, size, error is None):
+            yield number, line, None, None
+            number += 1
         if error:
             found.append((error, at, number))
         at += step
@@ -110,26 +112,60 @@ def recover(content: bytes):
         yield before, None, kind, where
 
 
-def _member(view: memoryview, at: int) -> tuple[bytes, int | None, str | None]:
-    """What a gzip member holds, where it ends (None: it doesn't), and "corrupt" where its data are wrong.  Fed in blocks, so that each byte is read about once."""
-    reader, out, where = zlib.decompressobj(31), [], at
+def _data(view: memoryview, at: int) -> Iterator[tuple[bytes, int | None, str | None]]:
+    """What a gzip member holds, block by block, so that each byte is read about once; last of all where it ends (None: it doesn't), and "corrupt" where its data are
+    wrong.  A block is unpacked in pieces, however much it holds."""
+    reader, where, held = zlib.decompressobj(31), at, 0
     while where < len(view):
-        block = view[where : where + BLOCK]
+        block = bytes(view[where : where + BLOCK])
+        where += len(block)
         try:
-            out.append(reader.decompress(block))
+            while block and not reader.eof:
+                piece = reader.decompress(block, PIECE)
+                held += len(piece)
+                yield piece, None, None
+                block = reader.unconsumed_tail
         except zlib.error:
             # again by small steps from the member's start, for all that comes before the damage
-            reader, out = zlib.decompressobj(31), []
-            for i in range(at, min(where + BLOCK, len(view)), 512):
+            reader, passed = zlib.decompressobj(31), 0
+            for i in range(at, where, 512):
+                block = bytes(view[i : min(i + 512, len(view))])
                 try:
-                    out.append(reader.decompress(view[i : i + 512]))
+                    while block and not reader.eof:
+                        piece = reader.decompress(block, PIECE)
+                        if passed + len(piece) > held:
+                            yield piece[max(0, held - passed) :], None, None
+                        passed += len(piece)
+                        block = reader.unconsumed_tail
                 except zlib.error:
                     break
-            return b"".join(out), None, "corrupt"
+            yield b"", None, "corrupt"
+            return
         if reader.eof:
-            return b"".join(out), where + len(block) - len(reader.unused_data), None
-        where += len(block)
-    return b"".join(out), None, None
+            yield b"", where - len(reader.unused_data), None
+            return
+
+
+def _member(view: memoryview, at: int) -> tuple[int, int | None, str | None]:
+    """How many bytes a gzip member holds, where it ends, and "corrupt" where its data are wrong (see ``_data``)."""
+    size, ended, error = 0, None, None
+    for piece, ended, error in _data(view, at):
+        size += len(piece)
+    return size, ended, error
+
+
+def _lines(view: memoryview, at: int, size: int, whole: bool) -> Iterator[str]:
+    """The lines, but empty ones, of a member's first ``size`` bytes; a last one without its end only of a ``whole`` member."""
+    rest: list[bytes] = []
+    for piece, _, _ in _data(view, at):
+        piece, size = piece[:size], size - len(piece[:size])
+        first, *lines = piece.split(b"\n")
+        rest.append(first)
+        if lines:
+            lines, rest = [b"".join(rest), *lines[:-1]], [lines[-1]]
+            yield from (x.decode("utf-8", "replace") for x in lines if x)
+    if whole and any(rest):
+        yield b"".join(rest).decode("utf-8", "replace")
 
 
 def decode(lines: DataFrame, line: str = "line") -> DataFrame:

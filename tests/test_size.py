@@ -1,8 +1,10 @@
 """What large tables need: shuffles that go, parts that agree, bounded pairs."""
 
+import gzip
 import itertools
 import math
 import random
+import tracemalloc
 from hashlib import md5
 from pathlib import Path
 
@@ -13,6 +15,7 @@ from marketframe.operators import features
 from marketframe.operators.saved import saved
 from marketframe.plans import audits
 from marketframe.plans import contracts as C
+from marketframe.sources import archive
 
 DAY = 86_400_000
 
@@ -143,3 +146,23 @@ def test_fill_rows_make_no_pairs(spark):
                 want.add((oid, bound, end, None, float(size - best), "expired"))
     got = [tuple(x) for x in made.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("damage", ["none", "tail", "torn", "corrupt"])
+def test_recovery_holds_pieces_and_not_all_lines(damage):
+    lines = [f"{i}:" + "x" * (i % 90) for i in range(400_000)]
+    one = gzip.compress("\n".join(lines).encode() + b"\n")
+    content = {"none": one, "tail": one[:-8], "torn": one[:-8] + one, "corrupt": one[: len(one) // 2] + bytes(5000) + one[len(one) // 2 :]}[damage]
+    tracemalloc.start()
+    n, found, good = 0, [], True
+    for number, line, kind, _ in archive.recover(content):
+        if kind:
+            found.append(kind)
+        else:
+            good &= line == lines[number % len(lines)] or damage == "corrupt" and number > len(lines) * 0.4  # spoilt data may be read for a while
+            n += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert good and found == ([] if damage == "none" else [damage])
+    assert n == 2 * len(lines) if damage == "torn" else n == len(lines) if damage != "corrupt" else n > len(lines) * 0.4
+    assert peak < 6e6

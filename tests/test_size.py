@@ -8,6 +8,7 @@ import tracemalloc
 from hashlib import md5
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,12 @@ def test_closed_labels_join_nothing(spark, tmp_path):
     made = feeds.closed_labels(read("rows", "n long"), read("mids", "mid double"), "1 hour", "6 hours", "1 hour")
     assert "Join" not in made._jdf.queryExecution().logical().toString()
     assert made.columns == ["ts", "instrument", "n", "label_ts", "later"]
+
+
+def test_rows_of_a_batch_come_in_order_by_runs(monkeypatch):
+    monkeypatch.setattr(live, "RUN", 70)
+    monkeypatch.setattr(live, "READ", 9)
+    r = random.Random(8)
+    rows = [(r.randint(0, 50), r.randint(0, 20), i, [{"price": float(i)}]) for i in range(1000)]
+    frames = (pd.DataFrame(rows[i : i + 30], columns=["ts_ms", "n", "i", "bids"]) for i in range(0, 1000, 30))
+    assert list(live.in_order(frames, ["ts_ms", "n", "i", "bids"])) == sorted(rows, key=lambda x: x[:2])
